@@ -22,7 +22,7 @@ def rnd(col, digits: int) -> Column:
     Spark's ``round(x, d)`` would round the shortest decimal text instead.
     """
     f = float(10 ** digits)
-    return F.round(_c(col) * F.lit(f), 0) / F.lit(f)
+    return F.round(_c(col) * F.lit(f), 0) / F.lit(f) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
 
 
 def fixed_text(col, digits: int) -> Column:

@@ -94,6 +94,156 @@ def q_schedule_lines_t13(spark, sf):
     return AL.schedule_lines(_schedule(spark, sf, 13.0), ["series_id", "day"])
 
 
+# ----------------------------------------------------------------------------- summaries
+def _lm(spark, sf):
+    return V.load_mw(spark, sf)
+
+
+def q_load_summary(spark, sf):
+    return AG.load_summary(_lm(spark, sf))
+
+
+def q_describe_load(spark, sf):
+    d = AG.describe_load(_lm(spark, sf))
+    return d.select("series_id", "count", *[rnd(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+def q_load_quantiles(spark, sf):
+    q = AG.quantiles(_lm(spark, sf), (0.01, 0.05, 0.5, 0.95, 0.99))
+    return q.select("series_id", "p", rnd("value", 6).alias("value"))
+
+
+def q_peak_history(spark, sf):
+    return AG.peak_row_history(_lm(spark, sf))
+
+
+# ----------------------------------------------------------------------------- features
+def q_calendar_features(spark, sf):
+    lm = _lm(spark, sf)
+    cols = calendar_columns("ds")
+    return lm.select("series_id", "ds", "load_mw", *[rnd(c, 6).alias(n) for n, c in cols.items()])
+
+
+def q_fourier_features(spark, sf):
+    lm = _lm(spark, sf)
+    return lm.select("series_id", "ds", *[rnd(c, 6).alias(n) for n, c in fourier_columns("ds").items()])
+
+
+def q_expected_profile(spark, sf):
+    grid = G.hourly_spine(V.hourly_load(spark, sf)).select("series_id", "ds")
+    return grid.select(
+        "series_id", "ds",
+        season_factor("ds").alias("season_factor"),
+        weekend_factor("ds").alias("weekend_factor"),
+        rnd(expected_load("ds"), 6).alias("expected_mw"),
+        temperature_proxy("ds").alias("temp_proxy"),
+    )
+
+
+# ----------------------------------------------------------------------------- windows
+def q_lag_features(spark, sf):
+    return WI.lag_features(V.hourly_grid(spark, sf), "load", range(1, 25))
+
+
+def q_sequence_windows(spark, sf):
+    seq = WI.make_sequences(V.hourly_grid(spark, sf), ["load"], 24, target="load")
+    return seq.select(
+        "series_id", "ds", "y", F.size("x").alias("n"),
+        F.col("x")[0]["load"].alias("x_first"), F.col("x")[23]["load"].alias("x_last"),
+        rnd(F.aggregate("x", F.lit(0.0), lambda a, r: a + r["load"]), 6).alias("x_sum"),
+    )
+
+
+def q_last_window(spark, sf):
+    return G.last_window(_lm(spark, sf).select("series_id", "ds", "load_mw"), 24)
+
+
+def q_holdout_split(spark, sf):
+    return WI.holdout_split(_lm(spark, sf).select("series_id", "ds", "load_mw"))
+
+
+def q_evaluation_parts(spark, sf):
+    return EV.split_parts(_lm(spark, sf).select("series_id", "ds", "load_mw"))
+
+
+def q_latest_reading(spark, sf):
+    return G.latest_reading(_lm(spark, sf).select("series_id", "ds", "load", "load_mw"), AS_OF)
+
+
+def q_future_grid(spark, sf):
+    return G.future_grid(_lm(spark, sf), 24)
+
+
+def q_seasonal_profile(spark, sf):
+    p = AG.seasonal_profile(_lm(spark, sf))
+    return p.select("series_id", "hour", "weekday", rnd("mean_mw", 6).alias("mean_mw"), "n")
+
+
+def q_fourier_coefficients(spark, sf):
+    c = AG.fourier_coefficients(_lm(spark, sf), 3, 1.0)
+    return c.select("series_id", "k", rnd("a_cos", 6).alias("a_cos"), rnd("b_sin", 6).alias("b_sin"))
+
+
+def q_linear_trend(spark, sf):
+    t = AG.linear_trend(_lm(spark, sf))
+    return t.select("series_id", rnd("slope_per_day", 6).alias("slope_per_day"), rnd("intercept", 6).alias("intercept"), "n")
+
+
+# ----------------------------------------------------------------------------- joins
+def q_attach_weather(spark, sf):
+    j = J.attach_weather(_lm(spark, sf).select("series_id", "ds", "load_mw"), V.covariate(spark, sf))
+    return j.select("series_id", "ds", "load_mw", rnd("temp_c", 6).alias("temp_c"))
+
+
+def q_attach_weather_asof(spark, sf):
+    grid = V.hourly_grid(spark, sf).select("series_id", "ds")
+    j = J.attach_weather_asof(grid, V.covariate(spark, sf), tolerance_h=3)
+    return j.select("series_id", "ds", rnd("temp_c", 6).alias("temp_c"), "temp_c_at")
+
+
+# ----------------------------------------------------------------------------- evaluation
+def _preds(spark, sf):
+    return EV.model_predictions(EV.split_parts(_lm(spark, sf).select("series_id", "ds", "load_mw")))
+
+
+def q_model_predictions(spark, sf):
+    return _preds(spark, sf).select("series_id", "ds", "part", rnd("actual", 6).alias("actual"), "model",
+                                    rnd("predicted", 6).alias("predicted"))
+
+
+def q_ensemble_weights(spark, sf):
+    w = EV.ensemble_weights(_lm(spark, sf))
+    return w.select("series_id", "model", rnd("weight", 6).alias("weight"))
+
+
+def _metrics(spark, sf):
+    return EV.evaluate(_lm(spark, sf))
+
+
+def q_evaluation_metrics(spark, sf):
+    m = _metrics(spark, sf)
+    return m.select("series_id", "model", *[rnd(c, 6).alias(c) for c in ("mae", "rmse", "mape")], "n")
+
+
+def q_best_per_metric(spark, sf):
+    b = ME.best_per_metric(_metrics(spark, sf))
+    return b.select("series_id", "model", "best_mae", "best_rmse", "best_mape")
+
+
+def q_leaderboard(spark, sf):
+    return ME.leaderboard(_metrics(spark, sf))
+
+
+def q_recommendation(spark, sf):
+    return ME.recommendation_text(ME.leaderboard(_metrics(spark, sf)))
+
+
+def q_report_winner(spark, sf):
+    m = _metrics(spark, sf)
+    order = F.when(F.col("model") == "seasonal_naive", 1).when(F.col("model") == "profile", 2).otherwise(3)
+    return ME.report_winner(m.withColumn("ordinal", order))
+
+
 QUERIES: dict[str, Query] = {
     "hourly_load": q_hourly_load,
     "hourly_spine": q_hourly_spine,
@@ -105,4 +255,30 @@ QUERIES: dict[str, Query] = {
     "alert_status_daily": q_alert_status_daily,
     "alert_messages_t13": q_alert_messages_t13,
     "schedule_lines_t13": q_schedule_lines_t13,
+    "load_summary": q_load_summary,
+    "describe_load": q_describe_load,
+    "load_quantiles": q_load_quantiles,
+    "peak_history": q_peak_history,
+    "calendar_features": q_calendar_features,
+    "fourier_features": q_fourier_features,
+    "expected_profile": q_expected_profile,
+    "lag_features": q_lag_features,
+    "sequence_windows": q_sequence_windows,
+    "last_window": q_last_window,
+    "holdout_split": q_holdout_split,
+    "evaluation_parts": q_evaluation_parts,
+    "latest_reading": q_latest_reading,
+    "future_grid": q_future_grid,
+    "seasonal_profile": q_seasonal_profile,
+    "fourier_coefficients": q_fourier_coefficients,
+    "linear_trend": q_linear_trend,
+    "attach_weather": q_attach_weather,
+    "attach_weather_asof": q_attach_weather_asof,
+    "model_predictions": q_model_predictions,
+    "ensemble_weights": q_ensemble_weights,
+    "evaluation_metrics": q_evaluation_metrics,
+    "best_per_metric": q_best_per_metric,
+    "leaderboard": q_leaderboard,
+    "recommendation": q_recommendation,
+    "report_winner": q_report_winner,
 }

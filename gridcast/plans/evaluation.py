@@ -58,10 +58,9 @@ def model_predictions(parts: DataFrame, value: str = "load_mw", key: str = "seri
     """Long table ``(series_id, ds, part, actual, model, predicted)`` for both base models."""
     naive = seasonal_naive(parts.select(key, ts, "part", value), value, 24, key, ts, "predicted")
     prof = profile_model(parts, value, key, ts)
-    with_prof = parts.select(key, ts, "part", value).join(
-        prof, [parts[key] == prof[key], F.hour(parts[ts]) == prof["hour"], weekday0(parts[ts]) == prof["weekday"]],
-        "left",
-    ).select(parts[key], parts[ts], "part", value, F.col("profile_mw").alias("predicted"))
+    slots = parts.select(key, ts, "part", value, F.hour(ts).alias("hour"), weekday0(ts).alias("weekday"))
+    with_prof = slots.join(prof, [key, "hour", "weekday"], "left").select(
+        key, ts, "part", value, F.col("profile_mw").alias("predicted"))
     a = naive.select(key, ts, "part", F.col(value).alias("actual"), F.lit("seasonal_naive").alias("model"), "predicted")
     b = with_prof.select(key, ts, "part", F.col(value).alias("actual"), F.lit("profile").alias("model"), "predicted")
     return a.unionByName(b).where(F.col("part") != "fit")

@@ -114,3 +114,200 @@ SQL["schedule_lines_t13"] = _with(HOURLY, LOAD_MW, _schedule(13.0)) + """SELECT
              || printf('%.1f', round(duration_hrs * 10.0) / 10.0) || 'h', chr(10) ORDER BY priority) AS lines,
   count(*) AS zones
 FROM schedule GROUP BY 1, 2"""
+
+
+# ----------------------------------------------------------------------------- helpers for the second group
+def R(expr: str, d: int) -> str:
+    return f"(round(({expr}) * 1e{d}) / 1e{d} + 0e0)"
+
+
+GOOD = "load_mw IS NOT NULL AND NOT isnan(load_mw)"
+EPOCH_DAYS = "((CAST(ds AS DATE) - DATE '1970-01-01') + (hour(ds) * 3600 + minute(ds) * 60 + second(ds)) / 86400e0)"
+SPINE = """spine AS (SELECT g.series_id, g.ds, h.load FROM grid g
+  LEFT JOIN hourly_load h ON g.series_id = h.series_id AND g.ds = h.ds)"""
+COV = """cov AS (SELECT date_trunc('hour', ts) AS ds,
+  CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS temp_c
+  FROM events WHERE event_type = 'view' GROUP BY 1)"""
+LM = _with(HOURLY, LOAD_MW)
+
+SQL["load_summary"] = LM + f"""SELECT series_id, count(*) AS rows, min(ds) AS first_ds, max(ds) AS last_ds,
+  {R('min(load_mw)', 2)} AS load_min_mw, {R('max(load_mw)', 2)} AS load_max_mw,
+  'ready' AS status, 'hourly demand from readings' AS source
+FROM load_mw WHERE {GOOD} GROUP BY 1"""
+
+SQL["describe_load"] = LM + f"""SELECT series_id, count(load_mw) AS count, {R('avg(load_mw)', 6)} AS mean,
+  {R('stddev_samp(load_mw)', 6)} AS std, {R('min(load_mw)', 6)} AS min,
+  {R('quantile_cont(load_mw, 0.25)', 6)} AS p25, {R('quantile_cont(load_mw, 0.5)', 6)} AS p50,
+  {R('quantile_cont(load_mw, 0.75)', 6)} AS p75, {R('max(load_mw)', 6)} AS max
+FROM load_mw WHERE {GOOD} GROUP BY 1"""
+
+_PS = "[0.01, 0.05, 0.5, 0.95, 0.99]::DOUBLE[]"
+SQL["load_quantiles"] = LM + f"""SELECT series_id, p, {R('value', 6)} AS value FROM (
+  SELECT series_id, unnest({_PS}) AS p, unnest(quantile_cont(load_mw, {_PS})) AS value
+  FROM load_mw WHERE {GOOD} GROUP BY series_id)"""
+
+SQL["peak_history"] = LM + f"""SELECT series_id, load_mw AS peak_mw, ds AS peak_ds FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY load_mw DESC, ds) AS rn FROM load_mw WHERE {GOOD})
+WHERE rn = 1"""
+
+_TWO_PI = repr(2 * 3.141592653589793)
+SQL["calendar_features"] = LM + f"""SELECT series_id, ds, load_mw,
+  {R(f'sin({_TWO_PI} * hour(ds) / 24e0)', 6)} AS hour_sin,
+  {R(f'cos({_TWO_PI} * hour(ds) / 24e0)', 6)} AS hour_cos,
+  {R('(isodow(ds) - 1) / 6e0', 6)} AS weekday
+FROM load_mw"""
+
+
+def _fourier_sql() -> str:
+    import math
+    cols = []
+    for name, period, order in C.SEASONALITIES:
+        for k in range(1, order + 1):
+            f = repr(2 * math.pi * k / period)
+            cols.append(f"{R(f'sin({f} * {EPOCH_DAYS})', 6)} AS {name}_sin_{k}")
+            cols.append(f"{R(f'cos({f} * {EPOCH_DAYS})', 6)} AS {name}_cos_{k}")
+    return LM + "SELECT series_id, ds,\n  " + ",\n  ".join(cols) + "\nFROM load_mw"
+
+
+SQL["fourier_features"] = _fourier_sql()
+
+_SHAPE = "[" + ", ".join(repr(v) for v in C.HOURLY_SHAPE) + "]::DOUBLE[]"
+_SEASON = f"CASE WHEN month(ds) IN {tuple(C.SEASON_MONTHS)} THEN {C.SEASON_FACTOR!r}::DOUBLE ELSE 1e0 END"
+_WEEKEND = f"CASE WHEN isodow(ds) - 1 >= 5 THEN {C.WEEKEND_FACTOR!r}::DOUBLE ELSE 1e0 END"
+_TBASE = f"CASE WHEN month(ds) IN {tuple(C.SEASON_MONTHS)} THEN {C.TEMP_BASE_WARM!r}::DOUBLE ELSE {C.TEMP_BASE_COOL!r}::DOUBLE END"
+SQL["expected_profile"] = _with(HOURLY, BOUNDS) + f"""SELECT series_id, ds,
+  {_SEASON} AS season_factor, {_WEEKEND} AS weekend_factor,
+  {R(f'greatest(6e0, 12e0 + 10e0 * ({_SHAPE})[hour(ds) + 1] * ({_SEASON}) * ({_WEEKEND}))', 6)} AS expected_mw,
+  {R(f'({_TBASE}) + 5e0 * sin((hour(ds) - 6) * {repr(3.141592653589793 / 12)})', 2)} AS temp_proxy
+FROM grid"""
+
+SQL["lag_features"] = _with(HOURLY, BOUNDS, SPINE) + "SELECT series_id, ds, load,\n  " + ",\n  ".join(
+    f"lag(load, {k}) OVER w AS lag_{k}" for k in range(1, 25)
+) + "\nFROM spine WINDOW w AS (PARTITION BY series_id ORDER BY ds)"
+
+SQL["sequence_windows"] = _with(HOURLY, BOUNDS, SPINE) + f""", win AS (
+  SELECT series_id, ds, load AS y, count(*) OVER w AS n_rows, count(load) OVER w AS n_vals,
+         first_value(load) OVER w AS x_first, last_value(load) OVER w AS x_last, sum(load) OVER w AS x_sum
+  FROM spine WINDOW w AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+SELECT series_id, ds, y, CAST(n_rows AS INTEGER) AS n, x_first, x_last, {R('x_sum', 6)} AS x_sum
+FROM win WHERE n_rows = 24 AND n_vals = 24 AND y IS NOT NULL"""
+
+SQL["last_window"] = LM + """SELECT series_id, ds, load_mw, CAST(pos AS INTEGER) AS pos FROM (
+  SELECT series_id, ds, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS pos FROM load_mw)
+WHERE pos <= 24"""
+
+SQL["holdout_split"] = LM + """SELECT series_id, ds, load_mw,
+  CASE WHEN rn <= floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS part
+FROM (SELECT series_id, ds, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS rn,
+             count(*) OVER (PARTITION BY series_id) AS n FROM load_mw)"""
+
+PARTS = f"""parts AS (
+  SELECT series_id, ds, load_mw,
+         CASE WHEN rn <= fe THEN 'fit' WHEN rn <= te THEN 'validation' ELSE 'test' END AS part
+  FROM (SELECT series_id, ds, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS rn,
+               floor(count(*) OVER (PARTITION BY series_id) * 0.8e0) AS te,
+               floor(floor(count(*) OVER (PARTITION BY series_id) * 0.8e0) * 0.9e0) AS fe
+        FROM load_mw WHERE load_mw IS NOT NULL))"""
+
+SQL["evaluation_parts"] = _with(HOURLY, LOAD_MW, PARTS) + "SELECT series_id, ds, load_mw, part FROM parts"
+
+SQL["latest_reading"] = LM + """SELECT series_id, ds, load, load_mw FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS rn FROM load_mw
+  WHERE ds <= TIMESTAMP '2024-01-15 12:30:00') WHERE rn = 1"""
+
+SQL["future_grid"] = LM + """SELECT series_id, last_ds AS origin, CAST(s AS INTEGER) AS step,
+  last_ds + s * INTERVAL 1 HOUR AS ds
+FROM (SELECT series_id, max(ds) AS last_ds FROM load_mw GROUP BY 1) b, range(1, 25) t(s)"""
+
+SQL["seasonal_profile"] = LM + f"""SELECT series_id, hour, weekday, {R('avg(load_mw)', 6)} AS mean_mw, count(*) AS n
+FROM (SELECT series_id, CAST(hour(ds) AS INTEGER) AS hour, CAST(isodow(ds) - 1 AS INTEGER) AS weekday, load_mw
+      FROM load_mw WHERE {GOOD})
+GROUP BY ROLLUP (series_id, hour, weekday) HAVING series_id IS NOT NULL"""
+
+
+def _fourier_coef_sql(order: int = 3, period: float = 1.0) -> str:
+    import math
+    parts = []
+    for k in range(1, order + 1):
+        f = repr(2 * math.pi * k / period)
+        parts.append(f"""SELECT series_id, {k} AS k, count(load_mw) AS n,
+    sum(load_mw * cos({f} * {EPOCH_DAYS})) AS c, sum(load_mw * sin({f} * {EPOCH_DAYS})) AS s
+  FROM load_mw WHERE {GOOD} GROUP BY 1""")
+    return LM + f"SELECT series_id, k, {R('2e0 * c / n', 6)} AS a_cos, {R('2e0 * s / n', 6)} AS b_sin FROM (\n  " + \
+        "\n  UNION ALL\n  ".join(parts) + ")"
+
+
+SQL["fourier_coefficients"] = _fourier_coef_sql()
+
+SQL["linear_trend"] = LM + f"""SELECT series_id, {R(f'regr_slope(load_mw, {EPOCH_DAYS})', 6)} AS slope_per_day,
+  {R(f'regr_intercept(load_mw, {EPOCH_DAYS})', 6)} AS intercept, count(load_mw) AS n
+FROM load_mw WHERE {GOOD} GROUP BY 1"""
+
+SQL["attach_weather"] = _with(HOURLY, LOAD_MW, COV) + f"""SELECT l.series_id, l.ds, l.load_mw,
+  {R('coalesce(c.temp_c, 21.5e0)', 6)} AS temp_c
+FROM load_mw l LEFT JOIN cov c ON l.ds = c.ds"""
+
+SQL["attach_weather_asof"] = _with(HOURLY, BOUNDS, COV) + f"""SELECT g.series_id, g.ds,
+  CASE WHEN c.ds >= g.ds - INTERVAL 3 HOUR THEN {R('c.temp_c', 6)} END AS temp_c,
+  CASE WHEN c.ds >= g.ds - INTERVAL 3 HOUR THEN c.ds END AS temp_c_at
+FROM grid g ASOF LEFT JOIN cov c ON g.ds >= c.ds"""
+
+EVAL = PARTS + """,
+prof AS (SELECT series_id, hour(ds) AS h, isodow(ds) - 1 AS wd, avg(load_mw) AS profile_mw
+         FROM parts WHERE part = 'fit' GROUP BY 1, 2, 3),
+preds AS (
+  SELECT p.series_id, p.ds, p.part, p.load_mw AS actual, 'seasonal_naive' AS model, q.load_mw AS predicted
+  FROM parts p LEFT JOIN parts q ON q.series_id = p.series_id AND q.ds = p.ds - INTERVAL 24 HOUR
+  WHERE p.part <> 'fit'
+  UNION ALL
+  SELECT p.series_id, p.ds, p.part, p.load_mw AS actual, 'profile' AS model, f.profile_mw AS predicted
+  FROM parts p LEFT JOIN prof f ON f.series_id = p.series_id AND f.h = hour(p.ds) AND f.wd = isodow(p.ds) - 1
+  WHERE p.part <> 'fit'),
+both_ AS (SELECT series_id, ds, part FROM preds WHERE predicted IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = 2),
+base AS (SELECT p.* FROM preds p JOIN both_ b USING (series_id, ds, part)),
+valm AS (SELECT series_id, model, avg(abs(actual - predicted)) AS mae FROM base WHERE part = 'validation' GROUP BY 1, 2),
+wts AS (SELECT series_id, model, (1e0 / mae) / sum(1e0 / mae) OVER (PARTITION BY series_id) AS weight FROM valm),
+test AS (SELECT * FROM base WHERE part = 'test'),
+ens AS (SELECT t.series_id, t.ds, 'test' AS part, any_value(t.actual) AS actual, 'ensemble' AS model,
+               sum(w.weight * t.predicted) / sum(w.weight) AS predicted
+        FROM test t JOIN wts w USING (series_id, model) GROUP BY t.series_id, t.ds),
+scored AS (SELECT series_id, ds, part, actual, model, predicted FROM test UNION ALL SELECT * FROM ens),
+metrics AS (SELECT series_id, model, avg(abs(actual - predicted)) AS mae,
+                   sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse,
+                   avg(abs((actual - predicted) / nullif(actual, 0e0))) * 100e0 AS mape, count(*) AS n
+            FROM scored GROUP BY 1, 2),
+lb AS (SELECT series_id, model, CAST(row_number() OVER (PARTITION BY series_id ORDER BY mae + rmse + mape / 10e0, model) AS INTEGER) AS "rank",
+              mae, rmse, mape, mae + rmse + mape / 10e0 AS score,
+              CASE WHEN mape < 5 THEN 'excellent' WHEN mape < 10 THEN 'very good' WHEN mape < 20 THEN 'acceptable'
+                   ELSE 'needs improvement' END AS quality
+       FROM metrics)"""
+EV_WITH = _with(HOURLY, LOAD_MW, EVAL)
+
+SQL["model_predictions"] = EV_WITH + f"""SELECT series_id, ds, part, {R('actual', 6)} AS actual, model,
+  {R('predicted', 6)} AS predicted FROM preds"""
+
+SQL["ensemble_weights"] = EV_WITH + f"SELECT series_id, model, {R('weight', 6)} AS weight FROM wts"
+
+SQL["evaluation_metrics"] = EV_WITH + f"""SELECT series_id, model, {R('mae', 6)} AS mae, {R('rmse', 6)} AS rmse,
+  {R('mape', 6)} AS mape, n FROM metrics"""
+
+SQL["best_per_metric"] = EV_WITH + """SELECT series_id, model,
+  mae = min(mae) OVER (PARTITION BY series_id) AS best_mae,
+  rmse = min(rmse) OVER (PARTITION BY series_id) AS best_rmse,
+  mape = min(mape) OVER (PARTITION BY series_id) AS best_mape
+FROM metrics"""
+
+SQL["leaderboard"] = EV_WITH + f"""SELECT series_id, model, "rank", {R('mae', 3)} AS mae, {R('rmse', 3)} AS rmse,
+  {R('mape', 2)} AS mape, {R('score', 3)} AS score, quality, "rank" = 1 AS recommended FROM lb"""
+
+SQL["recommendation"] = EV_WITH + f"""SELECT series_id, model AS recommended_model,
+  printf('%s is recommended because it has the lowest combined error score. Its MAPE is %s%%, which is %s for this use case.',
+         model, printf('%.2f', {R(R('mape', 2), 2)}), quality) AS explanation
+FROM lb WHERE "rank" = 1"""
+
+SQL["report_winner"] = EV_WITH + """SELECT series_id, winner,
+  CASE WHEN winner_mape < 5 THEN 'excellent' WHEN winner_mape < 10 THEN 'acceptable' ELSE 'needs improvement' END AS winner_tier
+FROM (SELECT series_id, model AS winner, mape AS winner_mape,
+             row_number() OVER (PARTITION BY series_id ORDER BY mae + rmse,
+                                CASE model WHEN 'seasonal_naive' THEN 1 WHEN 'profile' THEN 2 ELSE 3 END) AS rn
+      FROM metrics) WHERE rn = 1"""
