@@ -6,6 +6,7 @@ from .scalar import (  # noqa: F401
     clip_forecast,
     coerce_numeric,
     display_time,
+    exact_mean,
     expected_load,
     fixed_text,
     hhmm,

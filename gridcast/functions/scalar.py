@@ -30,9 +30,19 @@ def fixed_text(col, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", rnd(col, digits))
 
 
+def exact_mean(col, scale: int = 3) -> Column:
+    """Mean of values with at most ``scale`` decimals: exact DECIMAL sum, cast to DOUBLE, over the count.
+
+    The result does not depend on the order rows are added in, so rounding
+    it later gives the same digits on every engine.
+    """
+    c = _c(col)
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double") / F.count(c)
+
+
 def coerce_numeric(col) -> Column:
     """Text to DOUBLE, bad text to null (never throws under ANSI mode); NaN becomes null."""
-    v = F.try_cast(_c(col).cast("string"), "double")
+    v = _c(col).cast("string").try_cast("double")
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
 

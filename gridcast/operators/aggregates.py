@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import epoch_days, not_missing, rnd, weekday0
+from ..functions import epoch_days, exact_mean, not_missing, rnd, weekday0
 
 
 def load_summary(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds",
@@ -67,7 +67,7 @@ def seasonal_profile(df: DataFrame, value: str = "load_mw", key: str = "series_i
     base = df.where(not_missing(value)).select(
         key, F.hour(ts).cast("int").alias("hour"), weekday0(ts).cast("int").alias("weekday"), value)
     return base.rollup(key, "hour", "weekday").agg(
-        F.avg(value).alias("mean_mw"), F.count(F.lit(1)).alias("n")
+        exact_mean(value).alias("mean_mw"), F.count(F.lit(1)).alias("n")
     ).where(F.col(key).isNotNull())
 
 

@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import (
+    alert_flag,
     calendar_columns,
+    clip_forecast,
+    exact_mean,
+    format_period,
+    hour_floor,
+    proportional_band,
     day_of,
     expected_load,
     fourier_columns,
@@ -31,6 +37,10 @@ from ..operators import grid as G
 from ..operators import metrics as ME
 from ..operators import prep as PR
 from ..operators import windows as WI
+from ..models import additive as ADD
+from ..models import autoregressive as AR
+from ..models import store as ST
+from ..sources import readers as RD
 from . import evaluation as EV
 from . import views as V
 
@@ -244,6 +254,136 @@ def q_report_winner(spark, sf):
     return ME.report_winner(m.withColumn("ordinal", order))
 
 
+# ----------------------------------------------------------------------------- forecasts and models
+def _profile_forecast(spark, sf, hours=24, threshold=C.THRESHOLD_MW):
+    """Mean-by-(hour, weekday) forecaster over the whole history, on the future grid."""
+    lm = _lm(spark, sf)
+    prof = lm.groupBy("series_id", F.hour("ds").alias("hour"), weekday0("ds").alias("weekday")).agg(
+        exact_mean("load_mw").alias("yhat"))
+    grid = G.future_grid(lm, hours).withColumns({"hour": F.hour("ds"), "weekday": weekday0("ds")})
+    fc = grid.join(prof, ["series_id", "hour", "weekday"], "left")
+    p = clip_forecast(F.col("yhat"))
+    lower, upper = proportional_band(p)
+    return fc.select("series_id", "step", "ds", rnd(p, 3).alias("predicted_mw"), rnd(lower, 3).alias("lower_mw"),
+                     rnd(upper, 3).alias("upper_mw"), alert_flag(p, threshold).alias("alert"))
+
+
+def q_forecast_band(spark, sf):
+    return _profile_forecast(spark, sf)
+
+
+def q_forecast_table(spark, sf):
+    t = AL.forecast_table(_profile_forecast(spark, sf), C.THRESHOLD_MW, only_alerts=False, sort_key="predicted_mw",
+                          ascending=False, search=SEARCH_TEXT)
+    return t.select("series_id", "ds", "time_label", "predicted_mw", "status")
+
+
+def q_forecast_alert_rows(spark, sf):
+    t = AL.forecast_table(_profile_forecast(spark, sf, threshold=15.0), 15.0, only_alerts=True)
+    return t.select("series_id", "ds", "time_label", "predicted_mw", "status")
+
+
+def q_recursive_ar3(spark, sf):
+    fc = AR.forecast_fixed_ar(_lm(spark, sf), (0.5, 0.3, 0.2), 24)
+    return fc.select("series_id", "step", "ds", rnd("predicted", 6).alias("predicted"))
+
+
+def q_additive_fit(spark, sf):
+    m = ADD.fit_additive(_lm(spark, sf))
+    return m.select("series_id", "model", "n", F.size("coef").alias("n_coef"), rnd("sigma", 6).alias("sigma"))
+
+
+def q_additive_forecast(spark, sf):
+    fc = ADD.forecast_additive(ADD.fit_additive(_lm(spark, sf)), 24)
+    return fc.drop("generated_at")
+
+
+def q_additive_daily_forecast(spark, sf):
+    fc = ADD.forecast_additive(ADD.fit_additive(V.daily_load(spark, sf), value="load"), 24, threshold=1e12)
+    return fc.drop("generated_at")
+
+
+def q_ar_fit(spark, sf):
+    m = AR.fit_autoregressive(_lm(spark, sf), V.covariate(spark, sf))
+    return m.select("series_id", "model", "n", F.size("coef").alias("n_coef"), rnd("sigma", 6).alias("sigma"))
+
+
+def q_ar_forecast(spark, sf):
+    lm = _lm(spark, sf)
+    cov = V.covariate(spark, sf)
+    return AR.forecast_autoregressive(AR.fit_autoregressive(lm, cov), lm, 24, cov).drop("generated_at")
+
+
+def q_model_fallback(spark, sf):
+    lm = _lm(spark, sf)
+    cov = V.covariate(spark, sf)
+    pref = AR.forecast_autoregressive(AR.fit_autoregressive(lm, cov), lm, 24, cov)
+    fb = ADD.forecast_additive(ADD.fit_additive(lm), 24)
+    return ST.fallback_model(pref, fb).select("series_id", "model", "step", "ds")
+
+
+# ----------------------------------------------------------------------------- scaling, parsing, paging
+def q_minmax_scaled(spark, sf):
+    j = J.attach_weather(_lm(spark, sf).select("series_id", "ds", "load_mw"), V.covariate(spark, sf))
+    bounds = PR.minmax_bounds(j, ["load_mw", "temp_c"])
+    sc = PR.minmax_scale(j, ["load_mw", "temp_c"], bounds)
+    back = PR.minmax_inverse(sc, "load_mw_scaled", bounds, "load_mw", out="load_mw_back")
+    return back.select("series_id", "ds", rnd("load_mw_scaled", 6).alias("load_mw_scaled"),
+                       rnd("temp_c_scaled", 6).alias("temp_c_scaled"), rnd("load_mw_back", 6).alias("load_mw_back"))
+
+
+def q_demand_from_text(spark, sf):
+    """Readings as landed text rows (respondent, type, period, value) through the parse path, then hourly sums."""
+    ev = V.events(spark, sf)
+    raw = ev.select(F.col("event_type").alias("respondent"), F.lit("D").alias("type"),
+                    format_period(hour_floor("ts")).alias("period"), F.col("value").cast("string").alias("value"))
+    clean = RD.clean_demand(raw, kind="D")
+    return clean.groupBy("series_id", F.col("period").alias("ds")).agg(
+        F.sum(F.col("value_mw").cast("decimal(18,2)")).cast("double").alias("load"))
+
+
+def q_combine_pages(spark, sf):
+    hl = V.hourly_load(spark, sf).withColumnRenamed("ds", "period")
+    a = PR.time_range(hl, end="2024-01-20", ts="period").withColumn("page", F.lit(1))
+    b = PR.time_range(hl, start="2024-01-15", ts="period").withColumn("page", F.lit(2))
+    return G.combine_pages(a, b, key=("series_id", "period"), order="page")
+
+
+def _alert_log(spark, sf):
+    pk = _daily_peaks(spark, sf, C.THRESHOLD_MW)
+    return pk.select("series_id", F.col("peak_ds").alias("timestamp"), "peak_mw", F.lit("history").alias("model"))
+
+
+def q_recent_alerts(spark, sf):
+    return AL.recent_alerts(_alert_log(spark, sf), 20, order=("timestamp", "series_id"))
+
+
+def q_head_sample(spark, sf):
+    return G.head(_lm(spark, sf).select("series_id", "ds", "load_mw"), 5, order=("ds", "series_id"))
+
+
+def q_page_rows(spark, sf):
+    return G.page(_lm(spark, sf).select("series_id", "ds", "load_mw"), 100, 50, order=("series_id", "ds"))
+
+
+def q_alert_dedupe(spark, sf):
+    ev = V.events(spark, sf).select(F.col("event_type").alias("series_id"), F.col("ts").alias("timestamp"))
+    return AL.dedupe_alerts(ev, C.ALERT_COOLDOWN_S, ("series_id",), "timestamp")
+
+
+def q_freshness(spark, sf):
+    return AL.freshness(V.hourly_load(spark, sf), "2024-01-31 00:02:00", 300)
+
+
+def q_fresh_forecast(spark, sf):
+    fc = _profile_forecast(spark, sf)
+    run1 = fc.withColumn("generated_at", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    run2 = fc.withColumn("generated_at", F.lit("2024-01-31 00:02:00").cast("timestamp_ntz"))
+    runs = G.combine_models(run1, run2).withColumn("model", F.lit("profile")).withColumn("hours", F.lit(24))
+    return ST.fresh_forecast(runs, "2024-01-31 00:04:00", 300).select("series_id", "model", "hours", "generated_at",
+                                                                      "step", "ds", "predicted_mw")
+
+
 QUERIES: dict[str, Query] = {
     "hourly_load": q_hourly_load,
     "hourly_spine": q_hourly_spine,
@@ -281,4 +421,23 @@ QUERIES: dict[str, Query] = {
     "leaderboard": q_leaderboard,
     "recommendation": q_recommendation,
     "report_winner": q_report_winner,
+    "forecast_band": q_forecast_band,
+    "forecast_table": q_forecast_table,
+    "forecast_alert_rows": q_forecast_alert_rows,
+    "recursive_ar3": q_recursive_ar3,
+    "additive_fit": q_additive_fit,
+    "additive_forecast": q_additive_forecast,
+    "additive_daily_forecast": q_additive_daily_forecast,
+    "ar_fit": q_ar_fit,
+    "ar_forecast": q_ar_forecast,
+    "model_fallback": q_model_fallback,
+    "minmax_scaled": q_minmax_scaled,
+    "demand_from_text": q_demand_from_text,
+    "combine_pages": q_combine_pages,
+    "recent_alerts": q_recent_alerts,
+    "head_sample": q_head_sample,
+    "page_rows": q_page_rows,
+    "alert_dedupe": q_alert_dedupe,
+    "freshness": q_freshness,
+    "fresh_forecast": q_fresh_forecast,
 }

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import weekday0
+from ..functions import exact_mean, weekday0
 from ..operators.metrics import error_metrics, inverse_error_weights, weighted_prediction
 from ..operators.windows import seasonal_naive
 
@@ -50,7 +50,7 @@ def profile_model(parts: DataFrame, value: str = "load_mw", key: str = "series_i
     """Mean by (hour, weekday) over the fit part: the fitted seasonal profile as a table."""
     fit = parts.where(F.col("part") == "fit")
     return fit.groupBy(key, F.hour(ts).alias("hour"), weekday0(ts).alias("weekday")).agg(
-        F.avg(value).alias("profile_mw")
+        exact_mean(value).alias("profile_mw")
     )
 
 

@@ -122,6 +122,7 @@ def R(expr: str, d: int) -> str:
 
 
 GOOD = "load_mw IS NOT NULL AND NOT isnan(load_mw)"
+EXACT_MEAN = "CAST(SUM(CAST(load_mw AS DECIMAL(38,3))) AS DOUBLE) / count(load_mw)"
 EPOCH_DAYS = "((CAST(ds AS DATE) - DATE '1970-01-01') + (hour(ds) * 3600 + minute(ds) * 60 + second(ds)) / 86400e0)"
 SPINE = """spine AS (SELECT g.series_id, g.ds, h.load FROM grid g
   LEFT JOIN hourly_load h ON g.series_id = h.series_id AND g.ds = h.ds)"""
@@ -219,7 +220,7 @@ SQL["future_grid"] = LM + """SELECT series_id, last_ds AS origin, CAST(s AS INTE
   last_ds + s * INTERVAL 1 HOUR AS ds
 FROM (SELECT series_id, max(ds) AS last_ds FROM load_mw GROUP BY 1) b, range(1, 25) t(s)"""
 
-SQL["seasonal_profile"] = LM + f"""SELECT series_id, hour, weekday, {R('avg(load_mw)', 6)} AS mean_mw, count(*) AS n
+SQL["seasonal_profile"] = LM + f"""SELECT series_id, hour, weekday, {R(EXACT_MEAN, 6)} AS mean_mw, count(*) AS n
 FROM (SELECT series_id, CAST(hour(ds) AS INTEGER) AS hour, CAST(isodow(ds) - 1 AS INTEGER) AS weekday, load_mw
       FROM load_mw WHERE {GOOD})
 GROUP BY ROLLUP (series_id, hour, weekday) HAVING series_id IS NOT NULL"""
@@ -253,7 +254,7 @@ SQL["attach_weather_asof"] = _with(HOURLY, BOUNDS, COV) + f"""SELECT g.series_id
 FROM grid g ASOF LEFT JOIN cov c ON g.ds >= c.ds"""
 
 EVAL = PARTS + """,
-prof AS (SELECT series_id, hour(ds) AS h, isodow(ds) - 1 AS wd, avg(load_mw) AS profile_mw
+prof AS (SELECT series_id, hour(ds) AS h, isodow(ds) - 1 AS wd, """ + EXACT_MEAN + """ AS profile_mw
          FROM parts WHERE part = 'fit' GROUP BY 1, 2, 3),
 preds AS (
   SELECT p.series_id, p.ds, p.part, p.load_mw AS actual, 'seasonal_naive' AS model, q.load_mw AS predicted
@@ -311,3 +312,98 @@ FROM (SELECT series_id, model AS winner, mape AS winner_mape,
              row_number() OVER (PARTITION BY series_id ORDER BY mae + rmse,
                                 CASE model WHEN 'seasonal_naive' THEN 1 WHEN 'profile' THEN 2 ELSE 3 END) AS rn
       FROM metrics) WHERE rn = 1"""
+
+
+# ----------------------------------------------------------------------------- forecasts, paging, alerts
+_LOW = repr(1 - C.BAND_PCT)
+_HIGH = repr(1 + C.BAND_PCT)
+
+
+def _band(t: float) -> str:
+    return f"""prof AS (SELECT series_id, hour(ds) AS h, isodow(ds) - 1 AS wd, {EXACT_MEAN} AS yhat FROM load_mw GROUP BY 1, 2, 3),
+fg AS (SELECT series_id, CAST(s AS INTEGER) AS step, last_ds + s * INTERVAL 1 HOUR AS ds
+       FROM (SELECT series_id, max(ds) AS last_ds FROM load_mw GROUP BY 1) b, range(1, 25) t(s)),
+fc AS (SELECT fg.series_id, fg.step, fg.ds,
+              CASE WHEN p.yhat IS NOT NULL AND NOT isnan(p.yhat) THEN least(greatest(p.yhat, 0e0), 50e0) END AS p
+       FROM fg LEFT JOIN prof p ON p.series_id = fg.series_id AND p.h = hour(fg.ds) AND p.wd = isodow(fg.ds) - 1),
+band AS (SELECT series_id, step, ds, {R('p', 3)} AS predicted_mw, {R(f'greatest(0e0, p * {_LOW})', 3)} AS lower_mw,
+                {R(f'p * {_HIGH}', 3)} AS upper_mw, p >= {t!r} AS alert FROM fc)"""
+
+
+SQL["forecast_band"] = _with(HOURLY, LOAD_MW, _band(20.0)) + "SELECT * FROM band"
+
+_TABLE_COLS = """series_id, ds, strftime(ds, '%d %b %H:%M') AS time_label, predicted_mw,
+  CASE WHEN predicted_mw >= {t} THEN 'Alert' ELSE 'Normal' END AS status"""
+SQL["forecast_table"] = _with(HOURLY, LOAD_MW, _band(20.0)) + "SELECT " + _TABLE_COLS.format(t="20e0") + f"""
+FROM band WHERE contains(lower(concat_ws(' ', strftime(ds, '%d %b %H:%M'), printf('%.2f', {R('predicted_mw', 2)}),
+  printf('%.2f', {R('lower_mw', 2)}), printf('%.2f', {R('upper_mw', 2)}),
+  CASE WHEN predicted_mw >= 20e0 THEN 'Alert' ELSE 'Normal' END)), 'jan 1')"""
+SQL["forecast_alert_rows"] = _with(HOURLY, LOAD_MW, _band(15.0)) + "SELECT " + _TABLE_COLS.format(t="15e0") + \
+    "\nFROM band WHERE predicted_mw >= 15e0"
+
+SQL["recursive_ar3"] = "WITH RECURSIVE " + HOURLY + ",\n" + LOAD_MW + f""",
+seed AS (
+  SELECT series_id, max(ds) AS last_ds, max(CASE WHEN rn = 1 THEN load_mw END) AS l1,
+         max(CASE WHEN rn = 2 THEN load_mw END) AS l2, max(CASE WHEN rn = 3 THEN load_mw END) AS l3
+  FROM (SELECT series_id, ds, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS rn FROM load_mw)
+  WHERE rn <= 3 GROUP BY 1 HAVING count(*) = 3),
+rec(series_id, step, ds, y, l1, l2, l3) AS (
+  SELECT series_id, 0, last_ds, CAST(NULL AS DOUBLE), l1, l2, l3 FROM seed
+  UNION ALL
+  SELECT series_id, step + 1, ds + INTERVAL 1 HOUR,
+         0e0 + l3 * 0.2e0 + l2 * 0.3e0 + l1 * 0.5e0,
+         0e0 + l3 * 0.2e0 + l2 * 0.3e0 + l1 * 0.5e0, l1, l2
+  FROM rec WHERE step < 24)
+SELECT series_id, CAST(step AS INTEGER) AS step, ds, {R('y', 6)} AS predicted FROM rec WHERE step > 0"""
+
+SQL["minmax_scaled"] = _with(HOURLY, LOAD_MW, COV) + f""", j AS (
+  SELECT l.series_id, l.ds, l.load_mw, coalesce(c.temp_c, 21.5e0) AS temp_c FROM load_mw l LEFT JOIN cov c ON l.ds = c.ds),
+b AS (SELECT series_id, min(load_mw) AS lmin, max(load_mw) AS lmax, min(temp_c) AS tmin, max(temp_c) AS tmax FROM j GROUP BY 1),
+s AS (SELECT j.series_id, j.ds, coalesce((load_mw - lmin) / nullif(lmax - lmin, 0e0), 0e0) AS ls,
+             coalesce((temp_c - tmin) / nullif(tmax - tmin, 0e0), 0e0) AS ts_, lmin, lmax
+      FROM j JOIN b USING (series_id))
+SELECT series_id, ds, {R('ls', 6)} AS load_mw_scaled, {R('ts_', 6)} AS temp_c_scaled,
+       {R('ls * (lmax - lmin) + lmin', 6)} AS load_mw_back FROM s"""
+
+SQL["demand_from_text"] = SQL["hourly_load"]
+
+SQL["combine_pages"] = _with(HOURLY) + """, a AS (SELECT series_id, ds AS period, load, 1 AS page FROM hourly_load WHERE ds < TIMESTAMP '2024-01-20'),
+b AS (SELECT series_id, ds AS period, load, 2 AS page FROM hourly_load WHERE ds >= TIMESTAMP '2024-01-15')
+SELECT series_id, period, load, page FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY page DESC) AS rn
+  FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE rn = 1"""
+
+SQL["recent_alerts"] = _with(HOURLY, LOAD_MW, _peaks(20.0)) + """, log AS (
+  SELECT series_id, peak_ds AS timestamp, peak_mw, 'history' AS model FROM peaks)
+SELECT l.*, (SELECT count(*) FROM log) AS total FROM log l ORDER BY timestamp DESC, series_id DESC LIMIT 20"""
+
+SQL["head_sample"] = LM + "SELECT series_id, ds, load_mw FROM load_mw ORDER BY ds, series_id LIMIT 5"
+SQL["page_rows"] = LM + "SELECT series_id, ds, load_mw FROM load_mw ORDER BY series_id, ds LIMIT 50 OFFSET 100"
+
+SQL["alert_dedupe"] = """WITH RECURSIVE ev AS (
+  SELECT event_type AS series_id, ts AS timestamp,
+         min(ts) OVER (PARTITION BY event_type ORDER BY ts
+                       RANGE BETWEEN INTERVAL 300 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt
+  FROM events),
+heads AS (SELECT series_id, min(timestamp) AS timestamp FROM ev GROUP BY 1),
+chain(series_id, timestamp, nxt) AS (
+  SELECT e.series_id, e.timestamp, e.nxt FROM ev e JOIN heads h USING (series_id, timestamp)
+  UNION ALL
+  SELECT e.series_id, e.timestamp, e.nxt FROM chain c JOIN ev e ON e.series_id = c.series_id AND e.timestamp = c.nxt)
+SELECT e.series_id, e.timestamp,
+       EXISTS (SELECT 1 FROM chain c WHERE c.series_id = e.series_id AND c.timestamp = e.timestamp) AS admitted
+FROM ev e"""
+
+SQL["freshness"] = _with(HOURLY) + """SELECT series_id, max(ds) AS newest,
+  CAST(date_diff('second', max(ds), TIMESTAMP '2024-01-31 00:02:00') AS BIGINT) AS age_s,
+  date_diff('second', max(ds), TIMESTAMP '2024-01-31 00:02:00') < 300 AS just_completed
+FROM hourly_load GROUP BY 1"""
+
+SQL["fresh_forecast"] = _with(HOURLY, LOAD_MW, _band(20.0)) + """, runs AS (
+  SELECT *, TIMESTAMP '2024-01-31 00:00:00' AS generated_at FROM band
+  UNION ALL SELECT *, TIMESTAMP '2024-01-31 00:02:00' AS generated_at FROM band),
+recent AS (SELECT *, 'profile' AS model, 24 AS hours FROM runs
+           WHERE generated_at > TIMESTAMP '2024-01-31 00:04:00' - INTERVAL 300 SECOND
+             AND generated_at <= TIMESTAMP '2024-01-31 00:04:00')
+SELECT series_id, model, hours, generated_at, step, ds, predicted_mw FROM recent r
+WHERE generated_at = (SELECT max(generated_at) FROM recent q WHERE q.series_id = r.series_id)"""

@@ -76,7 +76,7 @@ def page_completeness(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.schema(DEMAND_PAGE_SCHEMA).json(path)
     agg = pages.agg(
         F.coalesce(F.sum(F.size(F.coalesce("response.data", F.array()))), F.lit(0)).cast("bigint").alias("collected"),
-        F.max(F.try_cast("response.total", "bigint")).alias("declared_raw"),
+        F.max(F.col("response.total").try_cast("bigint")).alias("declared_raw"),
         F.count("*").alias("pages"),
     )
     return agg.select(
