@@ -12,7 +12,7 @@ standard deviation (80%: +/- 1.2816 sigma), not a sampled posterior.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -40,18 +40,18 @@ def fit_additive(df: DataFrame, value: str = "load_mw", key: str = "series_id",
                  n_changepoints: int = C.N_CHANGEPOINTS, seasonalities=C.SEASONALITIES,
                  fitted_at=None) -> DataFrame:
     """Fit per series; returns the model as a table (one row per series)."""
-    rows = df.where(not_missing(value)).select(key, ts, value)
-    bounds = rows.groupBy(key).agg(
-        F.min(epoch_days(ts)).alias("t0"), F.max(epoch_days(ts)).alias("t1"), F.max(ts).alias("last_ds"))
-    design = rows.join(bounds, key, "inner").select(
-        key,
+    w = Window.partitionBy(key)
+    rows = df.where(not_missing(value)).select(key, ts, value).withColumns({
+        "t0": F.min(epoch_days(ts)).over(w), "t1": F.max(epoch_days(ts)).over(w), "last_ds": F.max(ts).over(w)})
+    design = rows.select(
+        key, "t0", "t1", "last_ds",
         _design(F.col(ts), F.col("t0"), F.col("t1"), n_changepoints, C.CHANGEPOINT_RANGE, seasonalities).alias("x"),
         F.col(value).alias("y"),
     )
     n_season = sum(2 * o for _, _, o in seasonalities)
-    fit = fit_ridge(design, [key], _penalties(n_changepoints, n_season))
+    fit = fit_ridge(design, [key, "t0", "t1", "last_ds"], _penalties(n_changepoints, n_season))
     stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else F.localtimestamp()
-    return fit.join(bounds, key, "inner").select(
+    return fit.select(
         key, F.lit("additive").alias("model"), stamp.alias("fitted_at"), "t0", "t1", "last_ds",
         F.lit(n_changepoints).alias("n_changepoints"), "coef", "sigma", "n",
     )

@@ -14,14 +14,13 @@ the per-series state (24 lags, <= 168 covariate rows) is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import add_hours, calendar_columns, clip_forecast, proportional_band, rnd
 from ..operators.align import attach_weather
 from ..operators.grid import hourly_spine
-from ..operators.prep import minmax_bounds
 from .ridge import dot, fit_ridge
 
 FEATURES = ("load_mw", "temp_c", "hour_sin", "hour_cos", "weekday")
@@ -39,40 +38,45 @@ def _scaled(col: str) -> Column:
 
 
 def training_rows(history: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
-                  key: str = "series_id", ts: str = "ds", n_lags: int = C.SEQUENCE_LEN, train_until=None):
-    """(design rows, scaler bounds). ``train_until``: only rows before it are used (bounds too)."""
+                  key: str = "series_id", ts: str = "ds", n_lags: int = C.SEQUENCE_LEN, train_until=None) -> DataFrame:
+    """Design rows ``(key, bounds..., last_ds, x, y)``; bounds are per-series window aggregates.
+
+    ``train_until``: only rows before it are used (for the bounds too).
+    """
     hist = history.select(key, ts, F.col(value).alias("load_mw"))
     if train_until is not None:
         hist = hist.where(F.col(ts) < F.lit(train_until).cast("timestamp_ntz"))
     feats = _features(hourly_spine(hist, key, ts, ["load_mw"]), weather, ts)
-    bounds = minmax_bounds(feats.where(F.col("load_mw").isNotNull()), FEATURES, key)
-    scaled = feats.join(bounds, key, "inner").select(key, ts, *[_scaled(c).alias(c) for c in FEATURES],
-                                                     F.col("load_mw").isNotNull().alias("_present"))
-    from pyspark.sql import Window
+    present = F.col("load_mw").isNotNull()
+    ws = Window.partitionBy(key)
+    bounds = {}
+    for c in FEATURES:
+        bounds[f"{c}_min"] = F.min(F.when(present, F.col(c))).over(ws)
+        bounds[f"{c}_max"] = F.max(F.when(present, F.col(c))).over(ws)
+    bounds["last_ds"] = F.max(F.when(present, F.col(ts))).over(ws)
+    scaled = feats.withColumns(bounds).select(
+        key, ts, *bounds.keys(), *[_scaled(c).alias(c) for c in FEATURES], present.alias("_present"))
     w = Window.partitionBy(key).orderBy(ts)
     lags = [F.when(F.lag("_present", k).over(w), F.lag("load_mw", k).over(w)) for k in range(n_lags, 0, -1)]
     rows = scaled.select(
-        key, ts, F.col("_present"),
+        key, *bounds.keys(), F.col("_present"),
         F.array(F.lit(1.0), *lags, *[F.col(c) for c in COVARIATES]).alias("x"),
         F.col("load_mw").alias("y"),
     )
     ok = F.forall("x", lambda v: v.isNotNull()) & F.col("_present")
-    return rows.where(ok).drop("_present"), bounds
+    return rows.where(ok).drop("_present")
 
 
 def fit_autoregressive(history: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
                        key: str = "series_id", ts: str = "ds", n_lags: int = C.SEQUENCE_LEN, train_until=None,
                        penalty: float = 1e-4, fitted_at=None) -> DataFrame:
     """Fit per series; the model table carries coefficients, sigma and the scaler bounds."""
-    rows, bounds = training_rows(history, weather, value, key, ts, n_lags, train_until)
+    rows = training_rows(history, weather, value, key, ts, n_lags, train_until)
     p = 1 + n_lags + len(COVARIATES)
-    fit = fit_ridge(rows, [key], [1e-8] + [penalty] * (p - 1))
-    hist = history.select(key, ts, value)
-    if train_until is not None:
-        hist = hist.where(F.col(ts) < F.lit(train_until).cast("timestamp_ntz"))
-    last = hist.where(F.col(value).isNotNull()).groupBy(key).agg(F.max(ts).alias("last_ds"))
+    bound_cols = [f"{c}_{s}" for c in FEATURES for s in ("min", "max")]
+    fit = fit_ridge(rows, [key, *bound_cols, "last_ds"], [1e-8] + [penalty] * (p - 1))
     stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else F.localtimestamp()
-    return fit.join(bounds, key, "inner").join(last, key, "inner").select(
+    return fit.select(
         key, F.lit("autoregressive").alias("model"), stamp.alias("fitted_at"), "last_ds",
         F.lit(n_lags).alias("n_lags"), "coef", "sigma", "n",
         F.array(*[F.col(f"{c}_min") for c in FEATURES]).alias("feature_min"),
@@ -176,7 +180,6 @@ def forecast_fixed_ar(history: DataFrame, weights, hours: int, value: str = "loa
     """
     n = len(weights)
     coef = F.array(*[F.lit(float(w)) for w in reversed(weights)])   # window is oldest first
-    from pyspark.sql import Window
     w = Window.partitionBy(key).orderBy(F.col(ts).desc())
     last = history.select(key, ts, value).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     seed = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, value))).alias("_s"), F.max(ts).alias("_last"))

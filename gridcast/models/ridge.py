@@ -43,7 +43,9 @@ def _partials(keys: list[str], p: int):
 def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: str = "x", y: str = "y") -> DataFrame:
     """Ridge fit per key. ``df`` has the key columns, ``x ARRAY<DOUBLE>`` (length p) and ``y``.
 
-    Returns ``keys..., coef ARRAY<DOUBLE>, sigma DOUBLE, n BIGINT``.
+    Returns ``keys..., coef ARRAY<DOUBLE>, sigma DOUBLE, n BIGINT``. Extra key
+    columns that are constant within a series (bounds, last time) pass
+    through the fit unchanged, so they need no join back.
     """
     keys = list(keys)
     p = len(penalty)
@@ -58,12 +60,10 @@ def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: s
         F.col("x").isNotNull() & F.col("y").isNotNull() & (F.size("x") == p))
     parts = rows.mapInPandas(_partials(keys, p), part_schema)
 
-    # Phase 2: entry-wise sums. Entry i < p*p is X'X, then p entries of X'y, then y'y.
-    entries = F.concat("xtx", "xty", F.array(F.col("yty")))
-    long = parts.select(*keys, "n", F.posexplode(entries).alias("i", "v"))
-    summed = long.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    counts = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    stats = summed.join(counts, keys, "inner")
+    # Phase 2: entry-wise sums. Entry i < p*p is X'X, then p entries of X'y, then y'y, then n.
+    entries = F.concat("xtx", "xty", F.array(F.col("yty"), F.col("n").cast("double")))
+    long = parts.select(*keys, F.posexplode(entries).alias("i", "v"))
+    stats = long.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
 
     out_schema = T.StructType(key_fields + [
         T.StructField("coef", T.ArrayType(T.DoubleType())),
@@ -73,12 +73,12 @@ def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: s
     pen = np.asarray(penalty, dtype=np.float64)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(p * p + p + 1)
+        v = np.zeros(p * p + p + 2)
         v[pdf["i"].to_numpy()] = pdf["v"].to_numpy()
         xtx = v[: p * p].reshape(p, p)
         xty = v[p * p: p * p + p]
-        yty = v[-1]
-        n = int(pdf["n"].iloc[0])
+        yty = v[p * p + p]
+        n = int(round(v[p * p + p + 1]))
         b = np.linalg.solve(xtx + np.diag(pen), xty)
         rss = max(0.0, yty - 2.0 * b @ xty + b @ xtx @ b)
         sigma = float(np.sqrt(rss / max(n - p, 1)))

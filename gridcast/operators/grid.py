@@ -20,23 +20,36 @@ def series_bounds(df: DataFrame, key: str = "series_id", ts: str = "ds") -> Data
     return df.groupBy(key).agg(F.min(ts).alias("first_ds"), F.max(ts).alias("last_ds"))
 
 
+def _gap_expand(df: DataFrame, key: str, ts: str, cols: list[str]) -> DataFrame:
+    """Each row plus the missing hours up to the series' next row (``_present`` marks real rows).
+
+    One window per series (``lead``) and an ``explode``: a single pass over
+    the data, no aggregate joined back.
+    """
+    w = Window.partitionBy(key).orderBy(ts)
+    with_next = df.select(key, ts, *cols, F.lead(ts).over(w).alias("_next"))
+    span_end = F.coalesce(add_hours("_next", -1), F.col(ts))
+    rows = with_next.select(key, F.col(ts).alias("_t"), *cols,
+                            F.explode(F.sequence(F.col(ts), span_end, _one_hour())).alias("_g"))
+    present = F.col("_g") == F.col("_t")
+    return rows.select(key, F.col("_g").alias(ts), *[F.when(present, F.col(c)).alias(c) for c in cols],
+                       present.alias("_present"))
+
+
 def hourly_spine(df: DataFrame, key: str = "series_id", ts: str = "ds", values: list[str] | None = None) -> DataFrame:
     """Complete hourly grid from each series' first to last hour (both included).
 
     Rows missing in ``df`` appear with null values; ``values`` lists the
-    columns carried over (default: all non-key columns). The grid is
-    generated per series from a one-row-per-series bound table, so its cost
-    is the number of output rows.
+    columns carried over (default: all non-key columns). ``df`` holds at most
+    one row per (series, hour).
     """
     values = values if values is not None else [c for c in df.columns if c not in (key, ts)]
-    grid = series_bounds(df, key, ts).select(key, F.explode(F.sequence("first_ds", "last_ds", _one_hour())).alias(ts))
-    return grid.join(df.select(key, ts, *values), [key, ts], "left")
+    return _gap_expand(df.select(key, ts, *values), key, ts, values).drop("_present")
 
 
 def missing_hours(df: DataFrame, key: str = "series_id", ts: str = "ds") -> DataFrame:
     """Hours inside each series' span with no row (gap report)."""
-    grid = series_bounds(df, key, ts).select(key, F.explode(F.sequence("first_ds", "last_ds", _one_hour())).alias(ts))
-    return grid.join(df.select(key, ts), [key, ts], "left_anti")
+    return _gap_expand(df.select(key, ts), key, ts, []).where(~F.col("_present")).select(key, ts)
 
 
 def future_grid(df: DataFrame, hours: int, key: str = "series_id", ts: str = "ds") -> DataFrame:

@@ -41,6 +41,7 @@ from ..models import additive as ADD
 from ..models import autoregressive as AR
 from ..models import store as ST
 from ..sources import readers as RD
+from ..session import materialize
 from . import evaluation as EV
 from . import views as V
 
@@ -213,7 +214,7 @@ def q_attach_weather_asof(spark, sf):
 
 # ----------------------------------------------------------------------------- evaluation
 def _preds(spark, sf):
-    return EV.model_predictions(EV.split_parts(_lm(spark, sf).select("series_id", "ds", "load_mw")))
+    return EV.model_predictions(_lm(spark, sf).select("series_id", "ds", "load_mw"))
 
 
 def q_model_predictions(spark, sf):
@@ -311,13 +312,14 @@ def q_ar_fit(spark, sf):
 def q_ar_forecast(spark, sf):
     lm = _lm(spark, sf)
     cov = V.covariate(spark, sf)
-    return AR.forecast_autoregressive(AR.fit_autoregressive(lm, cov), lm, 24, cov).drop("generated_at")
+    model = materialize(AR.fit_autoregressive(lm, cov))   # the model table, computed once
+    return AR.forecast_autoregressive(model, lm, 24, cov).drop("generated_at")
 
 
 def q_model_fallback(spark, sf):
     lm = _lm(spark, sf)
     cov = V.covariate(spark, sf)
-    pref = AR.forecast_autoregressive(AR.fit_autoregressive(lm, cov), lm, 24, cov)
+    pref = AR.forecast_autoregressive(materialize(AR.fit_autoregressive(lm, cov)), lm, 24, cov)
     fb = ADD.forecast_additive(ADD.fit_additive(lm), 24)
     return ST.fallback_model(pref, fb).select("series_id", "model", "step", "ds")
 

@@ -4,26 +4,26 @@ Per series, rows in time order are split by position: the first
 ``int(n * 0.8)`` rows are training, the rest test; the last 10% of the
 training rows are validation and the rest "fit".
 
-* ``seasonal_naive`` predicts the value 24 hours earlier (joined by time).
+* ``seasonal_naive`` predicts the value 24 hours earlier (matched by time,
+  not by position: a range frame of exactly -24 hours).
 * ``profile`` predicts the fit-part mean by (hour, weekday).
 * ``ensemble`` combines them with inverse-MAE weights measured on the
-  validation part (not on the test rows it is scored on), matched by hour.
+  validation part (not on the test rows it is scored on), hour by hour.
 
 All three are scored on the same test hours (those where both base models
-have a prediction), aligned with the actual value by ``ds``.
+have a prediction). The whole chain is one lineage of window operators
+over the series (plus one over (series, hour, weekday) for the profile):
+the source is read once and no intermediate result is joined back.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import exact_mean, weekday0
-from ..operators.metrics import error_metrics, inverse_error_weights, weighted_prediction
-from ..operators.windows import seasonal_naive
+from ..functions import epoch_hours, weekday0
+from ..operators.metrics import error_metrics
 
 MODELS = ("seasonal_naive", "profile", "ensemble")
 
@@ -46,55 +46,56 @@ def split_parts(df: DataFrame, value: str = "load_mw", test_ratio: float = C.TES
     )
 
 
-def profile_model(parts: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds") -> DataFrame:
-    """Mean by (hour, weekday) over the fit part: the fitted seasonal profile as a table."""
-    fit = parts.where(F.col("part") == "fit")
-    return fit.groupBy(key, F.hour(ts).alias("hour"), weekday0(ts).alias("weekday")).agg(
-        exact_mean(value).alias("profile_mw")
+def wide_predictions(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds") -> DataFrame:
+    """``(series_id, ds, part, actual, seasonal_naive, profile)`` for every row of the series."""
+    parts = split_parts(df, value, key=key, ts=ts).withColumn("_eh", epoch_hours(ts))
+    day_before = Window.partitionBy(key).orderBy("_eh").rangeBetween(-24, -24)
+    slot = Window.partitionBy(key, F.hour(ts), weekday0(ts))
+    fit_v = F.when(F.col("part") == "fit", F.col(value))
+    profile = F.try_divide(F.sum(fit_v.cast("decimal(38,3)")).over(slot).cast("double"), F.count(fit_v).over(slot))
+    return parts.select(
+        key, ts, "part", F.col(value).alias("actual"),
+        F.first(value).over(day_before).alias("seasonal_naive"),
+        profile.alias("profile"),
     )
 
 
-def model_predictions(parts: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds") -> DataFrame:
-    """Long table ``(series_id, ds, part, actual, model, predicted)`` for both base models."""
-    naive = seasonal_naive(parts.select(key, ts, "part", value), value, 24, key, ts, "predicted")
-    prof = profile_model(parts, value, key, ts)
-    slots = parts.select(key, ts, "part", value, F.hour(ts).alias("hour"), weekday0(ts).alias("weekday"))
-    with_prof = slots.join(prof, [key, "hour", "weekday"], "left").select(
-        key, ts, "part", value, F.col("profile_mw").alias("predicted"))
-    a = naive.select(key, ts, "part", F.col(value).alias("actual"), F.lit("seasonal_naive").alias("model"), "predicted")
-    b = with_prof.select(key, ts, "part", F.col(value).alias("actual"), F.lit("profile").alias("model"), "predicted")
-    return a.unionByName(b).where(F.col("part") != "fit")
-
-
-def scored_rows(preds: DataFrame, key: str = "series_id", ts: str = "ds") -> DataFrame:
-    """Rows of hours where both base models predict (the common evaluation set), plus the ensemble."""
-    both = (
-        preds.where(F.col("predicted").isNotNull())
-        .groupBy(key, ts, "part").agg(F.count(F.lit(1)).alias("_m"))
-        .where(F.col("_m") == 2).drop("_m")
-    )
-    base = preds.join(both, [key, ts, "part"], "inner")
-    val_metrics = error_metrics(base.where(F.col("part") == "validation"), (key, "model"))
-    weights = inverse_error_weights(val_metrics, (key,))
-    test = base.where(F.col("part") == "test")
-    ens = weighted_prediction(test, weights, (key,), ts).join(
-        test.select(key, ts, "actual").distinct(), [key, ts], "inner"
-    ).select(key, ts, F.lit("test").alias("part"), "actual", F.lit("ensemble").alias("model"), "predicted")
-    return reduce(DataFrame.unionByName, [test, ens])
+def _long(df: DataFrame, models, key: str, ts: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in models])
+    return df.select(key, ts, "part", "actual", F.inline(pairs))
+
+
+def model_predictions(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds") -> DataFrame:
+    """Long table ``(series_id, ds, part, actual, model, predicted)`` of both base models, non-fit rows."""
+    wide = wide_predictions(df, value, key, ts).where(F.col("part") != "fit")
+    return _long(wide, MODELS[:2], key, ts)
+
+
+def scored_wide(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds") -> DataFrame:
+    """Common evaluation rows (both base models present) with the ensemble column and weights."""
+    wide = wide_predictions(df, value, key, ts)
+    common = wide.where((F.col("part") != "fit") & F.col("seasonal_naive").isNotNull() & F.col("profile").isNotNull())
+    w = Window.partitionBy(key)
+    val = F.col("part") == "validation"
+    inv = {m: F.try_divide(F.lit(1.0), F.avg(F.when(val, F.abs(F.col("actual") - F.col(m)))).over(w)) for m in MODELS[:2]}
+    total = inv["seasonal_naive"] + inv["profile"]
+    wa, wb = F.try_divide(inv["seasonal_naive"], total), F.try_divide(inv["profile"], total)
+    ens = F.try_divide(wa * F.col("seasonal_naive") + wb * F.col("profile"), wa + wb)
+    return common.select("*", wa.alias("w_seasonal_naive"), wb.alias("w_profile"), ens.alias("ensemble"))
 
 
 def evaluate(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds") -> DataFrame:
     """``(series_id, model, mae, rmse, mape, n)`` for the three models on the test part."""
-    rows = scored_rows(model_predictions(split_parts(df, value, key=key, ts=ts), value, key, ts), key, ts)
-    return error_metrics(rows, (key, "model"))
+    test = scored_wide(df, value, key, ts).where(F.col("part") == "test")
+    return error_metrics(_long(test, MODELS, key, ts), (key, "model"))
 
 
 def ensemble_weights(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds") -> DataFrame:
-    """Validation-part inverse-MAE weights of the two base models."""
-    preds = model_predictions(split_parts(df, value, key=key, ts=ts), value, key, ts)
-    both = (
-        preds.where(F.col("predicted").isNotNull()).groupBy(key, ts, "part").agg(F.count(F.lit(1)).alias("_m"))
-        .where(F.col("_m") == 2).drop("_m")
-    )
-    val = preds.join(both, [key, ts, "part"], "inner").where(F.col("part") == "validation")
-    return inverse_error_weights(error_metrics(val, (key, "model")), (key,))
+    """Validation-part inverse-MAE weights of the two base models, one row per (series, model)."""
+    wide = wide_predictions(df, value, key, ts)
+    val = wide.where((F.col("part") == "validation") & F.col("seasonal_naive").isNotNull() & F.col("profile").isNotNull())
+    mae = val.groupBy(key).agg(*[F.avg(F.abs(F.col("actual") - F.col(m))).alias(m) for m in MODELS[:2]])
+    inv = {m: F.try_divide(F.lit(1.0), F.col(m)) for m in MODELS[:2]}
+    total = inv["seasonal_naive"] + inv["profile"]
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.try_divide(inv[m], total).alias("weight")) for m in MODELS[:2]])
+    return mae.select(key, F.inline(pairs))

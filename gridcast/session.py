@@ -57,3 +57,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Cut the lineage of a result that is read several times (a fitted model, a prepared history).
+
+    A reliable ``checkpoint()`` into the shared checkpoint folder: it is
+    computed once, survives the loss of the executors that computed it, and
+    later plans read it instead of recomputing from the raw scan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
