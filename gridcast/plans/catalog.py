@@ -41,7 +41,8 @@ from ..models import additive as ADD
 from ..models import autoregressive as AR
 from ..models import store as ST
 from ..sources import readers as RD
-from ..session import materialize
+from ..session import materialize, shared_path
+from ..streaming import jobs as STR
 from . import evaluation as EV
 from . import views as V
 
@@ -386,6 +387,53 @@ def q_fresh_forecast(spark, sf):
                                                                       "step", "ds", "predicted_mw")
 
 
+# ----------------------------------------------------------------------------- payload, alignment, streams
+def q_alert_payload(spark, sf):
+    """Nested alert event per series from the 24 h forecast at threshold 13 (peak, window, schedule)."""
+    fc = _profile_forecast(spark, sf, threshold=13.0).withColumn("model", F.lit("profile"))
+    peaks = AL.forecast_peak(AL.breaches(fc, 13.0), ["series_id"], carry=("model",))
+    sched = AL.shed_schedule(peaks, 13.0, keys=["series_id"])
+    return AL.alert_payload(fc, sched, 13.0, triggered_at="2024-01-31 00:00:00")
+
+
+def q_align_models(spark, sf):
+    band = _profile_forecast(spark, sf).select("series_id", "ds", F.col("predicted_mw").alias("predicted"))
+    ar3 = AR.forecast_fixed_ar(_lm(spark, sf), (0.5, 0.3, 0.2), 24)
+    j = J.align_models(band, ar3, names=("profile", "ar3"))
+    return j.select("series_id", "ds", "profile_predicted", rnd("ar3_predicted", 6).alias("ar3_predicted"))
+
+
+def _events_stream(spark, sf):
+    schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    return src.select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _run_stream(df, name):
+    """Run a streaming plan to completion (availableNow) into a Parquet sink in the shared folder."""
+    import uuid
+
+    base = shared_path(df.sparkSession, f"streams/{name}-{uuid.uuid4().hex}")
+    q = (df.writeStream.format("parquet").option("path", base + "/out")
+         .option("checkpointLocation", base + "/checkpoint").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.read.parquet(base + "/out")
+
+
+def q_stream_hourly_load(spark, sf):
+    """R1 over the events table as a stream: closed hours only (the watermark keeps the newest hour open)."""
+    out = _run_stream(STR.stream_hourly_load(_events_stream(spark, sf), "1 hour"), "hourly")
+    return out.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load")
+
+
+def q_stream_alert_cooldown(spark, sf):
+    """R3 stateful cooldown over the events table as a stream of alert requests."""
+    alerts = _events_stream(spark, sf).select("series_id", F.col("ts").alias("ds"), F.col("value").alias("load_mw"))
+    out = _run_stream(STR.stream_dedupe_alerts(alerts, C.ALERT_COOLDOWN_S, "1 hour"), "cooldown")
+    return out.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load_mw")
+
+
 QUERIES: dict[str, Query] = {
     "hourly_load": q_hourly_load,
     "hourly_spine": q_hourly_spine,
@@ -442,4 +490,8 @@ QUERIES: dict[str, Query] = {
     "alert_dedupe": q_alert_dedupe,
     "freshness": q_freshness,
     "fresh_forecast": q_fresh_forecast,
+    "alert_payload": q_alert_payload,
+    "align_models": q_align_models,
+    "stream_hourly_load": q_stream_hourly_load,
+    "stream_alert_cooldown": q_stream_alert_cooldown,
 }

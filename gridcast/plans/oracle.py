@@ -407,3 +407,31 @@ recent AS (SELECT *, 'profile' AS model, 24 AS hours FROM runs
              AND generated_at <= TIMESTAMP '2024-01-31 00:04:00')
 SELECT series_id, model, hours, generated_at, step, ds, predicted_mw FROM recent r
 WHERE generated_at = (SELECT max(generated_at) FROM recent q WHERE q.series_id = r.series_id)"""
+
+SQL["align_models"] = "WITH RECURSIVE " + HOURLY + ",\n" + LOAD_MW + ",\n" + _band(20.0) + f""",
+seed AS (
+  SELECT series_id, max(ds) AS last_ds, max(CASE WHEN rn = 1 THEN load_mw END) AS l1,
+         max(CASE WHEN rn = 2 THEN load_mw END) AS l2, max(CASE WHEN rn = 3 THEN load_mw END) AS l3
+  FROM (SELECT series_id, ds, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS rn FROM load_mw)
+  WHERE rn <= 3 GROUP BY 1 HAVING count(*) = 3),
+rec(series_id, step, ds, y, l1, l2, l3) AS (
+  SELECT series_id, 0, last_ds, CAST(NULL AS DOUBLE), l1, l2, l3 FROM seed
+  UNION ALL
+  SELECT series_id, step + 1, ds + INTERVAL 1 HOUR,
+         0e0 + l3 * 0.2e0 + l2 * 0.3e0 + l1 * 0.5e0,
+         0e0 + l3 * 0.2e0 + l2 * 0.3e0 + l1 * 0.5e0, l1, l2
+  FROM rec WHERE step < 24)
+SELECT b.series_id, b.ds, b.predicted_mw AS profile_predicted, {R('r.y', 6)} AS ar3_predicted
+FROM band b JOIN rec r ON r.series_id = b.series_id AND r.ds = b.ds AND r.step > 0"""
+
+# The whole table arrives in one micro-batch; the global watermark is max(ts) - 1 hour and an
+# hour is emitted once its window end is at or before it.
+SQL["stream_hourly_load"] = _with(HOURLY) + """SELECT series_id, ds, load FROM hourly_load
+WHERE ds + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+SQL["stream_alert_cooldown"] = SQL["alert_dedupe"].replace(
+    "SELECT event_type AS series_id, ts AS timestamp,", "SELECT event_type AS series_id, ts AS timestamp, value,"
+).replace("""SELECT e.series_id, e.timestamp,
+       EXISTS (SELECT 1 FROM chain c WHERE c.series_id = e.series_id AND c.timestamp = e.timestamp) AS admitted
+FROM ev e""", """SELECT e.series_id, e.timestamp AS ds, e.value AS load_mw FROM ev e
+WHERE EXISTS (SELECT 1 FROM chain c WHERE c.series_id = e.series_id AND c.timestamp = e.timestamp)""")

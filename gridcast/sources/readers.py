@@ -92,11 +92,9 @@ def clean_demand(raw: DataFrame, respondent: str | None = None, kind: str | None
     Facet filter (respondent / type), period parse, numeric coercion (bad
     text to null), drop missing; the respondent is the series key.
     """
-    df = raw
-    if respondent is not None:
-        df = df.where(F.col("respondent") == respondent)
-    if kind is not None:
-        df = df.where(F.col("type") == kind)
+    from ..operators.prep import facet_filter
+
+    df = facet_filter(raw, respondent=respondent, type=kind)
     return (
         df.select(
             F.col("respondent").alias("series_id"),
