@@ -289,46 +289,86 @@ def freshness(df: DataFrame, now, within_s: int = 300, key: str = "series_id", t
 # --------------------------------------------------------------------------- R3 (batch)
 def dedupe_alerts(alerts: DataFrame, cooldown_s: int = C.ALERT_COOLDOWN_S, keys=("series_id",),
                   ts: str = "timestamp") -> DataFrame:
-    """Flag ``admitted``: at least ``cooldown_s`` seconds since the last *admitted* alert.
-
-    Exact and distributed. A gap of ``cooldown_s`` or more since the previous
-    alert always admits, so each series is first cut into bursts at such
-    gaps. Inside a burst the admitted alerts are the chain ``head -> first
-    alert at or after t + cooldown -> ...``. Every alert's successor comes
-    from a range-frame ``min`` over its burst; the chain is then enumerated by
-    pointer doubling: round k joins the admitted set with the ``2^k``-step
-    jump table and squares the table, so a burst of n alerts takes
-    ``log2(n)`` rounds of equi-joins. Each round's tables are cut from the
-    lineage with ``checkpoint()`` (the shared checkpoint folder).
+    """Flag ``admitted``: at least ``cooldown_s`` seconds since the last *admitted* alert of the key.
+
+    Exact, and no step needs all rows of one key in one task:
+
+    1. Successor of every alert time t: the first alert at or after
+       ``t + cooldown``. Time is cut into buckets of ``cooldown`` length, so
+       the successor lies in bucket ``b(t) + 1`` or, if that bucket has
+       nothing at or after the target, it is the first alert of the next
+       non-empty bucket. The first case is a window per (key, bucket); the
+       second is a ``lead`` over the per-key table of non-empty buckets
+       (bounded by time span / cooldown, not by the number of alerts).
+    2. Heads: an alert with no alert in the ``cooldown`` before it is always
+       admitted (its predecessor comes from the same bucket machinery).
+    3. The admitted alerts are the successor chains from the heads,
+       enumerated by pointer doubling: round k joins the admitted set with
+       the ``2^k``-step jump table and squares the table, all equi-joins on
+       (key, time). A chain enters a burst only at its head, so the walk is
+       complete when a round adds nothing: ``log2`` of the longest chain in a
+       burst rounds. Each round's tables are cut from the lineage with
+       ``checkpoint()``.
+
+    Alerts at the same instant as an admitted one are not admitted (0 s).
     """
     from ..session import ensure_checkpoint_dir
 
     keys = [keys] if isinstance(keys, str) else list(keys)
     ensure_checkpoint_dir(alerts.sparkSession)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    cool_us = int(cooldown_s) * 1_000_000
-    w = Window.partitionBy(*keys).orderBy("_t", "_tie")
-    base = (alerts.withColumn("_t", micros).withColumn("_tie", F.monotonically_increasing_id())
-            .withColumn("_gap", F.col("_t") - F.lag("_t").over(w)))
-    starts = F.when(F.col("_gap").isNull() | (F.col("_gap") >= F.lit(cool_us)), 1).otherwise(0)
-    base = base.withColumn("_burst", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wb = Window.partitionBy(*keys, "_burst").orderBy("_t", "_tie")
-    base = base.withColumn("_pos", F.row_number().over(wb))
-    succ = Window.partitionBy(*keys, "_burst").orderBy("_t").rangeBetween(cool_us, Window.unboundedFollowing)
-    base = base.withColumn("_next", F.min("_pos").over(succ)).checkpoint(eager=True)
-
-    bk = [*keys, "_burst"]
-    jump = base.where(F.col("_next").isNotNull()).select(*bk, "_pos", F.col("_next").alias("_to"))
-    admitted = base.where(F.col("_pos") == 1).select(*bk, "_pos")
-    while jump.limit(1).count() > 0:
-        moved = admitted.join(jump, [*bk, "_pos"], "inner").select(*bk, F.col("_to").alias("_pos"))
-        admitted = admitted.unionByName(moved).distinct().checkpoint(eager=True)
-        j2 = jump.alias("a").join(
-            jump.alias("b"),
-            [F.col(f"a.{k}") == F.col(f"b.{k}") for k in bk] + [F.col("a._to") == F.col("b._pos")],
-            "inner",
-        ).select(*[F.col(f"a.{k}") for k in bk], F.col("a._pos"), F.col("b._to"))
-        jump = j2.checkpoint(eager=True)
-    flagged = base.join(admitted.withColumn("_adm", F.lit(True)), [*bk, "_pos"], "left")
-    return flagged.withColumn("admitted", F.coalesce("_adm", F.lit(False))).drop(
-        "_t", "_tie", "_gap", "_burst", "_pos", "_next", "_adm")
+    cool = int(cooldown_s) * 1_000_000
+    base = alerts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    ev = base.where(F.col("_t").isNotNull()).select(*keys, "_t").distinct().withColumn("_b", F.floor(F.col("_t") / cool))
+
+    # (1a) successor inside bucket b + 1: probes (t + cool) and candidates share a (key, bucket) window.
+    cand = ev.select(*keys, "_b", F.col("_t").alias("_time"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_src"))
+    probe = ev.select(*keys, (F.col("_b") + 1).alias("_b"), (F.col("_t") + F.lit(cool)).alias("_time"),
+                      F.lit(1).alias("_kind"), F.col("_t").alias("_src"))
+    # Descending time with a running frame (linear); at equal time candidates come first.
+    w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_time").desc(), F.col("_kind").asc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = (cand.unionByName(probe)
+              .withColumn("_nx", F.min(F.when(F.col("_kind") == 0, F.col("_time"))).over(w))
+              .where(F.col("_kind") == 1)
+              .select(*keys, F.col("_src").alias("_t"), F.col("_b").alias("_b1"), "_nx"))
+    # (1b) otherwise: first alert of the next non-empty bucket after b + 1 (or after b when b + 1 is empty).
+    buckets = ev.groupBy(*keys, "_b").agg(F.min("_t").alias("_tmin"))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    after = buckets.select(*keys, "_b", F.lead("_tmin").over(wb).alias("_after"))
+    a1 = after.select(*keys, F.col("_b").alias("_b1"), F.col("_after").alias("_after_b1"))
+    a0 = after.select(*keys, (F.col("_b") + 1).alias("_b1"), F.col("_after").alias("_after_b0"))
+    nb = buckets.select(*keys, F.col("_b").alias("_b1"), F.lit(True).alias("_b1_full"))
+    nodes = (inside.join(nb, [*keys, "_b1"], "left").join(a1, [*keys, "_b1"], "left").join(a0, [*keys, "_b1"], "left")
+             .select(*keys, "_t", F.coalesce("_nx", F.when(F.col("_b1_full"), F.col("_after_b1"))
+                                          .otherwise(F.col("_after_b0"))).alias("_to")))
+
+    # (2) chain heads: an alert with no alert in the cooldown before it is always admitted. Its
+    # predecessor is the previous alert in its bucket, else the last alert of the previous non-empty bucket.
+    wp = Window.partitionBy(*keys, "_b").orderBy("_t")
+    last_before = buckets.join(ev.groupBy(*keys, "_b").agg(F.max("_t").alias("_tmax")), [*keys, "_b"], "inner") \
+        .select(*keys, "_b", F.lag("_tmax").over(wb).alias("_prev_bucket_max"))
+    prev = ev.withColumn("_p", F.lag("_t").over(wp)).join(last_before, [*keys, "_b"], "inner") \
+        .select(*keys, "_t", F.coalesce("_p", "_prev_bucket_max").alias("_prev"))
+    heads = prev.where(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= F.lit(cool))).select(*keys, "_t")
+
+    # (3) pointer doubling from all heads at once; chains enter a burst only at its head, so the walk
+    # is complete as soon as a round admits nothing new.
+    jump = nodes.where(F.col("_to").isNotNull()).select(*keys, "_t", "_to").checkpoint(eager=True)
+    admitted = heads.checkpoint(eager=True)
+    while True:
+        moved = admitted.join(jump, [*keys, "_t"], "inner").select(*keys, F.col("_to").alias("_t"))
+        new = moved.distinct().join(admitted, [*keys, "_t"], "left_anti").checkpoint(eager=True)
+        if new.isEmpty():
+            break
+        admitted = admitted.unionByName(new).checkpoint(eager=True)
+        nxt = jump.alias("a").join(
+            jump.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._to") == F.col("b._t")],
+            "inner").select(*[F.col(f"a.{k}") for k in keys], F.col("a._t"), F.col("b._to"))
+        jump = nxt.checkpoint(eager=True)
+
+    # Several alerts at one instant: only the first (ordered by all their columns) can be admitted.
+    others = [c for c in alerts.columns if c not in keys]
+    first = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(*others)) == 1
+    flagged = base.withColumn("_first", first).join(admitted.withColumn("_adm", F.lit(True)), [*keys, "_t"], "left")
+    return flagged.withColumn("admitted", F.coalesce(F.col("_adm") & F.col("_first"), F.lit(False))).drop(
+        "_t", "_first", "_adm")
