@@ -434,6 +434,15 @@ def q_stream_alert_cooldown(spark, sf):
     return out.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load_mw")
 
 
+def q_model_evaluation(spark, sf):
+    m = EV.evaluate_models(_lm(spark, sf).select("series_id", "ds", "load_mw"), V.covariate(spark, sf))
+    return m.select("series_id", "model", *[rnd(c, 6).alias(c) for c in ("mae", "rmse", "mape")], "n")
+
+
+def q_model_leaderboard(spark, sf):
+    return ME.leaderboard(EV.evaluate_models(_lm(spark, sf).select("series_id", "ds", "load_mw"), V.covariate(spark, sf)))
+
+
 QUERIES: dict[str, Query] = {
     "hourly_load": q_hourly_load,
     "hourly_spine": q_hourly_spine,
@@ -494,4 +503,6 @@ QUERIES: dict[str, Query] = {
     "align_models": q_align_models,
     "stream_hourly_load": q_stream_hourly_load,
     "stream_alert_cooldown": q_stream_alert_cooldown,
+    "model_evaluation": q_model_evaluation,
+    "model_leaderboard": q_model_leaderboard,
 }

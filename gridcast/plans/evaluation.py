@@ -99,3 +99,35 @@ def ensemble_weights(df: DataFrame, value: str = "load_mw", key: str = "series_i
     total = inv["seasonal_naive"] + inv["profile"]
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.try_divide(inv[m], total).alias("weight")) for m in MODELS[:2]])
     return mae.select(key, F.inline(pairs))
+
+
+def evaluate_models(df: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
+                    key: str = "series_id", ts: str = "ds", horizon: int = C.MAX_HORIZON_H) -> DataFrame:
+    """Additive and autoregressive models scored on each series' test part (M5 with the fitted models).
+
+    Both are fitted on the training rows only (the first ``int(n * 0.8)``),
+    forecast up to ``horizon`` hours from the end of training in one
+    recursion (the autoregressive model gets the test hours' actual
+    covariates, as the reference does), and are aligned with the actual load
+    by ``ds``. The ensemble weights are the inverse test MAEs, as in the
+    reference (here over the same hours for both models).
+    """
+    from ..models.additive import fit_additive, forecast_additive
+    from ..models.autoregressive import fit_autoregressive, forecast_autoregressive
+    from ..session import materialize
+
+    parts = materialize(split_parts(df, value, key=key, ts=ts).select(key, ts, value, "part"))
+    train = parts.where(F.col("part") != "test").select(key, ts, value)
+    test = parts.where(F.col("part") == "test").select(key, ts, F.col(value).alias("actual"))
+    add = forecast_additive(materialize(fit_additive(train, value, key, ts)), horizon, key=key)
+    ar_model = materialize(fit_autoregressive(train, weather, value, key, ts))
+    ar = forecast_autoregressive(ar_model, train, horizon, weather, value=value, key=key, ts=ts)
+    wide = (test.join(add.select(key, ts, F.col("predicted_mw").alias("additive")), [key, ts], "inner")
+            .join(ar.select(key, ts, F.col("predicted_mw").alias("autoregressive")), [key, ts], "inner"))
+    w = Window.partitionBy(key)
+    inv = {m: F.try_divide(F.lit(1.0), F.avg(F.abs(F.col("actual") - F.col(m))).over(w))
+           for m in ("additive", "autoregressive")}
+    tot = inv["additive"] + inv["autoregressive"]
+    ens = F.try_divide(inv["additive"] * F.col("additive") + inv["autoregressive"] * F.col("autoregressive"), tot)
+    scored = wide.withColumn("ensemble", ens).withColumn("part", F.lit("test"))
+    return error_metrics(_long(scored, ("additive", "autoregressive", "ensemble"), key, ts), (key, "model"))
