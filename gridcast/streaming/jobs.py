@@ -152,9 +152,9 @@ def forecast_alert_batch(batch: DataFrame, batch_id: int, load_path: str, model_
     from ..models.store import read_model
 
     spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     hours_df = batch.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load")
-    hours_df.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite").partitionBy("batch_id").parquet(load_path)
+    (hours_df.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(load_path))
     newest = hours_df.groupBy("series_id").agg(F.max("ds").alias("_newest"))
     model = read_model(spark, model_path, "additive").join(newest, "series_id", "inner")
     model = model.withColumn("last_ds", F.greatest("last_ds", "_newest")).drop("_newest")
@@ -166,7 +166,7 @@ def forecast_alert_batch(batch: DataFrame, batch_id: int, load_path: str, model_
     events = peaks.join(arr, "series_id", "left").select(
         "series_id", F.localtimestamp().alias("timestamp"), "peak_mw", "model",
         F.col("shed_schedule").alias("schedule"), F.lit(int(batch_id)).alias("batch_id"))
-    events.write.mode("overwrite").partitionBy("batch_id").parquet(alert_path)
+    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(alert_path)
 
 
 def run_forecast_job(readings: DataFrame, checkpoint: str, load_path: str, model_path: str, alert_path: str,
