@@ -8,8 +8,8 @@ so nothing grows with the number of rows.
 Phase 2 (Spark aggregate): the partials are summed entry by entry with a
 ``groupBy(series, entry)`` sum (partial aggregation, distributed).
 
-Phase 3 (``applyInPandas``): each series receives exactly its ``p^2 + p``
-summed entries and solves ``(X'X + diag(penalty)) b = X'y`` with numpy. The
+Phase 3 (``applyInPandas``): each series receives exactly its
+``p(p+1)/2 + p + 2`` summed entries and solves ``(X'X + diag(penalty)) b = X'y`` with numpy. The
 residual variance comes from the same statistics:
 ``sigma^2 = (y'y - 2 b'X'y + b'X'X b) / (n - p)``.
 """
@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 
 def _partials(keys: list[str], p: int):
+    iu = np.triu_indices(p)   # X'X is symmetric: only its upper triangle is shipped
+
     def run(batches):
         for pdf in batches:
             if pdf.empty:
@@ -35,7 +37,7 @@ def _partials(keys: list[str], p: int):
                 X = np.stack(g["x"].to_numpy()).astype(np.float64).reshape(len(g), p)
                 y = g["y"].to_numpy(dtype=np.float64)
                 row = {k: v for k, v in zip(keys, kv)}
-                row.update(xtx=(X.T @ X).ravel().tolist(), xty=(X.T @ y).tolist(), yty=float(y @ y), n=len(g))
+                row.update(xtx=(X.T @ X)[iu].tolist(), xty=(X.T @ y).tolist(), yty=float(y @ y), n=len(g))
                 yield pd.DataFrame([row])
     return run
 
@@ -60,7 +62,8 @@ def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: s
         F.col("x").isNotNull() & F.col("y").isNotNull() & (F.size("x") == p))
     parts = rows.mapInPandas(_partials(keys, p), part_schema)
 
-    # Phase 2: entry-wise sums. Entry i < p*p is X'X, then p entries of X'y, then y'y, then n.
+    # Phase 2: entry-wise sums. The first p(p+1)/2 entries are X'X's upper triangle, then p
+    # entries of X'y, then y'y, then n.
     entries = F.concat("xtx", "xty", F.array(F.col("yty"), F.col("n").cast("double")))
     long = parts.select(*keys, F.posexplode(entries).alias("i", "v"))
     stats = long.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
@@ -73,12 +76,15 @@ def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: s
     pen = np.asarray(penalty, dtype=np.float64)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(p * p + p + 2)
+        m = p * (p + 1) // 2
+        v = np.zeros(m + p + 2)
         v[pdf["i"].to_numpy()] = pdf["v"].to_numpy()
-        xtx = v[: p * p].reshape(p, p)
-        xty = v[p * p: p * p + p]
-        yty = v[p * p + p]
-        n = int(round(v[p * p + p + 1]))
+        xtx = np.zeros((p, p))
+        xtx[np.triu_indices(p)] = v[:m]
+        xtx = xtx + np.triu(xtx, 1).T
+        xty = v[m: m + p]
+        yty = v[m + p]
+        n = int(round(v[m + p + 1]))
         b = np.linalg.solve(xtx + np.diag(pen), xty)
         rss = max(0.0, yty - 2.0 * b @ xty + b @ xtx @ b)
         sigma = float(np.sqrt(rss / max(n - p, 1)))

@@ -346,9 +346,9 @@ def q_demand_from_text(spark, sf):
 
 
 def q_combine_pages(spark, sf):
-    hl = V.hourly_load(spark, sf).withColumnRenamed("ds", "period")
-    a = PR.time_range(hl, end="2024-01-20", ts="period").withColumn("page", F.lit(1))
-    b = PR.time_range(hl, start="2024-01-15", ts="period").withColumn("page", F.lit(2))
+    """Two overlapping pages of hourly demand (time ranges pushed to the scan), appended; newest page wins."""
+    a = V.hourly_load(spark, sf, end="2024-01-20").withColumnRenamed("ds", "period").withColumn("page", F.lit(1))
+    b = V.hourly_load(spark, sf, start="2024-01-15").withColumnRenamed("ds", "period").withColumn("page", F.lit(2))
     return G.combine_pages(a, b, key=("series_id", "period"), order="page")
 
 
@@ -443,6 +443,29 @@ def q_model_leaderboard(spark, sf):
     return ME.leaderboard(EV.evaluate_models(_lm(spark, sf).select("series_id", "ds", "load_mw"), V.covariate(spark, sf)))
 
 
+def q_stream_threshold_alerts(spark, sf):
+    """R2: stream hours rescaled with per-series bounds of the batch history; breaches at 20 MW."""
+    bounds = STR.rescale_bounds(V.hourly_load(spark, sf))
+    hourly = STR.stream_hourly_load(_events_stream(spark, sf), "1 hour")
+    out = _run_stream(STR.stream_threshold_alerts(hourly, bounds, C.THRESHOLD_MW), "alerts")
+    return out.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load", "load_mw")
+
+
+def q_stream_forecast_job(spark, sf):
+    """The hourly job on the events stream: additive model table -> foreachBatch forecast, peak,
+    schedule -> alert log (threshold 13 MW so that alerts occur)."""
+    import uuid
+
+    base = shared_path(spark, f"jobs/forecast-{uuid.uuid4().hex}")
+    ST.write_model(ADD.fit_additive(_lm(spark, sf)), base + "/models")
+    readings = _events_stream(spark, sf).select("series_id", "ts", "value")
+    q = STR.run_forecast_job(readings, base + "/checkpoint", base + "/load", base + "/models", base + "/alerts",
+                             hours=24, threshold=13.0, delay="1 hour")
+    q.awaitTermination()
+    log = spark.read.parquet(base + "/alerts")
+    return log.select("series_id", "peak_mw", "model", F.size("schedule").alias("zones"), "batch_id")
+
+
 QUERIES: dict[str, Query] = {
     "hourly_load": q_hourly_load,
     "hourly_spine": q_hourly_spine,
@@ -505,4 +528,6 @@ QUERIES: dict[str, Query] = {
     "stream_alert_cooldown": q_stream_alert_cooldown,
     "model_evaluation": q_model_evaluation,
     "model_leaderboard": q_model_leaderboard,
+    "stream_threshold_alerts": q_stream_threshold_alerts,
+    "stream_forecast_job": q_stream_forecast_job,
 }

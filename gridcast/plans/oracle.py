@@ -435,3 +435,6 @@ SQL["stream_alert_cooldown"] = SQL["alert_dedupe"].replace(
        EXISTS (SELECT 1 FROM chain c WHERE c.series_id = e.series_id AND c.timestamp = e.timestamp) AS admitted
 FROM ev e""", """SELECT e.series_id, e.timestamp AS ds, e.value AS load_mw FROM ev e
 WHERE EXISTS (SELECT 1 FROM chain c WHERE c.series_id = e.series_id AND c.timestamp = e.timestamp)""")
+
+SQL["stream_threshold_alerts"] = _with(HOURLY, LOAD_MW) + """SELECT series_id, ds, load, load_mw FROM load_mw
+WHERE load_mw >= 20e0 AND ds + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""

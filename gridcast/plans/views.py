@@ -23,9 +23,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events")
 
 
-def hourly_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(series_id, ds, load)``: per event type and hour, ``value`` summed exactly."""
-    return demand_from_events(events(spark, sf_dir).select("event_type", "ts", "value"))
+def hourly_load(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """``(series_id, ds, load)``: per event type and hour, ``value`` summed exactly (optional hour range)."""
+    return demand_from_events(events(spark, sf_dir).select("event_type", "ts", "value"), start=start, end=end)
 
 
 def hourly_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
