@@ -1,9 +1,11 @@
 """Two-phase ridge regression per series (the model fit of M1 and M3).
 
-Phase 1 (``mapInPandas``): each task reduces its rows of each series to the
-sufficient statistics ``X'X``, ``X'y``, ``y'y`` and ``n``. A hot series is
-spread over many tasks, and each task emits one ``p x p`` partial per series,
-so nothing grows with the number of rows.
+Phase 1 (``mapInPandas``): each task reduces its rows of each series, Arrow
+batch by Arrow batch, to the sufficient statistics ``X'X`` (upper triangle),
+``X'y``, ``y'y`` and ``n``; memory per task is one batch. Wherever a
+series' rows sit (one task after a per-series window, as in the hourly
+models, or many tasks for raw input), each task emits one partial per
+series, so what is shuffled does not grow with the number of rows.
 
 Phase 2 (Spark aggregate): the partials are summed entry by entry with a
 ``groupBy(series, entry)`` sum (partial aggregation, distributed).

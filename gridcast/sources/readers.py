@@ -69,7 +69,7 @@ def read_demand_pages(spark: SparkSession, path: str) -> DataFrame:
     Output: ``page (file name), respondent, type, period, value`` (all text;
     typed later by :func:`clean_demand`).
     """
-    pages = spark.read.schema(DEMAND_PAGE_SCHEMA).json(path).withColumn("page", F.input_file_name())
+    pages = spark.read.schema(DEMAND_PAGE_SCHEMA).json(path).withColumn("page", F.col("_metadata.file_path"))
     return pages.select("page", F.inline_outer("response.data")).where(F.col("period").isNotNull())
 
 
