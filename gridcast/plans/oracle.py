@@ -302,7 +302,7 @@ SQL["leaderboard"] = EV_WITH + f"""SELECT series_id, model, "rank", {R('mae', 3)
   {R('mape', 2)} AS mape, {R('score', 3)} AS score, quality, "rank" = 1 AS recommended FROM lb"""
 
 SQL["recommendation"] = EV_WITH + f"""SELECT series_id, model AS recommended_model,
-  printf('%s is recommended because it has the lowest combined error score. Its MAPE is %s%%, which is %s for this use case.',
+  printf('%s is recommended because it has the lowest combined error score. Its MAPE is %s%%, which is %s for this use case. Lower MAE/RMSE means the model stays closer to real demand in MW, while lower MAPE means better percentage accuracy.',
          model, printf('%.2f', {R(R('mape', 2), 2)}), quality) AS explanation
 FROM lb WHERE "rank" = 1"""
 
