@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import add_hours, calendar_columns, clip_forecast, proportional_band, rnd
+from ..functions import add_hours, calendar_columns, clip_forecast, epoch_hours, proportional_band, rnd
 from ..operators.align import attach_weather
 from ..operators.grid import hourly_spine
 from .ridge import dot, fit_ridge
@@ -114,34 +114,31 @@ def recursive_fold(seed: Column, coef: Column, steps: Column, cov_fields=(), int
     return F.aggregate(steps, init, step, lambda acc: acc["out"])
 
 
-def forecast_autoregressive(model: DataFrame, history: DataFrame, hours: int, weather: DataFrame | None = None,
-                            threshold: float = C.THRESHOLD_MW, value: str = "load_mw", key: str = "series_id",
-                            ts: str = "ds", generated_at=None) -> DataFrame:
-    """Forecast ``hours`` steps after the model's last hour, feeding each prediction back."""
-    if not 1 <= int(hours) <= C.MAX_HORIZON_H:
-        raise ValueError("hours must be in 1..168")
-    m = model.select(key, "last_ds", "n_lags", "coef", "feature_min", "feature_max")
+def _fold_forecast(mo: DataFrame, seed_rows: DataFrame, hours: int, weather: DataFrame | None, keys: list[str],
+                   ts: str) -> DataFrame:
+    """Recursive forecasts for each origin row of ``mo``.
+
+    ``mo``: ``keys..., _origin, n_lags, coef, feature_min, feature_max`` (one row per forecast origin).
+    ``seed_rows``: ``keys..., ds, _v`` - history hours inside each origin's seed window (``n_lags``
+    hours up to the origin). A missing seed hour takes the previous hour's value (leading gaps the
+    first value present); an origin with no value in its window is skipped.
+    Returns ``keys..., step, ds, _p`` (unrounded MW).
+    """
     lo0, hi0 = F.col("feature_min")[0], F.col("feature_max")[0]
     span0 = F.nullif(hi0 - lo0, F.lit(0.0))
-    # Seed: the n_lags hours up to last_ds. A missing hour takes the previous hour's value
-    # (leading gaps the first value present); a series with no value in the window is skipped.
-    hist = history.select(key, ts, F.col(value).alias("_v")).join(m.select(key, "last_ds", "n_lags"), key, "inner")
-    seed_rows = hist.where((F.col(ts) <= F.col("last_ds")) & (F.col(ts) > add_hours("last_ds", -F.col("n_lags")))
-                           & F.col("_v").isNotNull())
-    seed = seed_rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(ts, "_v"))).alias("_sm"))
-    # Covariates of the horizon.
-    grid = m.select(key, F.posexplode(F.sequence(add_hours("last_ds", 1), add_hours("last_ds", int(hours)),
-                                                 F.expr("INTERVAL 1 HOUR"))).alias("_i", ts))
-    cov = _features(grid, weather, ts).join(m.select(key, "feature_min", "feature_max"), key, "inner")
-    scaled_cov = cov.select(key, "_i", ts, F.struct(*[
+    seed = seed_rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(ts, "_v"))).alias("_sm"))
+    grid = mo.select(*keys, F.posexplode(F.sequence(add_hours("_origin", 1), add_hours("_origin", int(hours)),
+                                                    F.expr("INTERVAL 1 HOUR"))).alias("_i", ts))
+    cov = _features(grid, weather, ts).join(mo.select(*keys, "feature_min", "feature_max"), keys, "inner")
+    scaled_cov = cov.select(*keys, "_i", ts, F.struct(*[
         F.coalesce(F.try_divide(F.col(c) - F.col("feature_min")[i + 1],
                                 F.nullif(F.col("feature_max")[i + 1] - F.col("feature_min")[i + 1], F.lit(0.0))),
                    F.lit(0.0)).alias(c)
         for i, c in enumerate(COVARIATES)]).alias("_c"))
-    steps = scaled_cov.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", ts, "_c"))).alias("_steps"))
-    j = m.join(seed, key, "inner").join(steps, key, "inner")
+    steps = scaled_cov.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", ts, "_c"))).alias("_steps"))
+    j = mo.join(seed, keys, "inner").join(steps, keys, "inner")
     slots = F.transform(F.sequence(F.col("n_lags") - 1, F.lit(0), F.lit(-1)),
-                        lambda k: F.element_at(F.col("_sm"), add_hours("last_ds", -k)))
+                        lambda k: F.element_at(F.col("_sm"), add_hours("_origin", -k)))
     first = F.filter(slots, lambda v: v.isNotNull())[0]
     filled = F.aggregate(
         slots, F.struct(first.alias("last"), F.array().cast("array<double>").alias("out")),
@@ -159,18 +156,70 @@ def forecast_autoregressive(model: DataFrame, history: DataFrame, hours: int, we
 
     outs = recursive_fold(seed_scaled, F.col("coef"), F.transform("_steps", lambda s: s["_c"]), COVARIATES,
                           True, to_mw, to_scaled)
+    res = j.select(*keys, F.arrays_zip(F.transform("_steps", lambda s: s[ts]).alias("ds"), outs.alias("p")).alias("_z"))
+    return res.select(*keys, F.posexplode("_z").alias("_k", "_r")).select(
+        *keys, (F.col("_k") + 1).cast("int").alias("step"), F.col("_r.ds").alias(ts), F.col("_r.p").alias("_p"))
+
+
+def _d7(res: DataFrame, keys: list[str], ts: str, threshold: float, generated_at) -> DataFrame:
     stamp = F.lit(generated_at).cast("timestamp_ntz") if generated_at is not None else F.localtimestamp()
-    res = j.select(key, F.arrays_zip(F.transform("_steps", lambda s: s[ts]).alias("ds"), outs.alias("p")).alias("_z"))
-    res = res.select(key, F.posexplode("_z").alias("_k", "_r")).select(
-        key, (F.col("_k") + 1).cast("int").alias("step"), F.col("_r.ds").alias(ts), F.col("_r.p").alias("_p"))
     lower, upper = proportional_band(F.col("_p"))
     return res.select(
-        key, F.lit("autoregressive").alias("model"), stamp.alias("generated_at"), "step", ts,
+        *keys, F.lit("autoregressive").alias("model"), stamp.alias("generated_at"), "step", ts,
         rnd("_p", 3).alias("predicted_mw"), rnd(lower, 3).alias("lower_mw"), rnd(upper, 3).alias("upper_mw"),
         (F.col("_p") >= F.lit(float(threshold))).alias("alert"),
     )
 
 
+def forecast_autoregressive(model: DataFrame, history: DataFrame, hours: int, weather: DataFrame | None = None,
+                            threshold: float = C.THRESHOLD_MW, value: str = "load_mw", key: str = "series_id",
+                            ts: str = "ds", generated_at=None) -> DataFrame:
+    """Forecast ``hours`` steps after the model's last hour, feeding each prediction back."""
+    if not 1 <= int(hours) <= C.MAX_HORIZON_H:
+        raise ValueError("hours must be in 1..168")
+    mo = model.select(key, F.col("last_ds").alias("_origin"), "n_lags", "coef", "feature_min", "feature_max")
+    hist = history.select(key, ts, F.col(value).alias("_v")).join(mo.select(key, "_origin", "n_lags"), key, "inner")
+    seed_rows = hist.where((F.col(ts) <= F.col("_origin")) & (F.col(ts) > add_hours("_origin", -F.col("n_lags")))
+                           & F.col("_v").isNotNull()).select(key, ts, "_v")
+    return _d7(_fold_forecast(mo, seed_rows, hours, weather, [key], ts), [key], ts, threshold, generated_at)
+
+
+def rolling_forecast_autoregressive(model: DataFrame, history: DataFrame, anchors: DataFrame, hours: int = 24,
+                                    cadence_h: int = 24, weather: DataFrame | None = None,
+                                    threshold: float = C.THRESHOLD_MW, value: str = "load_mw",
+                                    key: str = "series_id", ts: str = "ds", generated_at=None) -> DataFrame:
+    """Rolling-origin forecasts: a fresh recursion every ``cadence_h`` hours from actual history.
+
+    ``anchors``: ``(key, anchor)`` - the first origin of each series; origins
+    are ``anchor + k * cadence`` up to the series' last history hour. Each
+    origin is seeded with the actual ``n_lags`` hours up to it. A history
+    hour belongs to the seeds of at most ``ceil(n_lags / cadence) + 1``
+    origins, found by arithmetic and matched by an equi-join on
+    (series, origin index): no pairing of hours with origins.
+    Output adds ``origin`` to the D7 columns.
+    """
+    if not 1 <= int(hours) <= C.MAX_HORIZON_H:
+        raise ValueError("hours must be in 1..168")
+    c = int(cadence_h)
+    m = model.select(key, "n_lags", "coef", "feature_min", "feature_max")
+    last = history.where(F.col(value).isNotNull()).groupBy(key).agg(F.max(ts).alias("_last"))
+    anc = anchors.select(key, F.col("anchor").alias("_anchor")).join(last, key, "inner").join(m, key, "inner")
+    n_orig = F.floor((epoch_hours("_last") - epoch_hours("_anchor")) / F.lit(float(c))).cast("int")
+    mo = anc.select(key, "_anchor", "n_lags", "coef", "feature_min", "feature_max",
+                    F.explode(F.sequence(F.lit(0), n_orig)).alias("_oi")) \
+        .where(F.col("_oi") >= 0) \
+        .withColumn("_origin", add_hours("_anchor", F.col("_oi") * c))
+    hh = epoch_hours(ts) - epoch_hours("_anchor")
+    k_lo = F.greatest(F.lit(0), F.floor((hh + F.lit(c - 1)) / F.lit(float(c))).cast("int"))
+    k_hi = (F.floor((hh + F.col("n_lags") + F.lit(c - 1)) / F.lit(float(c))) - 1).cast("int")
+    hist = history.where(F.col(value).isNotNull()).select(key, ts, F.col(value).alias("_v")).join(
+        anc.select(key, "_anchor", "n_lags"), key, "inner")
+    seed_rows = hist.where(k_hi >= k_lo).select(key, ts, "_v", F.explode(F.sequence(k_lo, k_hi)).alias("_oi"))
+    res = _fold_forecast(mo, seed_rows, hours, weather, [key, "_oi"], ts)
+    res = res.join(mo.select(key, "_oi", F.col("_origin").alias("origin")), [key, "_oi"], "inner").drop("_oi")
+    return _d7(res, [key, "origin"], ts, threshold, generated_at)
+
+
 def forecast_fixed_ar(history: DataFrame, weights, hours: int, value: str = "load_mw", key: str = "series_id",
                       ts: str = "ds") -> DataFrame:
     """Recursive forecast with fixed lag weights (``weights[0]`` on lag 1), seeded by the last rows.

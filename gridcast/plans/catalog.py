@@ -466,6 +466,12 @@ def q_stream_forecast_job(spark, sf):
     return log.select("series_id", "peak_mw", "model", F.size("schedule").alias("zones"), "batch_id")
 
 
+def q_forecast_status(spark, sf):
+    """Dashboard summary of the 24 h forecast per series: alert hours, peak and status line (threshold 17)."""
+    counts = AL.alert_hours(_profile_forecast(spark, sf, threshold=17.0), 17.0, ["series_id"])
+    return AL.status_line(counts, 17.0)
+
+
 QUERIES: dict[str, Query] = {
     "hourly_load": q_hourly_load,
     "hourly_spine": q_hourly_spine,
@@ -530,4 +536,5 @@ QUERIES: dict[str, Query] = {
     "model_leaderboard": q_model_leaderboard,
     "stream_threshold_alerts": q_stream_threshold_alerts,
     "stream_forecast_job": q_stream_forecast_job,
+    "forecast_status": q_forecast_status,
 }

@@ -102,7 +102,8 @@ def ensemble_weights(df: DataFrame, value: str = "load_mw", key: str = "series_i
 
 
 def evaluate_models(df: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
-                    key: str = "series_id", ts: str = "ds", horizon: int = C.MAX_HORIZON_H) -> DataFrame:
+                    key: str = "series_id", ts: str = "ds", horizon: int = C.MAX_HORIZON_H,
+                    rolling: bool = True) -> DataFrame:
     """Additive and autoregressive models scored on each series' test part (M5 with the fitted models).
 
     Both are fitted on the training rows only (the first ``int(n * 0.8)``),
@@ -110,7 +111,10 @@ def evaluate_models(df: DataFrame, weather: DataFrame | None = None, value: str
     recursion (the autoregressive model gets the test hours' actual
     covariates, as the reference does), and are aligned with the actual load
     by ``ds``. The ensemble weights are the inverse test MAEs, as in the
-    reference (here over the same hours for both models).
+    reference (here over the same hours for both models). With ``rolling``,
+    ``autoregressive_rolling`` is also scored: a fresh 24 h recursion every
+    24 h from the actual history up to each origin (the first origin is the
+    last training hour).
     """
     from ..models.additive import fit_additive, forecast_additive
     from ..models.autoregressive import fit_autoregressive, forecast_autoregressive
@@ -130,4 +134,14 @@ def evaluate_models(df: DataFrame, weather: DataFrame | None = None, value: str
     tot = inv["additive"] + inv["autoregressive"]
     ens = F.try_divide(inv["additive"] * F.col("additive") + inv["autoregressive"] * F.col("autoregressive"), tot)
     scored = wide.withColumn("ensemble", ens).withColumn("part", F.lit("test"))
-    return error_metrics(_long(scored, ("additive", "autoregressive", "ensemble"), key, ts), (key, "model"))
+    metrics = error_metrics(_long(scored, ("additive", "autoregressive", "ensemble"), key, ts), (key, "model"))
+    if not rolling:
+        return metrics
+    from ..models.autoregressive import rolling_forecast_autoregressive
+
+    anchors = train.groupBy(key).agg(F.max(ts).alias("anchor"))
+    roll = rolling_forecast_autoregressive(ar_model, parts.select(key, ts, value), anchors, 24, 24, weather,
+                                           value=value, key=key, ts=ts)
+    rolled = test.join(roll.select(key, ts, F.col("predicted_mw").alias("autoregressive_rolling")), [key, ts], "inner")
+    rolled = rolled.withColumn("part", F.lit("test"))
+    return metrics.unionByName(error_metrics(_long(rolled, ("autoregressive_rolling",), key, ts), (key, "model")))

@@ -438,3 +438,9 @@ WHERE EXISTS (SELECT 1 FROM chain c WHERE c.series_id = e.series_id AND c.timest
 
 SQL["stream_threshold_alerts"] = _with(HOURLY, LOAD_MW) + """SELECT series_id, ds, load, load_mw FROM load_mw
 WHERE load_mw >= 20e0 AND ds + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+SQL["forecast_status"] = _with(HOURLY, LOAD_MW, _band(17.0)) + """SELECT series_id,
+  CAST(count_if(predicted_mw >= 17e0) AS BIGINT) AS alert_hours, count(predicted_mw) AS hours, max(predicted_mw) AS peak_mw,
+  CASE WHEN count_if(predicted_mw >= 17e0) = 0 THEN 'All forecast values within safe threshold'
+       ELSE printf('ALERT — %d hour(s) forecast above 17 MW', count_if(predicted_mw >= 17e0)) END AS status
+FROM band GROUP BY 1"""

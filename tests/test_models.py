@@ -97,3 +97,19 @@ def test_fallback_and_fresh(spark):
         "series_id string, model string, hours int, generated_at timestamp_ntz, step int")
     fresh = ST.fresh_forecast(runs, "2024-01-01 00:04:00", 300).collect()
     assert [(r.series_id, r.generated_at.minute) for r in fresh] == [("x", 3)]
+
+
+def test_rolling_origins_match_single_forecasts(spark):
+    df = _hourly(spark, n_hours=24 * 10, series=("x",))
+    model = AR.fit_autoregressive(df.where(F.col("ds") < "2024-01-08"), None, fitted_at="2024-02-01 00:00:00")
+    anchors = spark.createDataFrame([("x", dt.datetime(2024, 1, 7, 23))], "series_id string, anchor timestamp_ntz")
+    roll = AR.rolling_forecast_autoregressive(model, df, anchors, 24, 24).collect()
+    origins = sorted({r.origin for r in roll})
+    # origins every 24 h from the anchor up to the last history hour (Jan 10 23:00)
+    assert origins == [dt.datetime(2024, 1, d, 23) for d in (7, 8, 9, 10)]
+    for origin in origins[:2]:
+        single = AR.forecast_autoregressive(
+            model.withColumn("last_ds", F.lit(origin).cast("timestamp_ntz")), df.where(F.col("ds") <= origin), 24)
+        want = {r.ds: r.predicted_mw for r in single.collect()}
+        got = {r.ds: r.predicted_mw for r in roll if r.origin == origin}
+        assert got == want
