@@ -1,11 +1,12 @@
 """Two-phase ridge regression per series (the model fit of M1 and M3).
 
-Phase 1 (``mapInPandas``): each task reduces its rows of each series, Arrow
-batch by Arrow batch, to the sufficient statistics ``X'X`` (upper triangle),
-``X'y``, ``y'y`` and ``n``; memory per task is one batch. Wherever a
-series' rows sit (one task after a per-series window, as in the hourly
-models, or many tasks for raw input), each task emits one partial per
-series, so what is shuffled does not grow with the number of rows.
+Phase 1 (``mapInPandas``): each task reduces its rows of each series, over
+all its Arrow batches, to the sufficient statistics ``X'X`` (upper
+triangle), ``X'y``, ``y'y`` and ``n``; memory is one batch plus the running
+statistics (flushed past a cap). Wherever a series' rows sit (one task
+after a per-series window, as in the hourly models, or many tasks for raw
+input), each task emits one partial per series, so what is shuffled does
+not grow with the number of rows.
 
 Phase 2 (Spark aggregate): the partials are summed entry by entry with a
 ``groupBy(series, entry)`` sum (partial aggregation, distributed).
@@ -27,10 +28,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _partials(keys: list[str], p: int):
-    iu = np.triu_indices(p)   # X'X is symmetric: only its upper triangle is shipped
+FLUSH_DOUBLES = 20_000_000   # accumulated statistics per task before they are emitted (~160 MB)
+
+
+def _partials(keys: list[str], p: int, flush_doubles: int = FLUSH_DOUBLES):
+    """Per task: running ``X'X`` (upper triangle), ``X'y``, ``y'y``, ``n`` per series over all its batches.
+
+    One partial per (task, series) is emitted at the end of the task, or
+    earlier when the accumulated statistics pass ``FLUSH_DOUBLES`` (so a task
+    holding very many series stays within memory).
+    """
+    iu = np.triu_indices(p)
+    per_key = len(iu[0]) + p + 2
+
+    def emit(acc):
+        rows = []
+        for kv, (xtx, xty, yty, n) in acc.items():
+            row = {k: v for k, v in zip(keys, kv)}
+            row.update(xtx=xtx.tolist(), xty=xty.tolist(), yty=float(yty), n=int(n))
+            rows.append(row)
+        return pd.DataFrame(rows)
 
     def run(batches):
+        acc: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -38,13 +58,22 @@ def _partials(keys: list[str], p: int):
                 kv = kv if isinstance(kv, tuple) else (kv,)
                 X = np.stack(g["x"].to_numpy()).astype(np.float64).reshape(len(g), p)
                 y = g["y"].to_numpy(dtype=np.float64)
-                row = {k: v for k, v in zip(keys, kv)}
-                row.update(xtx=(X.T @ X)[iu].tolist(), xty=(X.T @ y).tolist(), yty=float(y @ y), n=len(g))
-                yield pd.DataFrame([row])
+                part = ((X.T @ X)[iu], X.T @ y, float(y @ y), len(g))
+                if kv in acc:
+                    a = acc[kv]
+                    acc[kv] = (a[0] + part[0], a[1] + part[1], a[2] + part[2], a[3] + part[3])
+                else:
+                    acc[kv] = part
+            if len(acc) * per_key > flush_doubles:
+                yield emit(acc)
+                acc = {}
+        if acc:
+            yield emit(acc)
     return run
 
 
-def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: str = "x", y: str = "y") -> DataFrame:
+def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: str = "x", y: str = "y",
+              flush_doubles: int = FLUSH_DOUBLES) -> DataFrame:
     """Ridge fit per key. ``df`` has the key columns, ``x ARRAY<DOUBLE>`` (length p) and ``y``.
 
     Returns ``keys..., coef ARRAY<DOUBLE>, sigma DOUBLE, n BIGINT``. Extra key
@@ -62,7 +91,7 @@ def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: s
     ])
     rows = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull() & (F.size("x") == p))
-    parts = rows.mapInPandas(_partials(keys, p), part_schema)
+    parts = rows.mapInPandas(_partials(keys, p, int(flush_doubles)), part_schema)
 
     # Phase 2: entry-wise sums. The first p(p+1)/2 entries are X'X's upper triangle, then p
     # entries of X'y, then y'y, then n.

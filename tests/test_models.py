@@ -23,6 +23,9 @@ def test_ridge_matches_numpy(spark):
     df = spark.createDataFrame(rows, "series_id string, x array<double>, y double").repartition(8)
     pen = [1e-9] * 4
     got = {r.series_id: r for r in fit_ridge(df, ["series_id"], pen).collect()}
+    flushed = {r.series_id: r for r in fit_ridge(df, ["series_id"], pen, flush_doubles=1).collect()}
+    for key in truth:
+        assert np.allclose(flushed[key].coef, got[key].coef, atol=1e-10) and flushed[key].n == got[key].n
     for key, (X, y) in truth.items():
         want = np.linalg.solve(X.T @ X + np.diag(pen), X.T @ y)
         assert np.allclose(got[key].coef, want, atol=1e-8), key
