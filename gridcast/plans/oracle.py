@@ -444,3 +444,15 @@ SQL["forecast_status"] = _with(HOURLY, LOAD_MW, _band(17.0)) + """SELECT series_
   CASE WHEN count_if(predicted_mw >= 17e0) = 0 THEN 'All forecast values within safe threshold'
        ELSE printf('ALERT — %d hour(s) forecast above 17 MW', count_if(predicted_mw >= 17e0)) END AS status
 FROM band GROUP BY 1"""
+
+# M6: a series has an autoregressive model when some hour has all 24 previous hours present;
+# otherwise the additive forecast is used. Both forecast hours 1..24 after the last hour.
+SQL["model_fallback"] = LM + """, ok AS (
+  SELECT DISTINCT series_id FROM (
+    SELECT series_id, count(*) OVER (PARTITION BY series_id ORDER BY ds
+                                     RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS c
+    FROM load_mw) WHERE c = 24),
+last AS (SELECT series_id, max(ds) AS last_ds FROM load_mw GROUP BY 1)
+SELECT l.series_id, CASE WHEN ok.series_id IS NOT NULL THEN 'autoregressive' ELSE 'additive' END AS model,
+       CAST(s AS INTEGER) AS step, l.last_ds + s * INTERVAL 1 HOUR AS ds
+FROM last l LEFT JOIN ok ON ok.series_id = l.series_id, range(1, 25) t(s)"""
