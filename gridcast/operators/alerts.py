@@ -82,6 +82,8 @@ def zone_list(zones: DataFrame | None = None, spark=None) -> Column:
             raise ValueError("zone list too large to inline; give zones per series_id instead")
         rows = [(int(r[0]), r[1]) for r in got]
     rows.sort()
+    if not rows:
+        return F.array().cast(T.ArrayType(ZONE_TYPE))
     return F.array(*[F.struct(F.lit(p).cast("int").alias("priority"), F.lit(z).alias("zone")) for p, z in rows])
 
 
@@ -94,7 +96,7 @@ def keyed_zone_lists(zones: DataFrame, key: str = "series_id") -> DataFrame:
 
 
 def _shed_fold(peak: Column, threshold: Column, zones: Column) -> Column:
-    per = peak / F.size(zones).cast("double")
+    per = F.try_divide(peak, F.size(zones).cast("double"))   # an empty zone list sheds nothing
     excess = F.greatest(F.lit(0.0), peak - threshold)
     init = F.struct(
         excess.alias("remaining"),

@@ -28,7 +28,7 @@ def _gap_expand(df: DataFrame, key: str, ts: str, cols: list[str]) -> DataFrame:
     """
     w = Window.partitionBy(key).orderBy(ts)
     with_next = df.select(key, ts, *cols, F.lead(ts).over(w).alias("_next"))
-    span_end = F.coalesce(add_hours("_next", -1), F.col(ts))
+    span_end = F.greatest(F.coalesce(add_hours("_next", -1), F.col(ts)), F.col(ts))   # duplicates: no gap
     rows = with_next.select(key, F.col(ts).alias("_t"), *cols,
                             F.explode(F.sequence(F.col(ts), span_end, _one_hour())).alias("_g"))
     present = F.col("_g") == F.col("_t")

@@ -61,3 +61,18 @@ def test_spine_and_gaps(spark):
     assert [r.ds.hour for r in fut] == [4, 5, 6] and [r.step for r in fut] == [1, 2, 3]
     last = {r.series_id: r.load for r in G.latest_reading(df, "2024-01-01 02:00:00").collect()}
     assert last == {"a": 1.0, "b": 5.0}
+
+
+def test_spine_tolerates_duplicate_hours(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", t0, 1.0), ("a", t0, 2.0), ("a", t0 + dt.timedelta(hours=2), 3.0)],
+                               "series_id string, ds timestamp_ntz, load double")
+    rows = sorted((r.ds.hour, r.load) for r in G.hourly_spine(df).collect())
+    assert rows == [(0, 1.0), (0, 2.0), (1, None), (2, 3.0)]
+
+
+def test_empty_zone_list_sheds_nothing(spark):
+    zones = spark.createDataFrame([], "zone string, priority int")
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 5), 30.0)],
+                               "series_id string, peak_ds timestamp_ntz, peak_mw double")
+    assert AL.shed_schedule(df, 20.0, zones).count() == 0
