@@ -26,10 +26,12 @@ def latest_fit(models: DataFrame, key: str = "series_id") -> DataFrame:
 
 
 def read_model(spark: SparkSession, path: str, model: str, key: str = "series_id") -> DataFrame:
-    """The newest fit of ``model`` for every series (partition pruning on ``model``)."""
+    """The newest fit of ``model`` for every series (only that model's partition is read)."""
     if model not in ("additive", "autoregressive"):
         raise ValueError(f"unknown model {model!r}")
-    return latest_fit(spark.read.parquet(path).where(F.col("model") == model), key)
+    # Each model kind has its own columns: read only its partition directory (its own schema).
+    base = path.rstrip("/")
+    return latest_fit(spark.read.option("basePath", base).parquet(f"{base}/model={model}"), key)
 
 
 def fallback_model(preferred: DataFrame, fallback: DataFrame, key: str = "series_id") -> DataFrame:

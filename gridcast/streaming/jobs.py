@@ -31,7 +31,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
 from ..functions import rnd
-from ..operators import alerts as AL
 from ..operators.prep import series_quantiles
 
 READING_SCHEMA = T.StructType([
@@ -150,6 +149,7 @@ def forecast_alert_batch(batch: DataFrame, batch_id: int, load_path: str, model_
     """
     from ..models.additive import forecast_additive
     from ..models.store import read_model
+    from ..plans.requests import alert_events
 
     spark = batch.sparkSession
     hours_df = batch.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load")
@@ -158,15 +158,9 @@ def forecast_alert_batch(batch: DataFrame, batch_id: int, load_path: str, model_
     newest = hours_df.groupBy("series_id").agg(F.max("ds").alias("_newest"))
     model = read_model(spark, model_path, "additive").join(newest, "series_id", "inner")
     model = model.withColumn("last_ds", F.greatest("last_ds", "_newest")).drop("_newest")
-    fc = forecast_additive(model, hours, threshold)
-    hot = AL.breaches(fc, threshold)
-    peaks = AL.forecast_peak(hot, ["series_id"], carry=("model",))
-    sched = AL.shed_schedule(peaks, threshold, None, keys=["series_id"])
-    arr = AL.shed_array(sched, ["series_id"])
-    events = peaks.join(arr, "series_id", "left").select(
-        "series_id", F.localtimestamp().alias("timestamp"), "peak_mw", "model",
-        F.col("shed_schedule").alias("schedule"), F.lit(int(batch_id)).alias("batch_id"))
-    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(alert_path)
+    log = alert_events(forecast_additive(model, hours, threshold), threshold)["log"]
+    (log.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(alert_path))
 
 
 def run_forecast_job(readings: DataFrame, checkpoint: str, load_path: str, model_path: str, alert_path: str,
