@@ -131,9 +131,13 @@ def stream_dedupe_alerts(alerts: DataFrame, cooldown_s: int = C.ALERT_COOLDOWN_S
     )
 
 
-def stream_dedupe_within_watermark(alerts: DataFrame, cooldown: str = "5 minutes") -> DataFrame:
-    """Built-in approximation: drop repeats of a series while the first one's state lives."""
-    return alerts.withWatermark("ds", cooldown).dropDuplicatesWithinWatermark(["series_id"])
+def stream_dedupe_within_watermark(alerts: DataFrame, cooldown: str = "5 minutes", keys=("series_id",)) -> DataFrame:
+    """Built-in de-dupe: drop rows whose ``keys`` repeat while the first one's state lives.
+
+    With ``keys=("series_id",)`` it approximates the cooldown in event time;
+    with ``("series_id", "ds")`` it drops replayed copies of the same alert.
+    """
+    return alerts.withWatermark("ds", cooldown).dropDuplicatesWithinWatermark(list(keys))
 
 
 # --------------------------------------------------------------------------- R4

@@ -97,3 +97,13 @@ def test_minmax_roundtrip(spark):
             assert abs(r.x_back - r.x) < 1e-12
         else:
             assert r.x_scaled == 0.0
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from gridcast.operators import aggregates as AG
+
+    df = spark.createDataFrame([("s", float(v)) for v in range(1001)], "series_id string, load_mw double")
+    exact = {r.p: r.value for r in AG.quantiles(df, (0.1, 0.5, 0.9)).collect()}
+    approx = {r.p: r.value for r in AG.approx_quantiles(df, (0.1, 0.5, 0.9)).collect()}
+    assert exact == {0.1: 100.0, 0.5: 500.0, 0.9: 900.0}
+    assert all(abs(approx[p] - exact[p]) <= 1.0 for p in exact)

@@ -97,3 +97,16 @@ def test_forecast_job_replay_is_idempotent(spark, tmp):
     assert alerts.groupBy("batch_id").count().where(F.col("count") > 1).count() == 0
     first = alerts.orderBy("batch_id").first()
     assert first.peak_mw >= 16.0 and len(first.schedule) >= 1
+
+
+def test_replayed_file_kept_once(spark, tmp):
+    src = f"{tmp}/replay"
+    rows = [("a", _hm(0, m), float(m)) for m in range(0, 60, 7)] + [("b", _hm(0, 3), 9.0)]
+    _land(src, [rows, rows], ["series_id", "ds", "load_mw"])   # the same file landed twice
+    stream = spark.readStream.schema("series_id string, ds timestamp, load_mw double").option(
+        "maxFilesPerTrigger", 1).parquet(src)
+    q = S.stream_dedupe_within_watermark(stream, "1 hour", ("series_id", "ds")).writeStream.format("memory") \
+        .queryName("replay_t1").outputMode("append").option("checkpointLocation", f"{tmp}/ck5") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("select * from replay_t1").count() == len(rows)
