@@ -97,8 +97,8 @@ def proportional_band(col, pct: float = C.BAND_PCT) -> tuple[Column, Column]:
 
 
 def alert_flag(col, threshold: float) -> Column:
-    """Unrounded prediction at or above the threshold."""
-    return _c(col) >= F.lit(float(threshold))
+    """Unrounded prediction at or above the threshold; a missing prediction is not an alert."""
+    return F.coalesce(_c(col) >= F.lit(float(threshold)), F.lit(False))
 
 
 def _tiers(col, tiers, otherwise) -> Column:

@@ -327,7 +327,7 @@ fc AS (SELECT fg.series_id, fg.step, fg.ds,
               CASE WHEN p.yhat IS NOT NULL AND NOT isnan(p.yhat) THEN least(greatest(p.yhat, 0e0), 50e0) END AS p
        FROM fg LEFT JOIN prof p ON p.series_id = fg.series_id AND p.h = hour(fg.ds) AND p.wd = isodow(fg.ds) - 1),
 band AS (SELECT series_id, step, ds, {R('p', 3)} AS predicted_mw, {R(f'greatest(0e0, p * {_LOW})', 3)} AS lower_mw,
-                {R(f'p * {_HIGH}', 3)} AS upper_mw, p >= {t!r} AS alert FROM fc)"""
+                {R(f'p * {_HIGH}', 3)} AS upper_mw, coalesce(p >= {t!r}, false) AS alert FROM fc)"""
 
 
 SQL["forecast_band"] = _with(HOURLY, LOAD_MW, _band(20.0)) + "SELECT * FROM band"
