@@ -364,12 +364,14 @@ def dedupe_alerts(alerts: DataFrame, cooldown_s: int = C.ALERT_COOLDOWN_S, keys=
     # is complete as soon as a round admits nothing new.
     jump = nodes.where(F.col("_to").isNotNull()).select(*keys, "_t", "_to").checkpoint(eager=True)
     admitted = heads.checkpoint(eager=True)
+    size = admitted.count()
     while True:
         moved = admitted.join(jump, [*keys, "_t"], "inner").select(*keys, F.col("_to").alias("_t"))
-        new = moved.distinct().join(admitted, [*keys, "_t"], "left_anti").checkpoint(eager=True)
-        if new.isEmpty():
+        grown = admitted.unionByName(moved).distinct().checkpoint(eager=True)
+        grown_size = grown.count()   # counted on the checkpoint: cheap
+        if grown_size == size:
             break
-        admitted = admitted.unionByName(new).checkpoint(eager=True)
+        admitted, size = grown, grown_size
         nxt = jump.alias("a").join(
             jump.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._to") == F.col("b._t")],
             "inner").select(*[F.col(f"a.{k}") for k in keys], F.col("a._t"), F.col("b._to"))
