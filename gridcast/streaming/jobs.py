@@ -101,8 +101,8 @@ def _cooldown(cooldown_s: int):
         frames = [p for p in pdfs if not p.empty]
         if not frames:
             return
-        rows = pd.concat(frames).sort_values("ds", kind="stable")
-        stamps = rows["ds"].astype("datetime64[us]").astype("int64").to_numpy()
+        rows = pd.concat(frames).sort_values("_us", kind="stable")
+        stamps = rows["_us"].to_numpy(dtype="int64")   # true epoch microseconds (session-zone free)
         keep = []
         for us in stamps:
             ok = last is None or us - last >= cool_us
@@ -125,6 +125,7 @@ def stream_dedupe_alerts(alerts: DataFrame, cooldown_s: int = C.ALERT_COOLDOWN_S
     """
     return (
         alerts.withWatermark("ds", delay)
+        .select("series_id", "ds", "load_mw", F.unix_micros("ds").alias("_us"))
         .groupBy("series_id")
         .applyInPandasWithState(_cooldown(cooldown_s), ALERT_OUT, ALERT_STATE, "append",
                                 GroupStateTimeout.EventTimeTimeout)

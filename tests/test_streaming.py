@@ -110,3 +110,25 @@ def test_replayed_file_kept_once(spark, tmp):
         .trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from replay_t1").count() == len(rows)
+
+
+def test_stateful_cooldown_non_utc_session(spark, tmp):
+    """Same multi-batch cooldown with the session in America/Chicago: state timeouts use true epoch time."""
+    src = f"{tmp}/alerts_tz"
+    _land(src, [
+        [("a", _hm(0, 0), 21.0), ("a", _hm(0, 2), 21.5)],
+        [("a", _hm(0, 5), 22.0), ("a", _hm(0, 6), 22.5)],
+        [("a", _hm(0, 11), 23.0)],
+    ], ["series_id", "ds", "load_mw"])
+    spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+    try:
+        stream = spark.readStream.schema("series_id string, ds timestamp, load_mw double").option(
+            "maxFilesPerTrigger", 1).parquet(src)
+        q = S.stream_dedupe_alerts(stream, 300).writeStream.format("memory").queryName("cool_tz") \
+            .outputMode("append").option("checkpointLocation", f"{tmp}/ck6").trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = sorted(r.ds.replace(tzinfo=None) for r in spark.sql("select * from cool_tz").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # collect() renders instants in the Python process's zone (UTC here), not the session zone
+    assert got == [_hm(0, 0), _hm(0, 5), _hm(0, 11)]
