@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, mixing, sharding
-from .common import read_table, text_or_empty
+from . import embeddings, exact, mixing, sharding, simhash, toxicity
+from .common import read_table
+
+
+def op1_simhash(spark, sf):
+    return simhash.simhash_groups(read_table(spark, sf, "documents"))
 
 
 def op5_exact_dedup(spark, sf):
@@ -23,10 +27,21 @@ def op7_sharding(spark, sf):
                       F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_toxicity(spark, sf):
+    return toxicity.score_toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+def op10_embedding_dedup(spark, sf):
+    return embeddings.embedding_groups(read_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_sharding": op7_sharding,
+    "op9_toxicity": op9_toxicity,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 SQL = {

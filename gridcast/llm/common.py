@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +57,37 @@ def batches_of(batch: pa.RecordBatch, text_index: int, max_bytes: int = 8 << 20)
 
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_index)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_index)), 0)).astype(np.int64)
     group = np.cumsum(sizes) // max_bytes
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], len(sizes)]):
         yield batch.slice(int(a), int(b - a))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int,
+                    id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> list[tuple[bytes, int]]:
+    """A bounded training sample on the driver: whole (text, label) pairs of rows outside fold 0.
+
+    At most ``per_class`` documents of each label, those with the smallest
+    hash of the id, and at most ``max_bytes`` of text in all; a document that
+    does not fit is passed over. A label is 0 or 1, anything else is no label;
+    where an id repeats, its largest label and smallest text count.
+    """
+    usable = (labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (id_bucket(id_col, folds) != 0))
+              .groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y")))
+    h = F.xxhash64("id")
+    picks = [usable.where(F.col("y") == y).orderBy(h, "id").limit(per_class) for y in (0, 1)]
+    pick = staged(picks[0].unionByName(picks[1]), "picked")
+    body = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    sample = staged(body.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "sample")
+    # F.broadcast: at most 2 * per_class (id, label) pairs
+    sizes = sample.select("id", "y", F.octet_length("text").alias("b")).orderBy(h, "id").collect()
+    chosen, used = [], 0
+    for r in sizes:
+        if used + r["b"] <= max_bytes:
+            chosen.append(r["id"])
+            used += r["b"]
+    if not chosen:
+        return []
+    rows = sample.where(F.col("id").isin(chosen)).orderBy(h, "id").select("text", "y").collect()
+    return [(r["text"].encode(), r["y"]) for r in rows]

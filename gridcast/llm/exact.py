@@ -131,7 +131,8 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = flagged.where(~F.col("maybe")).select(
         "id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     again = flagged.where("maybe")
-    groups = again.groupBy("sha").agg(F.min(_first()).alias("first"), F.count("*").alias("group_size"))
+    # written first, so that the join's two sides are plain exchanges and a hot text's rows can be split
+    groups = staged(again.groupBy("sha").agg(F.min(_first()).alias("first"), F.count("*").alias("group_size")), "groups")
     grouped = again.join(groups, "sha").select("id", "sha", F.col("first.id").alias("keep_id"), "group_size")
     return alone.unionByName(grouped).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),

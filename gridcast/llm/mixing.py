@@ -107,7 +107,7 @@ def _rounded_up(units: DataFrame) -> DataFrame:
         items = F.array_sort(F.collect_list(F.struct(
             (-F.col("u")).alias("o"), F.xxhash64("id", "size").alias("h"), "u", "id", "size", "mass")))
         plain = F.transform(items, lambda x: F.struct(*[x[c].alias(c) for c in ("u", "id", "size", "mass")]))
-        folded = staged(level.groupBy("k", "g").agg(plain.alias("items")).select(
+        folded = staged(level.repartition("k", "g").groupBy("k", "g").agg(plain.alias("items")).select(
             "k", "g", _fold(F.col("items"), f"struct<id:{id_type},size:bigint,up:boolean>").alias("f"))
             .select("k", "g", "f.rest", "f.done"), "pivotal")
         settled.append(folded.select("k", F.explode("done").alias("d")).select("k", "d.*"))
