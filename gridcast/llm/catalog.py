@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, exact, mixing, sharding, simhash, toxicity
+from . import embeddings, exact, lattice_lm, licenses, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from .common import read_table
 
 
@@ -12,6 +12,20 @@ def op1_simhash(spark, sf):
     return simhash.simhash_groups(read_table(spark, sf, "documents"))
 
 
+def op2_quality(spark, sf):
+    return quality.score_quality(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+def op3_license_scan(spark, sf):
+    return licenses.scan(read_table(spark, sf, "documents"))
+
+
+def op4_sentencepiece(spark, sf):
+    """Piece ids of every whole text, and whether decoding them gives the text back."""
+    out = sentencepiece_codec.round_trip(read_table(spark, sf, "documents"))
+    return out.select("doc_id", "ids", "n_tokens", F.col("decoded").eqNullSafe(F.col("normalized")).alias("exact"))
+
+
 def op5_exact_dedup(spark, sf):
     return exact.duplicate_groups(read_table(spark, sf, "documents"))
 
@@ -27,6 +41,10 @@ def op7_sharding(spark, sf):
                       F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_lattice_lm(spark, sf):
+    return lattice_lm.score_documents(read_table(spark, sf, "documents"))
+
+
 def op9_toxicity(spark, sf):
     return toxicity.score_toxicity(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
@@ -37,14 +55,19 @@ def op10_embedding_dedup(spark, sf):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_sharding": op7_sharding,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 SQL = {
+    "op3_license_scan": licenses.oracle_sql(),
     "op5_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
