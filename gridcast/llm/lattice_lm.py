@@ -7,12 +7,21 @@ all segmentations. The vocabulary's scores are the starting weights; they are
 re-estimated by forward-backward expected counts over all word types of the
 training documents. A word that the training documents hold has one more
 edge, from its start to its end, with its discounted relative frequency, and
-the subword edges share what the discount leaves:
+the subword edges share what the discount leaves.
 
-    p(word) = max(c - D, 0) / N + D * V / N * lattice(word)
+Documents of different kinds (languages, tables, ...) use different words, so
+the edge weights are those of one of ``COMPONENTS`` kinds, and the document's
+probability is also summed over the kinds:
 
-Pieces never cross a word border, so a document's recursion breaks at each
-word start and its log probability is the sum over its words, plus the end.
+    p(text)   = sum over k of share(k) * product over words of p_k(word)
+    p_k(word) = max(c_k - D, 0) / N_k + D * V_k / N_k * q_k(word)
+    q_k(word) = max(c - D, 0) / N + D * V / N * lattice_k(word)
+
+Kinds are clusters of byte-trigram profiles, found on a bounded sample of
+training documents (``SAMPLE_DOCS``); every training document is counted for
+the kind nearest to it. Pieces never cross a word border, so a document's
+recursion breaks at each word start and its log probability under a kind is
+the sum over its words, plus the end.
 
 What is learned is counted over all training documents: word counts (grouped
 with partial counts in each task), their totals, and the pieces' expected
@@ -37,11 +46,15 @@ from pyspark.sql import functions as F
 from .common import batches_of, binary_texts, id_bucket, staged, text_or_empty
 from .vocabulary import DEFAULT_MODEL, SPACE, read_pieces
 
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 19
 FLUSH_WORDS = 200_000
 CHUNK_CELLS = 1 << 19
 ROUNDS = 2
+COMPONENTS = 8
+SAMPLE_DOCS = 1500
+PROFILE = 4096
 END = b""
+SEED = 42
 
 
 @lru_cache(maxsize=2)
@@ -110,10 +123,13 @@ def _chunks(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _forward(cells: np.ndarray, lengths: np.ndarray, trie, log_p: np.ndarray, edges: list | None = None) -> np.ndarray:
-    """Log of the sum over all segmentations, for each word; ``edges`` collects (rows, from, to, pieces)."""
+    """Log of the sum over all segmentations, for each word and each column of the weights ``log_p``.
+
+    ``edges`` collects (words, from, to, pieces), and at last the sums up to each node.
+    """
     table, ends = trie
     m, width = cells.shape
-    alpha = np.full((width + 1, m), -np.inf)
+    alpha = np.full((width + 1, m, log_p.shape[1]), -np.inf)
     alpha[0] = 0.0
     for i in range(width):
         rows = np.flatnonzero(lengths > i)
@@ -132,88 +148,154 @@ def _forward(cells: np.ndarray, lengths: np.ndarray, trie, log_p: np.ndarray, ed
                 alpha[j, to] = np.logaddexp(alpha[j, to], alpha[i, to] + log_p[piece])
                 if edges is not None:
                     edges.append((to, i, j, piece))
-    total = alpha[lengths, np.arange(m)]
     if edges is not None:
-        edges.append((alpha, total))
-    return total
+        edges.append(alpha)
+    return alpha[lengths, np.arange(m)]
 
 
 def lattice_log_likelihood(words: list[bytes], pieces: tuple[bytes, ...], log_p: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each word summed over all its segmentations."""
-    out = np.zeros(len(words))
+    """Natural log of the probability of each word summed over all its segmentations, a column for each of ``log_p``."""
+    out = np.zeros((len(words), log_p.shape[1]))
     for rows, cells, lengths in _chunks(words):
         out[rows] = _forward(cells, lengths, _trie(pieces), log_p)
     return out
 
 
 def expected_counts(words: list[bytes], pieces: tuple[bytes, ...], log_p: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over the words, by forward and backward recursion."""
+    """Expected uses of each piece over the words, by forward and backward recursion with one column of weights."""
     counts = np.zeros(len(pieces))
+    weights = log_p[:, 0]
     for _, cells, lengths in _chunks(words):
         edges: list = []
-        _forward(cells, lengths, _trie(pieces), log_p, edges)
-        alpha, total = edges.pop()
+        total = _forward(cells, lengths, _trie(pieces), log_p, edges)[:, 0]
+        alpha = edges.pop()[:, :, 0]
         beta = np.full(alpha.shape, -np.inf)
         beta[lengths, np.arange(len(lengths))] = 0.0
         for rows, i, j, piece in reversed(edges):
-            tail = log_p[piece] + beta[j, rows]
+            tail = weights[piece] + beta[j, rows]
             beta[i, rows] = np.logaddexp(beta[i, rows], tail)
             counts += np.bincount(piece, np.exp(alpha[i, rows] + tail - total[rows]), minlength=len(pieces))
     return counts
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, c, n): uses in training rows and in all rows, summed over the batches of a task up to a bound."""
-    learned: Counter[bytes] = Counter()
-    other: Counter[bytes] = Counter()
-
-    def flush():
-        words = list(learned.keys() | other.keys())
-        c = [learned[w] for w in words]
-        n = [a + other[w] for a, w in zip(c, words)]
-        learned.clear()
-        other.clear()
-        for at in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at:at + 50_000], pa.binary()), pa.array(c[at:at + 50_000], pa.int64()),
-                                              pa.array(n[at:at + 50_000], pa.int64())], names=["word", "c", "n"])
-
+def profile(text: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams of the lower-cased text; of unit length, or 0."""
+    b = np.frombuffer(text.lower(), np.uint8).astype(np.int64)
+    if len(b) < 3:
+        return np.zeros(PROFILE)
+    return np.sqrt(np.bincount((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) % PROFILE, minlength=PROFILE) / (len(b) - 2))
+
+
+def cluster(profiles: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """At most ``k`` centres by spherical k-means from farthest-first starts."""
+    rows = profiles[profiles.any(axis=1)]
+    if not len(rows):
+        return np.zeros((1, PROFILE))
+    mean = rows.mean(axis=0)
+    centres = rows[[int((rows @ mean).argmax())]]
+    while len(centres) < min(k, len(rows)):
+        centres = np.r_[centres, rows[[int((rows @ centres.T).max(axis=1).argmin())]]]
+    for _ in range(rounds):
+        near = (rows @ centres.T).argmax(axis=1)
+        sums = np.stack([rows[near == c].sum(axis=0) for c in range(len(centres))])
+        sums = sums[(near[:, None] == np.arange(len(centres))).any(axis=0)]
+        centres = sums / np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return centres
+
+
+def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in batches_of(batch, 1, 1 << 20):
-            for learns, text in zip(part.column(0).to_pylist(), binary_texts(part.column(1))):
-                into = learned if learns else other
-                into.update(text.lower().split())
-                into[END] += 1
-            if len(learned) + len(other) > FLUSH_WORDS:
-                yield from flush()
-    yield from flush()
+            vectors = [profile(t).astype(np.float32).tobytes() for t in binary_texts(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.binary())], names=["h", "vec"])
+
+
+def document_kinds(rows: DataFrame, components: int, sample_docs: int) -> np.ndarray:
+    """Centres of the kinds, from the training documents with the smallest hashes of their ids (one a repeated id)."""
+    h = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    learn = rows.where(~F.col("held_out")).select(h.alias("h"), "text")
+    picks = staged(learn.select("h").distinct().orderBy("h").limit(sample_docs), "picks")
+    # F.broadcast: at most ``sample_docs`` hashes
+    sample = learn.join(F.broadcast(picks), "h").groupBy("h").agg(F.min("text").alias("text"))
+    found = sorted((r["h"], bytes(r["vec"])) for r in sample.mapInArrow(_profile_batches, "h long, vec binary").collect())
+    vectors = np.frombuffer(b"".join(v for _, v in found), np.float32).reshape(-1, PROFILE).astype(np.float64)
+    return cluster(vectors, components)
+
+
+def _counted(shared):
+    """(word, kind, c): uses in the documents of a kind, kind -1 for documents held out; summed in a task up to a bound."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
+        kinds = [Counter() for _ in range(len(centres) + 1)]
+
+        def flush():
+            for k, counter in enumerate(kinds):
+                words, uses = list(counter.keys()), list(counter.values())
+                counter.clear()
+                for at in range(0, len(words), 50_000):
+                    n = len(words[at:at + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(words[at:at + n], pa.binary()), pa.array(np.full(n, k - 1, np.int32)),
+                                                      pa.array(uses[at:at + n], pa.int64())], names=["word", "kind", "c"])
+
+        for batch in batches:
+            for part in batches_of(batch, 1, 1 << 20):
+                for held_out, text in zip(part.column(0).to_pylist(), binary_texts(part.column(1))):
+                    into = kinds[0 if held_out else 1 + int((centres @ profile(text)).argmax())]
+                    into.update(text.lower().split())
+                    into[END] += 1
+                if sum(map(len, kinds)) > FLUSH_WORDS:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _counts_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Uses of each word by kind, from an array column."""
+    return batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
 def _expected(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, log_p = shared.value
-        total = np.zeros(len(pieces))
+        total = np.zeros(log_p.shape)
         for batch in batches:
-            total += expected_counts(batch.column(0).to_pylist(), pieces, log_p)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "uses"])
+            words, c = batch.column(0).to_pylist(), _counts_of(batch)
+            for k in range(log_p.shape[1]):
+                own = [words[i] for i in np.flatnonzero(c[:, k])]
+                if own:
+                    total[:, k] += expected_counts(own, pieces, log_p[:, [k]])
+        piece, kind = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(total[piece, kind])],
+                                         names=["piece", "kind", "uses"])
 
     return run
 
 
-def _word_scores(shared, n: int, v: int, discount: float):
-    """(word, n, known, base, score): log10 under the base model and the lattice model."""
+def _log(x):
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
+
+def word_log10(words: list[bytes], c: np.ndarray, pieces, log_p, tokens: np.ndarray, types: np.ndarray, all_types: int,
+               discount: float) -> np.ndarray:
+    """log10 p_k(word), a column a kind; ``c`` has the words' uses by kind, ``tokens`` and ``types`` the kinds' totals."""
+    q = lattice_log_likelihood(words, pieces, log_p)
+    n = tokens.sum()
+    if n:
+        q = np.logaddexp(_log(np.maximum(c.sum(axis=1) - discount, 0.0) / n)[:, None], q + _log(discount * max(1, all_types) / n))
+        q = np.logaddexp(_log(np.maximum(c - discount, 0.0) / tokens), q + _log(discount * np.maximum(types, 1) / tokens))
+    return q / math.log(10)
+
+
+def _word_scores(shared, *totals):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, log_p = shared.value
-        left = math.log(discount * v / n) if n else 0.0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            lattice = lattice_log_likelihood(words, pieces, log_p) + left
-            with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - discount, 0.0) / n) if n else np.full(len(c), -np.inf)
-            score = np.logaddexp(whole, lattice) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array((c > 0).astype(np.int32)), pa.array(score),
-                                              batch.column(1)], names=["word", "n", "known", "score", "c"])
+            c = _counts_of(batch)
+            score = word_log10(batch.column(0).to_pylist(), c.astype(float), pieces, log_p, *totals)
+            columns = [batch.column(0), batch.column(2), pa.array(c.sum(axis=1)), *(pa.array(x.astype(np.float32)) for x in score.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "c", *(f"s{k}" for k in range(score.shape[1]))])
 
     return run
 
@@ -221,9 +303,9 @@ def _word_scores(shared, n: int, v: int, discount: float):
 class _HotTable:
     """Hot words with their values; the dictionary is built once in each worker."""
 
-    def __init__(self, rows):
-        self.words = [bytes(r["word"]) for r in rows]
-        self.values = np.array([(r["known"], r["base"], r["score"]) for r in rows], float).reshape(-1, 3)
+    def __init__(self, rows: pa.Table, columns: list[str]):
+        self.words = rows.column("word").to_pylist()
+        self.values = np.stack([rows.column(c).to_numpy() for c in columns], axis=1).astype(float)
         self.places: dict[bytes, int] | None = None
 
     def __getstate__(self):
@@ -235,10 +317,10 @@ class _HotTable:
         return self.places
 
 
-def _hot_sums(shared):
+def _hot_sums(shared, columns: list[str]):
     """A row per document: its tokens, the sums over its hot words, and its other words for the join."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, values = shared.value.index(), np.r_[shared.value.values, np.zeros((1, 3))]
+        place, values = shared.value.index(), np.r_[shared.value.values, np.zeros((1, len(columns)))]
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in batches_of(batch, 2, 1 << 20):
@@ -246,7 +328,7 @@ def _hot_sums(shared):
                 n = np.array([len(ws) for ws in split], np.int64)
                 flat = [w for ws in split for w in ws]
                 at = np.array([place.get(w, -1) for w in flat], np.int64)
-                sums = np.zeros((len(n), 3))
+                sums = np.zeros((len(n), len(columns)))
                 full = np.flatnonzero(n)
                 if len(full):
                     sums[full] = np.add.reduceat(values[at], (np.cumsum(n) - n)[full], axis=0)
@@ -255,74 +337,94 @@ def _hot_sums(shared):
                 rest = pa.ListArray.from_arrays(pa.array(ends), pa.array([flat[i] for i in miss], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(len(n))), part.column(0), part.column(1), pa.array(n + 1), *(pa.array(np.ascontiguousarray(s)) for s in sums.T),
-                     rest], names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+                     rest], names=["row", "id", "held_out", "n_tokens", *columns, "rest"])
                 row += len(n)
 
     return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None,
-                    hot_words: int = HOT_WORDS, rounds: int = ROUNDS, folds: int = 10) -> DataFrame:
+                    hot_words: int = HOT_WORDS, rounds: int = ROUNDS, components: int = COMPONENTS,
+                    sample_docs: int = SAMPLE_DOCS, folds: int = 10) -> DataFrame:
     """One row per document: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Documents of fold 0 are held out of all counts. Null counts as the empty
     text, which is its end token alone. Repeated rows are rows of their own;
     a null id falls into the fold of the empty id; an empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read. Without training documents the words
+    keep the vocabulary's own weights.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     held = id_bucket(id_col, folds) == 0
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text_or_empty(text_col).alias("text"))
-    counts = staged(rows.select((~F.col("held_out")).alias("learns"), "text").mapInArrow(_count_batches, "word binary, c long, n long")
-                    .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "counts")
-    is_end = F.col("word") == F.lit(END)
-    s = counts.agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("types"),
-                   F.sum((~is_end & (F.col("c") == 1)).cast("long")).alias("once"),
-                   F.sum((~is_end & (F.col("c") == 2)).cast("long")).alias("twice"),
-                   F.max(F.when(is_end, F.col("c"))).alias("ends")).first()
-    n, types, ends = s["tokens"] or 0, s["types"] or 0, s["ends"] or 0
-    once, twice = s["once"] or 0, s["twice"] or 0
+    centres = document_kinds(rows, components, sample_docs)
+    kinds = range(len(centres))
+    by_kind = F.array(*[F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)) for k in kinds])
+    counts = staged(rows.select("held_out", "text").mapInArrow(_counted(spark.sparkContext.broadcast(centres)), "word binary, kind int, c long")
+                    .groupBy("word").agg(F.sum("c").alias("n"), by_kind.alias("by")), "counts")
+    c = F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x)
+    word = F.col("word") != F.lit(END)
+
+    def number(of):
+        return F.sum((word & of).cast("long"))
+
+    s = counts.withColumn("c", c).agg(
+        number(F.col("c") > 0).alias("types"), number(F.col("c") == 1).alias("once"), number(F.col("c") == 2).alias("twice"),
+        *[F.sum(F.col("by")[k]).alias(f"n{k}") for k in kinds], *[number(F.col("by")[k] > 0).alias(f"v{k}") for k in kinds],
+        *[F.max(F.when(~word, F.col("by")[k])).alias(f"e{k}") for k in kinds]).first()
+    tokens, types, ends = (np.array([s[f"{x}{k}"] or 0 for k in kinds], float) for x in "nve")
+    n, words, once, twice = int(tokens.sum()), s["types"] or 0, s["once"] or 0, s["twice"] or 0
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    words = types - (ends > 0)
 
-    pieces, log_p = lattice_pieces(model_path or DEFAULT_MODEL)
-    learned = counts.where(~is_end & (F.col("c") > 0)).select("word")
+    pieces, start = lattice_pieces(model_path or DEFAULT_MODEL)
+    live = np.flatnonzero(tokens)                              # kinds with a training document
+    chosen = live.tolist() or [0]
+    log_p = np.repeat(start[:, None], len(chosen), axis=1)
+    by = F.array(*[F.col("by")[k] for k in chosen])
+    learned = counts.where(word & (c > 0)).select("word", by.alias("by"))
     for _ in range(rounds if words else 0):
         shared = spark.sparkContext.broadcast((pieces, log_p))
-        uses = learned.mapInArrow(_expected(shared), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-        p = np.full(len(pieces), 0.1)
-        for r in uses.toLocalIterator():                       # one row a vocabulary piece at most
-            p[r["piece"]] += r["uses"]
-        log_p = np.log(p / p.sum())
-
-    def base(c):
-        return F.log10((c + F.lit(0.1)) / F.lit(n + 0.1 * (types + 1)))
-
-    shared = spark.sparkContext.broadcast((pieces, log_p))
-    table = staged(counts.where(~is_end).select("word", "c", "n")
-                   .mapInArrow(_word_scores(shared, n, words, discount), "word binary, n long, known int, score double, c long")
-                   .select("word", "n", "known", base(F.col("c")).alias("base"), "score"), "words")
-    bands = {r["band"]: r["words"] for r in table.groupBy(F.floor(F.log2("n")).alias("band")).agg(F.count("*").alias("words")).collect()}
+        uses = (learned.mapInArrow(_expected(shared), "piece int, kind int, uses double")
+                .groupBy("piece", "kind").agg(F.sum("uses").alias("uses")))
+        p = np.full(log_p.shape, 0.1)
+        for r in uses.toLocalIterator():                       # one row a vocabulary piece and kind at most
+            p[r["piece"], r["kind"]] += r["uses"]
+        log_p = np.log(p / p.sum(axis=0))
+
+    known = words + int(ends.sum() > 0)
+    base = F.log10((F.col("c") + F.lit(0.1)) / F.lit(n + 0.1 * (known + 1)))
+    scores = [f"s{i}" for i in range(len(chosen))]
+    columns = ["known", "base", *scores]
+    totals = (tokens[chosen], types[chosen], words, discount)
+    table = staged(counts.where(word).select("word", by.alias("by"), "n")
+                   .mapInArrow(_word_scores(spark.sparkContext.broadcast((pieces, log_p)), *totals),
+                               "word binary, n long, c long, " + ", ".join(f"{x} float" for x in scores))
+                   .select("word", "n", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), *scores), "words")
+    band = F.floor(F.log2("n"))
+    bands = {r["band"]: r["words"] for r in table.groupBy(band.alias("band")).agg(F.count("*").alias("words")).collect()}
     least, room = 64, hot_words
-    for band in sorted(bands, reverse=True):                   # whole bands of frequency, while they fit
-        room -= bands[band]
+    for b in sorted(bands, reverse=True):                      # whole bands of frequency, while they fit
+        room -= bands[b]
         if room < 0:
             break
-        least = band
-    hot = _HotTable(table.where(F.floor(F.log2("n")) >= least).select("word", "known", "base", "score").collect())
-    places = spark.sparkContext.broadcast(hot)
-    docs_sums = staged(rows.select("id", "held_out", "text").mapInArrow(
-        _hot_sums(places), f"row long, id {kind}, held_out boolean, n_tokens long, known double, base double, score double, rest array<binary>"), "documents")
-    rare = table.where(F.floor(F.log2("n")) < least).select("word", "known", "base", "score")
-    rest = (docs_sums.select("row", F.explode("rest").alias("word")).join(rare, "word")
-            .groupBy("row").agg(*[F.sum(c).alias(f"r_{c}") for c in ("known", "base", "score")]))
-    end_base = math.log10((ends + 0.1) / (n + 0.1 * (types + 1)))
-    end_score = math.log10(ends / n) if ends else end_base
-    zero = F.lit(0.0)
-    return docs_sums.drop("rest").join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("r_known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", zero) + end_base).alias("base_score"),
-        (F.col("score") + F.coalesce("r_score", zero) + end_score).alias("score"))
+        least = b
+    hot = _HotTable(table.where(band >= least).select("word", *columns).toArrow(), columns)
+    sums = staged(rows.mapInArrow(_hot_sums(spark.sparkContext.broadcast(hot), columns),
+                                  f"row long, id {kind}, held_out boolean, n_tokens long, "
+                                  + ", ".join(f"{x} double" for x in columns) + ", rest array<binary>"), "documents")
+    rest = (sums.select("row", F.explode("rest").alias("word")).join(table.where(band < least).select("word", *columns), "word")
+            .groupBy("row").agg(*[F.sum(x).alias(f"r_{x}") for x in columns]))
+    end_base = math.log10((ends.sum() + 0.1) / (n + 0.1 * (known + 1)))
+    fixed = [math.log10(ends[k] / ends.sum() * ends[k] / tokens[k]) for k in live] or [end_base]     # share of the kind, and its end
+
+    def total(x):
+        return F.col(x) + F.coalesce(F.col(f"r_{x}"), F.lit(0.0))
+
+    each = F.array(*[total(x) + f for x, f in zip(scores, fixed)])
+    out = sums.drop("rest").join(rest, "row", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (total("known") + int(ends.sum() > 0)).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), (total("base") + end_base).alias("base_score"), each.alias("each"))
+    top = F.array_max("each")
+    score = top + F.log10(F.aggregate("each", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top)))
+    return out.withColumn("score", score).drop("each")
