@@ -39,8 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the cluster (a shared file
-    system); it is only invented here when the setting is absent, which is
-    the case in local tests.
+    system); without the setting a cluster session is refused, and a local
+    one (tests) gets a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,15 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gridcast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name
+    """A path for an intermediate table under the shared checkpoint folder; removed when the driver's JVM ends."""
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def materialize(df):
