@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 # ---------------------------------------------------------------------------
 # FIXED values (taken as-is from the reference behaviour)
 # ---------------------------------------------------------------------------
+DISTRICT = "Texas ERCOT, United States"   # district named in alert events
 BASE_MW = 12.0                      # district base load
 PEAK_MW = 22.0                      # district peak load
 THRESHOLD_MW = 20.0                 # alert threshold
@@ -34,6 +35,9 @@ CHANGEPOINT_RANGE = 0.8             # changepoints lie in the first 80% of histo
 # Seasonalities of the additive model: (name, period in days, Fourier order).
 SEASONALITIES = (("daily", 1.0, 12), ("weekly", 7.0, 5), ("yearly", 365.25, 8))
 
+# Coefficients of the fixed model that checks the additive design (intercept, slope, 25 changepoints, 50 seasonal terms).
+CHECK_COEFFICIENTS = (9.0, 1.5) + tuple(round(0.2 * (j % 5 - 2), 1) for j in range(25)) + tuple(round(0.05 * (k % 7 - 3), 2) for k in range(50))
+
 # Hourly load shape, hour 0..23, as fractions of (peak - base).
 HOURLY_SHAPE = (
     0.40, 0.35, 0.32, 0.30, 0.32, 0.45,
@@ -64,11 +68,6 @@ REPORT_TIERS = ((5.0, "excellent"), (10.0, "acceptable"))
 REPORT_TIER_ELSE = "needs improvement"
 # ---------------------------------------------------------------------------
 
-# Largest zone list the schedule operator embeds in a plan (a configuration
-# table, not data); anything larger must be keyed by series_id and joined.
-MAX_INLINE_ZONES = 10_000
-
-
 @dataclass(frozen=True)
 class GridConfig:
     """Run parameters; one instance is passed through a job."""

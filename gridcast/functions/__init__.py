@@ -6,7 +6,9 @@ from .scalar import (  # noqa: F401
     clip_forecast,
     coerce_numeric,
     display_time,
+    SUM_SCALE,
     exact_mean,
+    exact_sum,
     expected_load,
     fixed_text,
     hhmm,

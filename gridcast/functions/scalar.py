@@ -30,14 +30,17 @@ def fixed_text(col, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", rnd(col, digits))
 
 
-def exact_mean(col, scale: int = 3) -> Column:
-    """Mean of values with at most ``scale`` decimals: exact DECIMAL sum, cast to DOUBLE, over the count.
+SUM_SCALE = 9   # decimals kept when values are added as DECIMAL
 
-    The result does not depend on the order rows are added in, so rounding
-    it later gives the same digits on every engine.
-    """
-    c = _c(col)
-    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double") / F.count(c)
+
+def exact_sum(col, scale: int = SUM_SCALE) -> Column:
+    """Sum as DECIMAL with ``scale`` decimals, cast to DOUBLE: the same in whatever order rows are added."""
+    return F.sum(_c(col).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def exact_mean(col, scale: int = SUM_SCALE) -> Column:
+    """:func:`exact_sum` over the count, so rounding it later gives the same digits on every engine."""
+    return exact_sum(col, scale) / F.count(_c(col))
 
 
 def coerce_numeric(col) -> Column:

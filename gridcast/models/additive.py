@@ -12,11 +12,11 @@ standard deviation (80%: +/- 1.2816 sigma), not a sampled posterior.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import add_hours, clip_forecast, epoch_days, fourier_columns, not_missing, rnd
+from ..functions import alert_flag, clip, epoch_days, fourier_columns, not_missing, rnd
 from .ridge import dot, fit_ridge
 
 Z80 = 1.2815515655446004   # standard normal 90% quantile: an 80% two-sided band
@@ -38,45 +38,69 @@ def _design(ts_col, t0, t1, n_cp: int, cp_range: float, seasonalities) -> F.Colu
 
 def fit_additive(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds",
                  n_changepoints: int = C.N_CHANGEPOINTS, seasonalities=C.SEASONALITIES,
-                 fitted_at=None) -> DataFrame:
-    """Fit per series; returns the model as a table (one row per series)."""
-    w = Window.partitionBy(key)
-    rows = df.where(not_missing(value)).select(key, ts, value).withColumns({
-        "t0": F.min(epoch_days(ts)).over(w), "t1": F.max(epoch_days(ts)).over(w), "last_ds": F.max(ts).over(w)})
-    design = rows.select(
-        key, "t0", "t1", "last_ds",
+                 rescale: bool = False, fitted_at=None) -> DataFrame:
+    """Fit per series; returns the model as a table (one row per series).
+
+    The penalties suit values of the district's size. With ``rescale`` the
+    target is first scaled so that its largest size is the district peak
+    (column ``y_scale`` of the model undoes it); use it for values in other
+    units. The series' bounds are a grouped aggregate joined by key, so the
+    rows of one large series stay spread over tasks for the design and the
+    partial normal equations.
+    """
+    rows = df.where(not_missing(value)).select(key, ts, value)
+    size = F.max(F.abs(F.col(value)))
+    scale = F.when(size > 0, size / F.lit(C.PEAK_MW)).otherwise(F.lit(1.0)) if rescale else F.lit(1.0)
+    bounds = rows.groupBy(key).agg(F.min(epoch_days(ts)).alias("t0"), F.max(epoch_days(ts)).alias("t1"), F.max(ts).alias("last_ds"),
+                                   scale.alias("y_scale"))
+    group = [key, "t0", "t1", "last_ds", "y_scale"]
+    design = rows.join(bounds, key).select(
+        *group,
         _design(F.col(ts), F.col("t0"), F.col("t1"), n_changepoints, C.CHANGEPOINT_RANGE, seasonalities).alias("x"),
-        F.col(value).alias("y"),
+        (F.col(value) / F.col("y_scale")).alias("y"),
     )
     n_season = sum(2 * o for _, _, o in seasonalities)
-    fit = fit_ridge(design, [key, "t0", "t1", "last_ds"], _penalties(n_changepoints, n_season))
+    fit = fit_ridge(design, group, _penalties(n_changepoints, n_season))
     stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else F.localtimestamp()
     return fit.select(
-        key, F.lit("additive").alias("model"), stamp.alias("fitted_at"), "t0", "t1", "last_ds",
+        key, F.lit("additive").alias("model"), stamp.alias("fitted_at"), "t0", "t1", "last_ds", "y_scale",
         F.lit(n_changepoints).alias("n_changepoints"), "coef", "sigma", "n",
     )
 
 
-def forecast_additive(model: DataFrame, hours: int, threshold: float = C.THRESHOLD_MW, key: str = "series_id",
+def additive_value(ts: str = "ds", seasonalities=C.SEASONALITIES, n_changepoints: int = C.N_CHANGEPOINTS) -> F.Column:
+    """The model's value at ``ts`` for a row that carries the model's columns."""
+    design = _design(F.col(ts), F.col("t0"), F.col("t1"), int(n_changepoints), C.CHANGEPOINT_RANGE, seasonalities)
+    return dot(design, F.col("coef")) * F.col("y_scale")
+
+
+def forecast_additive(model: DataFrame, hours: int, threshold: float | None = C.THRESHOLD_MW, key: str = "series_id",
                       seasonalities=C.SEASONALITIES, n_changepoints: int = C.N_CHANGEPOINTS,
-                      generated_at=None) -> DataFrame:
-    """Forecast ``hours`` steps after each series' last observed hour (D7 rows)."""
+                      generated_at=None, step: str = "1 HOUR", bounds: tuple | None = C.FORECAST_CLIP) -> DataFrame:
+    """Forecast ``hours`` steps after each series' last observed one (D7 rows).
+
+    ``step`` is the series' own interval, ``bounds`` what predictions and band
+    are clipped to (None: nothing), ``threshold`` None raises no alerts.
+    """
     if not 1 <= int(hours) <= C.MAX_HORIZON_H:
         raise ValueError("hours must be in 1..168")
-    n_cp = int(n_changepoints)
+    each = F.expr(f"INTERVAL {step}")
     grid = model.select(
-        key, "t0", "t1", "coef", "sigma",
-        F.posexplode(F.sequence(add_hours("last_ds", 1), add_hours("last_ds", int(hours)), F.expr("INTERVAL 1 HOUR")))
-        .alias("step", "ds"),
+        key, "t0", "t1", "coef", "sigma", "y_scale",
+        F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(int(hours))), lambda k: F.col("last_ds") + each * k)).alias("step", "ds"),
     )
-    yhat = dot(_design(F.col("ds"), F.col("t0"), F.col("t1"), n_cp, C.CHANGEPOINT_RANGE, seasonalities), F.col("coef"))
+    yhat = additive_value("ds", seasonalities, n_changepoints)
     stamp = F.lit(generated_at).cast("timestamp_ntz") if generated_at is not None else F.localtimestamp()
-    out = grid.select(key, (F.col("step") + 1).cast("int").alias("step"), "ds", "sigma", yhat.alias("_y"))
-    p = clip_forecast(F.col("_y"))
+    out = grid.select(key, (F.col("step") + 1).cast("int").alias("step"), "ds", (F.col("sigma") * F.col("y_scale")).alias("sigma"), yhat.alias("_y"))
+
+    def clipped(c):
+        return c if bounds is None else clip(c, *bounds)
+
+    p = clipped(F.col("_y"))
     return out.select(
         key, F.lit("additive").alias("model"), stamp.alias("generated_at"), "step", "ds",
         rnd(p, 3).alias("predicted_mw"),
-        rnd(clip_forecast(F.col("_y") - F.lit(Z80) * F.col("sigma")), 3).alias("lower_mw"),
-        rnd(clip_forecast(F.col("_y") + F.lit(Z80) * F.col("sigma")), 3).alias("upper_mw"),
-        (p >= F.lit(float(threshold))).alias("alert"),
+        rnd(clipped(F.col("_y") - F.lit(Z80) * F.col("sigma")), 3).alias("lower_mw"),
+        rnd(clipped(F.col("_y") + F.lit(Z80) * F.col("sigma")), 3).alias("upper_mw"),
+        (F.lit(False) if threshold is None else alert_flag(p, threshold)).alias("alert"),
     )

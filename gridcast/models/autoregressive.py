@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import add_hours, calendar_columns, clip_forecast, epoch_hours, proportional_band, rnd
+from ..functions import add_hours, alert_flag, calendar_columns, clip_forecast, epoch_hours, proportional_band, rnd
 from ..operators.align import attach_weather
 from ..operators.grid import hourly_spine
 from .ridge import dot, fit_ridge
@@ -84,9 +84,15 @@ def fit_autoregressive(history: DataFrame, weather: DataFrame | None = None, val
     )
 
 
+FOLD_BLOCK = 168   # steps folded at once; only the lag window passes from block to block
+
+
 def recursive_fold(seed: Column, coef: Column, steps: Column, cov_fields=(), intercept: bool = True,
                    to_output=None, to_window=None) -> Column:
-    """Fold a linear autoregression over ``steps`` (an array of covariate structs).
+    """Fold a linear autoregression over ``steps`` (an array of covariate structs of any length).
+
+    Long horizons are folded block by block, so that the outputs gathered so
+    far are copied once a block and not once a step.
 
     The state is the lag window (oldest first) and the outputs. Each step:
     ``y = coef . ([1] ++ window ++ covariates)``; ``to_output(y)`` is emitted
@@ -95,7 +101,6 @@ def recursive_fold(seed: Column, coef: Column, steps: Column, cov_fields=(), int
     """
     to_output = to_output or (lambda y: y)
     to_window = to_window or (lambda o: o)
-    init = F.struct(seed.alias("w"), F.array().cast("array<double>").alias("out"))
 
     def step(acc, c):
         parts = ([F.array(F.lit(1.0))] if intercept else []) + [acc["w"]]
@@ -111,14 +116,23 @@ def recursive_fold(seed: Column, coef: Column, steps: Column, cov_fields=(), int
             )
         return F.transform(F.array(y), advance)[0]
 
-    return F.aggregate(steps, init, step, lambda acc: acc["out"])
+    def block(acc, part):
+        start = F.struct(acc["w"].alias("w"), F.array().cast("array<double>").alias("out"))
+        folded = F.aggregate(part, start, step)
+        return F.transform(F.array(folded), lambda r: F.struct(r["w"].alias("w"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
 
+    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: (i % FOLD_BLOCK == 0) & (i < F.size(steps))),
+                         lambda i: F.slice(steps, i + 1, FOLD_BLOCK))
+    init = F.struct(seed.alias("w"), F.array().cast("array<array<double>>").alias("out"))
+    return F.aggregate(blocks, init, block, lambda acc: F.flatten(acc["out"]))
 
-def _fold_forecast(mo: DataFrame, seed_rows: DataFrame, hours: int, weather: DataFrame | None, keys: list[str],
+
+def _fold_forecast(mo: DataFrame, seed_rows: DataFrame, hours, weather: DataFrame | None, keys: list[str],
                    ts: str) -> DataFrame:
     """Recursive forecasts for each origin row of ``mo``.
 
-    ``mo``: ``keys..., _origin, n_lags, coef, feature_min, feature_max`` (one row per forecast origin).
+    ``mo``: ``keys..., _origin, n_lags, coef, feature_min, feature_max`` (one row per forecast origin);
+    ``hours`` is a number, or the name of a column of ``mo`` with each origin's own horizon.
     ``seed_rows``: ``keys..., ds, _v`` - history hours inside each origin's seed window (``n_lags``
     hours up to the origin). A missing seed hour takes the previous hour's value (leading gaps the
     first value present); an origin with no value in its window is skipped.
@@ -127,8 +141,9 @@ def _fold_forecast(mo: DataFrame, seed_rows: DataFrame, hours: int, weather: Dat
     lo0, hi0 = F.col("feature_min")[0], F.col("feature_max")[0]
     span0 = F.nullif(hi0 - lo0, F.lit(0.0))
     seed = seed_rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(ts, "_v"))).alias("_sm"))
-    grid = mo.select(*keys, F.posexplode(F.sequence(add_hours("_origin", 1), add_hours("_origin", int(hours)),
-                                                    F.expr("INTERVAL 1 HOUR"))).alias("_i", ts))
+    last = F.col(hours) if isinstance(hours, str) else F.lit(int(hours))
+    grid = mo.where(last >= 1).select(*keys, F.posexplode(F.sequence(add_hours("_origin", 1), add_hours("_origin", last),
+                                                                     F.expr("INTERVAL 1 HOUR"))).alias("_i", ts))
     cov = _features(grid, weather, ts).join(mo.select(*keys, "feature_min", "feature_max"), keys, "inner")
     scaled_cov = cov.select(*keys, "_i", ts, F.struct(*[
         F.coalesce(F.try_divide(F.col(c) - F.col("feature_min")[i + 1],
@@ -167,7 +182,7 @@ def _d7(res: DataFrame, keys: list[str], ts: str, threshold: float, generated_at
     return res.select(
         *keys, F.lit("autoregressive").alias("model"), stamp.alias("generated_at"), "step", ts,
         rnd("_p", 3).alias("predicted_mw"), rnd(lower, 3).alias("lower_mw"), rnd(upper, 3).alias("upper_mw"),
-        (F.col("_p") >= F.lit(float(threshold))).alias("alert"),
+        alert_flag("_p", threshold).alias("alert"),
     )
 
 
@@ -177,11 +192,19 @@ def forecast_autoregressive(model: DataFrame, history: DataFrame, hours: int, we
     """Forecast ``hours`` steps after the model's last hour, feeding each prediction back."""
     if not 1 <= int(hours) <= C.MAX_HORIZON_H:
         raise ValueError("hours must be in 1..168")
-    mo = model.select(key, F.col("last_ds").alias("_origin"), "n_lags", "coef", "feature_min", "feature_max")
+    mo = model.withColumn("_hours", F.lit(int(hours)))
+    return forecast_to_horizon(mo, history, "_hours", weather, threshold, value, key, ts, generated_at)
+
+
+def forecast_to_horizon(model: DataFrame, history: DataFrame, hours: str, weather: DataFrame | None = None,
+                        threshold: float = C.THRESHOLD_MW, value: str = "load_mw", key: str = "series_id",
+                        ts: str = "ds", generated_at=None) -> DataFrame:
+    """The same recursion over each series' own horizon: the column ``hours`` of the model table, of any size."""
+    mo = model.select(key, F.col("last_ds").alias("_origin"), "n_lags", "coef", "feature_min", "feature_max", F.col(hours).cast("int").alias("_hours"))
     hist = history.select(key, ts, F.col(value).alias("_v")).join(mo.select(key, "_origin", "n_lags"), key, "inner")
     seed_rows = hist.where((F.col(ts) <= F.col("_origin")) & (F.col(ts) > add_hours("_origin", -F.col("n_lags")))
                            & F.col("_v").isNotNull()).select(key, ts, "_v")
-    return _d7(_fold_forecast(mo, seed_rows, hours, weather, [key], ts), [key], ts, threshold, generated_at)
+    return _d7(_fold_forecast(mo, seed_rows, "_hours", weather, [key], ts), [key], ts, threshold, generated_at)
 
 
 def rolling_forecast_autoregressive(model: DataFrame, history: DataFrame, anchors: DataFrame, hours: int = 24,

@@ -68,31 +68,27 @@ def alert_hours(df: DataFrame, threshold: float, keys, value: str = "predicted_m
 
 
 # --------------------------------------------------------------------------- W8
-def zone_list(zones: DataFrame | None = None, spark=None) -> Column:
-    """The zone list as an ``ARRAY<STRUCT<priority, zone>>`` literal in priority order.
+def _sorted_zones() -> Column:
+    """All zones of a group as ``ARRAY<STRUCT<priority, zone>>`` in priority order."""
+    return F.array_sort(F.collect_list(F.struct(F.col("priority").cast("int").alias("priority"),
+                                                F.col("zone").cast("string").alias("zone"))))
 
-    A zone list is configuration, not data: its size is checked against
-    ``MAX_INLINE_ZONES`` before it is put into the plan.
+
+def zone_list(zones: DataFrame | None = None) -> Column:
+    """One zone list for all series, as an ``ARRAY<STRUCT<priority, zone>>`` in priority order.
+
+    A zone table becomes a scalar subquery: one aggregated row that is
+    computed with the query, not while it is built. Without a table the fixed zones are used.
     """
-    if zones is None:
-        rows = [(int(p), z) for z, p in C.ZONES]
-    else:
-        got = zones.select(F.col("priority").cast("int"), F.col("zone").cast("string")).limit(C.MAX_INLINE_ZONES + 1).collect()
-        if len(got) > C.MAX_INLINE_ZONES:
-            raise ValueError("zone list too large to inline; give zones per series_id instead")
-        rows = [(int(r[0]), r[1]) for r in got]
-    rows.sort()
-    if not rows:
-        return F.array().cast(T.ArrayType(ZONE_TYPE))
+    if zones is not None:
+        return zones.agg(_sorted_zones().alias("zones")).scalar()
+    rows = sorted((int(p), z) for z, p in C.ZONES)
     return F.array(*[F.struct(F.lit(p).cast("int").alias("priority"), F.lit(z).alias("zone")) for p, z in rows])
 
 
 def keyed_zone_lists(zones: DataFrame, key: str = "series_id") -> DataFrame:
     """Per-series zone lists ``(key, zones ARRAY<STRUCT<priority, zone>>)`` sorted by priority."""
-    return zones.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("priority").cast("int").alias("priority"),
-                                             F.col("zone").cast("string").alias("zone")))).alias("_zones")
-    )
+    return zones.groupBy(key).agg(_sorted_zones().alias("_zones"))
 
 
 def _shed_fold(peak: Column, threshold: Column, zones: Column) -> Column:
@@ -133,22 +129,21 @@ def shed_schedule(peaks: DataFrame, threshold: float, zones: DataFrame | None =
     order take ``min(per, remaining)`` until the excess is covered; duration
     ``max(0.5, round(load / per * 2, 1))`` hours; the first zone starts one
     hour before the peak and each next zone when the previous one ends.
-    ``zones`` is either one list for every series (inlined, size-checked)
-    or, with ``zones_by_key``, a table keyed by that column (equi-joined).
+    ``zones`` is either one list for every series (a scalar subquery) or,
+    with ``zones_by_key``, a table keyed by that column (equi-joined); a
+    series that the table does not list is shed by the fixed zones.
     Output: one row per shed zone with full timestamps and ``HH:MM`` text.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if zones_by_key:
         lists = keyed_zone_lists(zones, zones_by_key)
-        base = peaks.join(lists, zones_by_key, "inner")
-        zcol = F.col("_zones")
+        base = peaks.join(lists, zones_by_key, "left").withColumn("_zones", F.coalesce("_zones", zone_list()))
     else:
-        base = peaks
-        zcol = zone_list(zones)
+        base = peaks.withColumn("_zones", zone_list(zones))
     start0 = add_hours(F.col(ts), -1)
     out = base.select(
         *[c for c in peaks.columns],
-        F.inline(_shed_fold(F.col(value), F.lit(float(threshold)), zcol)),
+        F.inline(_shed_fold(F.col(value), F.lit(float(threshold)), F.col("_zones"))),
     )
     start = add_minutes(start0, F.col("offset_min"))
     end = add_minutes(start0, F.col("offset_min") + F.col("duration_min"))
@@ -239,7 +234,7 @@ def forecast_table(df: DataFrame, threshold: float, only_alerts: bool = False, s
 
 # --------------------------------------------------------------------------- S10 / T2
 def alert_payload(forecast: DataFrame, schedule: DataFrame, threshold: float, keys=("series_id",),
-                  triggered_at=None) -> DataFrame:
+                  triggered_at=None, district: str = C.DISTRICT) -> DataFrame:
     """Nested alert event per series: peak, the forecast window and the shed schedule.
 
     The forecast window of a series is bounded by the horizon (at most 168
@@ -258,6 +253,7 @@ def alert_payload(forecast: DataFrame, schedule: DataFrame, threshold: float, ke
         .select(
             *keys,
             F.lit("peak_load_alert").alias("event"),
+            F.lit(district).alias("district"),
             trig.alias("triggered_at"),
             F.lit(float(threshold)).alias("threshold_mw"),
             F.struct(F.col("peak_ds").alias("timestamp"), F.col("peak_mw").alias("predicted_mw"), "model").alias("peak"),
@@ -276,9 +272,9 @@ def recent_alerts(log: DataFrame, limit: int = 20, order=("timestamp",)) -> Data
     """
     if not 1 <= int(limit) <= C.MAX_ALERT_LIMIT:
         raise ValueError("limit must be in 1..100")
-    total = log.count()   # a distributed count; one number reaches the driver
+    total = log.agg(F.count("*").alias("n")).scalar()
     top = log.orderBy(*[F.col(c).desc() for c in order]).limit(int(limit))
-    return top.withColumn("total", F.lit(total).cast("bigint"))
+    return top.withColumn("total", total)
 
 
 def freshness(df: DataFrame, now, within_s: int = 300, key: str = "series_id", ts: str = "ds") -> DataFrame:

@@ -6,7 +6,7 @@ partitioned by ``series_id`` over those tables only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_text, quality_tier, report_tier, rnd
@@ -30,6 +30,19 @@ def error_metrics(df: DataFrame, keys=("series_id", "model"), actual: str = "act
     )
 
 
+def error_weights(*errors: Column) -> list[Column]:
+    """Shares of inverse errors, one per model, summing to 1.
+
+    Models without any error share all the weight; a model whose error is
+    not known gets none, and if none is known all get the same.
+    """
+    free = sum(F.coalesce((e == 0).cast("double"), F.lit(0.0)) for e in errors)
+    inverse = [F.coalesce(F.try_divide(F.lit(1.0), e), F.lit(0.0)) for e in errors]
+    total = sum(inverse)
+    return [F.when(free > 0, F.coalesce((e == 0).cast("double"), F.lit(0.0)) / free)
+            .when(total > 0, i / total).otherwise(F.lit(1.0 / len(errors))) for e, i in zip(errors, inverse)]
+
+
 def inverse_error_weights(metrics: DataFrame, keys=("series_id",), model: str = "model",
                           metric: str = "mae") -> DataFrame:
     """Weight of each model = (1 / metric) normalised to sum 1 within the group."""

@@ -301,8 +301,21 @@ def q_additive_forecast(spark, sf):
 
 
 def q_additive_daily_forecast(spark, sf):
-    fc = ADD.forecast_additive(ADD.fit_additive(V.daily_load(spark, sf), value="load"), 24, threshold=1e12)
-    return fc.drop("generated_at")
+    """The daily order history in its own units: scaled for the fit, stepped by the day, not clipped, no alerts."""
+    model = ADD.fit_additive(V.daily_load(spark, sf), value="load", rescale=True)
+    return ADD.forecast_additive(model, 24, threshold=None, step="1 DAY", bounds=None).drop("generated_at")
+
+
+def q_additive_fixed_daily(spark, sf):
+    """M2 with fixed coefficients: 30 days after each daily order history, value and alert flag at twice its mean."""
+    daily = V.daily_load(spark, sf)
+    day = F.datediff(F.col("ds"), F.lit("1970-01-01")).cast("double")
+    model = daily.groupBy("series_id").agg(
+        F.min(day).alias("t0"), F.max(day).alias("t1"), F.max("ds").alias("last_ds"), (exact_mean("load") / F.lit(10.0)).alias("y_scale"),
+        F.lit(0.5).alias("sigma"), F.array(*[F.lit(c) for c in C.CHECK_COEFFICIENTS]).alias("coef"))
+    fc = ADD.forecast_additive(model, 30, threshold=None, step="1 DAY", bounds=None)
+    return fc.select("series_id", "step", "ds", rnd("predicted_mw", 1).alias("predicted"),
+                     rnd(F.col("upper_mw") - F.col("lower_mw"), 1).alias("width"), "alert")
 
 
 def q_ar_fit(spark, sf):
@@ -389,11 +402,19 @@ def q_fresh_forecast(spark, sf):
 
 # ----------------------------------------------------------------------------- payload, alignment, streams
 def q_alert_payload(spark, sf):
-    """Nested alert event per series from the 24 h forecast at threshold 13 (peak, window, schedule)."""
+    """Alert event per series from the 24 h forecast at threshold 13 (peak, window, schedule), its nested parts as columns."""
     fc = _profile_forecast(spark, sf, threshold=13.0).withColumn("model", F.lit("profile"))
     peaks = AL.forecast_peak(AL.breaches(fc, 13.0), ["series_id"], carry=("model",))
     sched = AL.shed_schedule(peaks, 13.0, keys=["series_id"])
-    return AL.alert_payload(fc, sched, 13.0, triggered_at="2024-01-31 00:00:00")
+    event = AL.alert_payload(fc, sched, 13.0, triggered_at="2024-01-31 00:00:00")
+    window, shed = F.col("forecast_window"), F.col("shed_schedule")
+    return event.select(
+        "series_id", "event", "district", "triggered_at", "threshold_mw", F.col("peak.timestamp").alias("peak_ds"),
+        F.col("peak.predicted_mw").alias("peak_mw"), F.col("peak.model").alias("peak_model"), F.size(window).cast("bigint").alias("hours"),
+        window[0]["ds"].alias("first_ds"), F.element_at(window, -1)["ds"].alias("last_ds"),
+        F.size(F.filter(window, lambda r: r["alert"])).cast("bigint").alias("alert_hours"),
+        F.array_join(F.transform(shed, lambda z: F.concat_ws("|", z["priority"].cast("string"), z["zone"], z["start"], z["end"])), ";").alias("zones"),
+        rnd(F.aggregate(shed, F.lit(0.0), lambda a, z: a + z["load_mw"]), 2).alias("shed_mw"))
 
 
 def q_align_models(spark, sf):
@@ -405,7 +426,7 @@ def q_align_models(spark, sf):
 
 def _events_stream(spark, sf):
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    src = STR.read_table_stream(spark, sf.rstrip("/") + "/events.parquet", schema)
     return src.select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
@@ -445,7 +466,7 @@ def q_model_leaderboard(spark, sf):
 
 def q_stream_threshold_alerts(spark, sf):
     """R2: stream hours rescaled with per-series bounds of the batch history; breaches at 20 MW."""
-    bounds = STR.rescale_bounds(V.hourly_load(spark, sf))
+    bounds = materialize(STR.rescale_bounds(V.hourly_load(spark, sf)))     # not computed again by each micro-batch
     hourly = STR.stream_hourly_load(_events_stream(spark, sf), "1 hour")
     out = _run_stream(STR.stream_threshold_alerts(hourly, bounds, C.THRESHOLD_MW), "alerts")
     return out.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load", "load_mw")
@@ -516,6 +537,7 @@ QUERIES: dict[str, Query] = {
     "additive_fit": q_additive_fit,
     "additive_forecast": q_additive_forecast,
     "additive_daily_forecast": q_additive_daily_forecast,
+    "additive_fixed_daily": q_additive_fixed_daily,
     "ar_fit": q_ar_fit,
     "ar_forecast": q_ar_forecast,
     "model_fallback": q_model_fallback,

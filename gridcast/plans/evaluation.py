@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import epoch_hours, weekday0
-from ..operators.metrics import error_metrics
+from ..functions import SUM_SCALE, epoch_hours, weekday0
+from ..operators.metrics import error_metrics, error_weights
 
 MODELS = ("seasonal_naive", "profile", "ensemble")
 
@@ -52,7 +52,7 @@ def wide_predictions(df: DataFrame, value: str = "load_mw", key: str = "series_i
     day_before = Window.partitionBy(key).orderBy("_eh").rangeBetween(-24, -24)
     slot = Window.partitionBy(key, F.hour(ts), weekday0(ts))
     fit_v = F.when(F.col("part") == "fit", F.col(value))
-    profile = F.try_divide(F.sum(fit_v.cast("decimal(38,3)")).over(slot).cast("double"), F.count(fit_v).over(slot))
+    profile = F.try_divide(F.sum(fit_v.cast(f"decimal(38,{SUM_SCALE})")).over(slot).cast("double"), F.count(fit_v).over(slot))
     return parts.select(
         key, ts, "part", F.col(value).alias("actual"),
         F.first(value).over(day_before).alias("seasonal_naive"),
@@ -77,9 +77,7 @@ def scored_wide(df: DataFrame, value: str = "load_mw", key: str = "series_id", t
     common = wide.where((F.col("part") != "fit") & F.col("seasonal_naive").isNotNull() & F.col("profile").isNotNull())
     w = Window.partitionBy(key)
     val = F.col("part") == "validation"
-    inv = {m: F.try_divide(F.lit(1.0), F.avg(F.when(val, F.abs(F.col("actual") - F.col(m)))).over(w)) for m in MODELS[:2]}
-    total = inv["seasonal_naive"] + inv["profile"]
-    wa, wb = F.try_divide(inv["seasonal_naive"], total), F.try_divide(inv["profile"], total)
+    wa, wb = error_weights(*[F.avg(F.when(val, F.abs(F.col("actual") - F.col(m)))).over(w) for m in MODELS[:2]])
     ens = F.try_divide(wa * F.col("seasonal_naive") + wb * F.col("profile"), wa + wb)
     return common.select("*", wa.alias("w_seasonal_naive"), wb.alias("w_profile"), ens.alias("ensemble"))
 
@@ -95,50 +93,72 @@ def ensemble_weights(df: DataFrame, value: str = "load_mw", key: str = "series_i
     wide = wide_predictions(df, value, key, ts)
     val = wide.where((F.col("part") == "validation") & F.col("seasonal_naive").isNotNull() & F.col("profile").isNotNull())
     mae = val.groupBy(key).agg(*[F.avg(F.abs(F.col("actual") - F.col(m))).alias(m) for m in MODELS[:2]])
-    inv = {m: F.try_divide(F.lit(1.0), F.col(m)) for m in MODELS[:2]}
-    total = inv["seasonal_naive"] + inv["profile"]
-    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.try_divide(inv[m], total).alias("weight")) for m in MODELS[:2]])
+    weights = error_weights(*[F.col(m) for m in MODELS[:2]])
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), w.alias("weight")) for m, w in zip(MODELS[:2], weights)])
     return mae.select(key, F.inline(pairs))
 
 
+def _fitted_predictions(known: DataFrame, wanted: DataFrame, weather: DataFrame | None, value: str, key: str, ts: str):
+    """Both models fitted on ``known`` and their predictions for the hours of ``wanted``.
+
+    Returns the autoregressive model table and ``(key, ts, actual, additive, autoregressive)``, one row per hour of
+    ``wanted``; a model that a series has no fit for is null there. The
+    recursion runs over each series' whole wanted span.
+    """
+    from ..functions import clip_forecast, rnd
+    from ..models.additive import additive_value, fit_additive
+    from ..models.autoregressive import fit_autoregressive, forecast_to_horizon
+    from ..session import materialize
+
+    add = fit_additive(known, value, key, ts).select(key, "t0", "t1", "coef", "y_scale")
+    ar_model = materialize(fit_autoregressive(known, weather, value, key, ts))
+    ends = wanted.groupBy(key).agg(F.max(ts).alias("_end"))
+    reach = ar_model.join(ends, key).withColumn("_hours", epoch_hours("_end") - epoch_hours("last_ds"))
+    ar = forecast_to_horizon(reach, known, "_hours", weather, value=value, key=key, ts=ts)
+    rows = wanted.join(add, key, "left").withColumn("additive", rnd(clip_forecast(additive_value(ts)), 3))
+    rows = rows.select(key, ts, F.col(value).alias("actual"), "additive")
+    return ar_model, rows.join(ar.select(key, ts, F.col("predicted_mw").alias("autoregressive")), [key, ts], "left")
+
+
+FITTED = ("additive", "autoregressive")
+
+
 def evaluate_models(df: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
-                    key: str = "series_id", ts: str = "ds", horizon: int = C.MAX_HORIZON_H,
-                    rolling: bool = True) -> DataFrame:
-    """Additive and autoregressive models scored on each series' test part (M5 with the fitted models).
-
-    Both are fitted on the training rows only (the first ``int(n * 0.8)``),
-    forecast up to ``horizon`` hours from the end of training in one
-    recursion (the autoregressive model gets the test hours' actual
-    covariates, as the reference does), and are aligned with the actual load
-    by ``ds``. The ensemble weights are the inverse test MAEs, as in the
-    reference (here over the same hours for both models). With ``rolling``,
-    ``autoregressive_rolling`` is also scored: a fresh 24 h recursion every
-    24 h from the actual history up to each origin (the first origin is the
-    last training hour).
+                    key: str = "series_id", ts: str = "ds", rolling: bool = True) -> DataFrame:
+    """Additive and autoregressive models scored on each series' whole test part (M5 with the fitted models).
+
+    Both are fitted on the training rows only (the first ``int(n * 0.8)``)
+    and forecast every test hour from the end of training, the
+    autoregressive model in one recursion with the test hours' actual
+    covariates. Each model is scored on its own hours: a series without an
+    autoregressive fit keeps its additive scores. The ensemble averages the
+    models present in an hour; its weights are the inverse MAEs on the
+    validation part of models fitted on the rows before it. With
+    ``rolling``, ``autoregressive_rolling`` is also scored: a fresh 24 h
+    recursion every 24 h from the actual history up to each origin (the
+    first origin is the last training hour).
     """
-    from ..models.additive import fit_additive, forecast_additive
-    from ..models.autoregressive import fit_autoregressive, forecast_autoregressive
     from ..session import materialize
 
     parts = materialize(split_parts(df, value, key=key, ts=ts).select(key, ts, value, "part"))
+    rows = {p: parts.where(F.col("part") == p).select(key, ts, value) for p in ("fit", "validation", "test")}
     train = parts.where(F.col("part") != "test").select(key, ts, value)
-    test = parts.where(F.col("part") == "test").select(key, ts, F.col(value).alias("actual"))
-    add = forecast_additive(materialize(fit_additive(train, value, key, ts)), horizon, key=key)
-    ar_model = materialize(fit_autoregressive(train, weather, value, key, ts))
-    ar = forecast_autoregressive(ar_model, train, horizon, weather, value=value, key=key, ts=ts)
-    wide = (test.join(add.select(key, ts, F.col("predicted_mw").alias("additive")), [key, ts], "inner")
-            .join(ar.select(key, ts, F.col("predicted_mw").alias("autoregressive")), [key, ts], "inner"))
-    w = Window.partitionBy(key)
-    inv = {m: F.try_divide(F.lit(1.0), F.avg(F.abs(F.col("actual") - F.col(m))).over(w))
-           for m in ("additive", "autoregressive")}
-    tot = inv["additive"] + inv["autoregressive"]
-    ens = F.try_divide(inv["additive"] * F.col("additive") + inv["autoregressive"] * F.col("autoregressive"), tot)
-    scored = wide.withColumn("ensemble", ens).withColumn("part", F.lit("test"))
-    metrics = error_metrics(_long(scored, ("additive", "autoregressive", "ensemble"), key, ts), (key, "model"))
+    _, checked = _fitted_predictions(rows["fit"], rows["validation"], weather, value, key, ts)
+    mae = checked.groupBy(key).agg(*[F.avg(F.abs(F.col("actual") - F.col(m))).alias(m) for m in FITTED])
+    weights = mae.select(key, *[w.alias(f"w_{m}") for m, w in zip(FITTED, error_weights(*[F.col(m) for m in FITTED]))])
+    ar_model, wide = _fitted_predictions(train, rows["test"], weather, value, key, ts)
+    wide = wide.join(weights, key, "left")
+    w = {m: F.when(F.col(m).isNotNull(), F.coalesce(F.col(f"w_{m}"), F.lit(1.0))) for m in FITTED}
+    total = sum(F.coalesce(w[m], F.lit(0.0)) for m in FITTED)
+    blend = sum(F.coalesce(w[m] * F.col(m), F.lit(0.0)) for m in FITTED)
+    alone = F.coalesce(*FITTED)                                # the only model present may have weight 0
+    scored = wide.withColumn("ensemble", F.coalesce(F.try_divide(blend, total), alone)).withColumn("part", F.lit("test"))
+    metrics = error_metrics(_long(scored, (*FITTED, "ensemble"), key, ts), (key, "model"))
     if not rolling:
         return metrics
     from ..models.autoregressive import rolling_forecast_autoregressive
 
+    test = rows["test"].withColumnRenamed(value, "actual")
     anchors = train.groupBy(key).agg(F.max(ts).alias("anchor"))
     roll = rolling_forecast_autoregressive(ar_model, parts.select(key, ts, value), anchors, 24, 24, weather,
                                            value=value, key=key, ts=ts)

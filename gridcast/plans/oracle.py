@@ -456,3 +456,49 @@ last AS (SELECT series_id, max(ds) AS last_ds FROM load_mw GROUP BY 1)
 SELECT l.series_id, CASE WHEN ok.series_id IS NOT NULL THEN 'autoregressive' ELSE 'additive' END AS model,
        CAST(s AS INTEGER) AS step, l.last_ds + s * INTERVAL 1 HOUR AS ds
 FROM last l LEFT JOIN ok ON ok.series_id = l.series_id, range(1, 25) t(s)"""
+
+
+def _payload_sql(t: float) -> str:
+    zones = ", ".join(f"('{z}', {p})" for z, p in C.ZONES)
+    peaks = f"""peaks AS (
+  SELECT series_id, CAST(CAST(ds AS DATE) AS TIMESTAMP) AS day, ds AS peak_ds, predicted_mw AS peak_mw FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY predicted_mw DESC, ds) AS rn
+    FROM band WHERE alert OR predicted_mw >= {t}) WHERE rn = 1)"""
+    schedule = _schedule(t)[len(_peaks(t)):].replace("SELECT r_name AS zone, r_regionkey + 1 AS priority FROM region",
+                                                     f"SELECT * FROM (VALUES {zones}) z(zone, priority)")
+    return _with(HOURLY, LOAD_MW, _band(t), peaks + schedule) + f"""SELECT p.series_id, 'peak_load_alert' AS event, '{C.DISTRICT}' AS district,
+  TIMESTAMP '2024-01-31 00:00:00' AS triggered_at, CAST({t} AS DOUBLE) AS threshold_mw, p.peak_ds, p.peak_mw, 'profile' AS peak_model,
+  w.hours, w.first_ds, w.last_ds, w.alert_hours, coalesce(s.zones, '') AS zones, coalesce(s.shed_mw, 0e0) AS shed_mw
+FROM peaks p JOIN (SELECT series_id, count(*) AS hours, min(ds) AS first_ds, max(ds) AS last_ds, CAST(count_if(alert) AS BIGINT) AS alert_hours
+                   FROM band GROUP BY 1) w USING (series_id)
+LEFT JOIN (SELECT series_id, string_agg(priority || '|' || zone || '|' || strftime(start_ts, '%H:%M') || '|' || strftime(end_ts, '%H:%M'), ';' ORDER BY priority) AS zones,
+                  {R('sum(load_mw)', 2)} AS shed_mw FROM schedule GROUP BY 1) s USING (series_id)"""
+
+
+SQL["alert_payload"] = _payload_sql(13.0)
+
+
+def _fixed_daily_sql() -> str:
+    import math
+    c = [repr(x) for x in C.CHECK_COEFFICIENTS]
+    n = C.N_CHANGEPOINTS
+    terms = [c[0], f"{c[1]} * t"] + [f"{c[1 + j]} * greatest(t - {C.CHANGEPOINT_RANGE * j / n!r}, 0e0)" for j in range(1, n + 1)]
+    at = 2 + n
+    for _, period, order in C.SEASONALITIES:
+        for k in range(1, order + 1):
+            f = repr(2 * math.pi * k / period)
+            terms += [f"{c[at]} * sin({f} * e)", f"{c[at + 1]} * cos({f} * e)"]
+            at += 2
+    return f"""WITH daily AS (
+  SELECT o_orderpriority AS series_id, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ds,
+         CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS load FROM orders GROUP BY 1, 2),
+m AS (SELECT series_id, CAST(min(CAST(ds AS DATE) - DATE '1970-01-01') AS DOUBLE) AS t0, CAST(max(CAST(ds AS DATE) - DATE '1970-01-01') AS DOUBLE) AS t1,
+             max(ds) AS last_ds, CAST(SUM(CAST(load AS DECIMAL(38,9))) AS DOUBLE) / count(load) / 10e0 AS y_scale FROM daily GROUP BY 1),
+g AS (SELECT m.*, CAST(s AS INTEGER) AS step, last_ds + s * INTERVAL 1 DAY AS ds FROM m, range(1, 31) r(s)),
+e AS (SELECT *, CAST(CAST(ds AS DATE) - DATE '1970-01-01' AS DOUBLE) AS e FROM g),
+x AS (SELECT *, (e - t0) / (t1 - t0) AS t FROM e)
+SELECT series_id, step, ds, {R('y_scale * (' + ' + '.join(terms) + ')', 1)} AS predicted,
+       {R('2e0 * 1.2815515655446004e0 * 0.5e0 * y_scale', 1)} AS width, false AS alert FROM x"""
+
+
+SQL["additive_fixed_daily"] = _fixed_daily_sql()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import coerce_numeric, hour_floor, not_missing, parse_period
+from ..functions import SUM_SCALE, coerce_numeric, exact_sum, hour_floor, not_missing, parse_period
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -28,11 +28,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- S11
 def demand_from_events(events: DataFrame, key: str = "event_type", ts: str = "ts", value: str = "value",
-                       scale: int = 2, start=None, end=None) -> DataFrame:
+                       scale: int = SUM_SCALE, start=None, end=None) -> DataFrame:
     """Hourly demand ``(series_id, ds, load)`` from raw readings.
 
-    The sum runs as ``DECIMAL(18, scale)`` and is cast to DOUBLE, so it does
-    not depend on the order rows are added in. The group key includes the
+    The sum runs as DECIMAL with ``scale`` decimals and is cast to DOUBLE, so
+    it does not depend on the order rows are added in. The group key includes the
     hour, so one hot series is spread over many shuffle partitions, and the
     aggregate is partial (map-side) before the shuffle. ``start``/``end``
     (whole hours) filter the raw readings, so the range reaches the Parquet
@@ -45,7 +45,7 @@ def demand_from_events(events: DataFrame, key: str = "event_type", ts: str = "ts
     return (
         events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
         .groupBy(F.col(key).alias("series_id"), hour_floor(ts).alias("ds"))
-        .agg(F.sum(F.col(value).cast(f"decimal(18,{scale})")).cast("double").alias("load"))
+        .agg(exact_sum(value, scale).alias("load"))
     )
 
 
@@ -116,8 +116,14 @@ LOAD_CSV_SCHEMA = "ds TIMESTAMP_NTZ, load_mw DOUBLE, temp_c DOUBLE"
 
 
 def read_load_csv(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
-    """Load-history CSV (``ds, load_mw, temp_c``, header) with the time parsed."""
-    df = spark.read.schema(LOAD_CSV_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """Load-history CSV with a header; ``ds, load_mw, temp_c`` are found by name, in any order and among others.
+
+    A missing column and text that does not parse are null.
+    """
+    text = spark.read.option("header", True).csv(path)
+    fields = T.StructType.fromDDL(LOAD_CSV_SCHEMA).fields
+    df = text.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in text.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                       for f in fields])
     if series_id is not None:
         df = df.withColumn("series_id", F.lit(series_id))
     return df

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
-from ..functions import rnd
+from ..functions import exact_sum, rnd
 from ..operators.prep import series_quantiles
 
 READING_SCHEMA = T.StructType([
@@ -48,13 +48,23 @@ def read_readings(spark: SparkSession, path: str, max_files_per_trigger: int | N
     return r.load(path)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table as a stream of its files, whether ``path`` is one file or a folder of part files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
 def stream_hourly_load(readings: DataFrame, delay: str = "1 hour", key: str = "series_id", ts: str = "ts",
                        value: str = "value") -> DataFrame:
     """``(series_id, ds, load)`` per closed hour (append mode)."""
     return (
         readings.withWatermark(ts, delay)
         .groupBy(F.col(key).alias("series_id"), F.window(ts, "1 hour").alias("w"))
-        .agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("load"))
+        .agg(exact_sum(value).alias("load"))
         .select("series_id", F.col("w.start").alias("ds"), "load")
     )
 
@@ -68,15 +78,18 @@ def rescale_bounds(history: DataFrame, value: str = "load", key: str = "series_i
 
 def stream_threshold_alerts(hourly: DataFrame, bounds: DataFrame, threshold: float = C.THRESHOLD_MW,
                             cfg: C.GridConfig = C.GridConfig(), key: str = "series_id") -> DataFrame:
-    """Hours whose rescaled load is at or above ``threshold`` (stream-static join on the series)."""
+    """Hours whose rescaled load is at or above ``threshold`` (stream-static left join on the series).
+
+    A series without bounds yet has no scale; its load is taken as MW as it stands.
+    """
     x = F.col("load")
     clipped = F.least(F.greatest(x, F.col("_lo")), F.col("_hi"))
     norm = F.coalesce(F.try_divide(clipped - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(0.0))
     scaled = F.least(F.greatest(F.lit(cfg.base_mw) + norm * F.lit(cfg.peak_mw - cfg.base_mw), F.lit(cfg.rescale_floor)),
                      F.lit(cfg.rescale_cap))
     return (
-        hourly.join(bounds, key, "inner")
-        .withColumn("load_mw", rnd(scaled, 3))
+        hourly.join(bounds, key, "left")
+        .withColumn("load_mw", rnd(F.when(F.col("_lo").isNull(), x).otherwise(scaled), 3))
         .drop("_lo", "_hi")
         .where(F.col("load_mw") >= F.lit(float(threshold)))
     )
@@ -157,15 +170,19 @@ def forecast_alert_batch(batch: DataFrame, batch_id: int, load_path: str, model_
     from ..plans.requests import alert_events
 
     spark = batch.sparkSession
-    hours_df = batch.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load")
+    # read twice below; the stateful source must not run again for the second use
+    hours_df = batch.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "load").persist()
     (hours_df.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(load_path))
     newest = hours_df.groupBy("series_id").agg(F.max("ds").alias("_newest"))
     model = read_model(spark, model_path, "additive").join(newest, "series_id", "inner")
     model = model.withColumn("last_ds", F.greatest("last_ds", "_newest")).drop("_newest")
-    log = alert_events(forecast_additive(model, hours, threshold), threshold)["log"]
+    forecast = forecast_additive(model, hours, threshold).persist()
+    log = alert_events(forecast, threshold)["log"]
     (log.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(alert_path))
+    forecast.unpersist()
+    hours_df.unpersist()
 
 
 def run_forecast_job(readings: DataFrame, checkpoint: str, load_path: str, model_path: str, alert_path: str,
