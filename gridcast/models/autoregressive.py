@@ -25,6 +25,7 @@ from .ridge import dot, fit_ridge
 
 FEATURES = ("load_mw", "temp_c", "hour_sin", "hour_cos", "weekday")
 COVARIATES = FEATURES[1:]
+LAG_BLOCK_H = 720   # hours of a series whose lags one task takes
 
 
 def _features(grid: DataFrame, weather: DataFrame | None, ts: str = "ds") -> DataFrame:
@@ -39,27 +40,30 @@ def _scaled(col: str) -> Column:
 
 def training_rows(history: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
                   key: str = "series_id", ts: str = "ds", n_lags: int = C.SEQUENCE_LEN, train_until=None) -> DataFrame:
-    """Design rows ``(key, bounds..., last_ds, x, y)``; bounds are per-series window aggregates.
+    """Design rows ``(key, bounds..., last_ds, x, y)``; bounds are one aggregated row per series, joined by key.
 
+    Lags are taken within blocks of ``LAG_BLOCK_H`` hours; the last
+    ``n_lags`` hours of a block are also given to the next one, so a long
+    series is spread over many tasks and no lag is lost at a border.
     ``train_until``: only rows before it are used (for the bounds too).
     """
     hist = history.select(key, ts, F.col(value).alias("load_mw"))
     if train_until is not None:
         hist = hist.where(F.col(ts) < F.lit(train_until).cast("timestamp_ntz"))
-    feats = _features(hourly_spine(hist, key, ts, ["load_mw"]), weather, ts)
     present = F.col("load_mw").isNotNull()
-    ws = Window.partitionBy(key)
-    bounds = {}
-    for c in FEATURES:
-        bounds[f"{c}_min"] = F.min(F.when(present, F.col(c))).over(ws)
-        bounds[f"{c}_max"] = F.max(F.when(present, F.col(c))).over(ws)
-    bounds["last_ds"] = F.max(F.when(present, F.col(ts))).over(ws)
-    scaled = feats.withColumns(bounds).select(
-        key, ts, *bounds.keys(), *[_scaled(c).alias(c) for c in FEATURES], present.alias("_present"))
-    w = Window.partitionBy(key).orderBy(ts)
+    ends = [f(c).alias(f"{c}_{name}") for c in FEATURES for f, name in ((F.min, "min"), (F.max, "max"))]
+    bounds = _features(hist.where(present), weather, ts).groupBy(key).agg(*ends, F.max(ts).alias("last_ds"))
+    names = [c for c in bounds.columns if c != key]
+    feats = _features(hourly_spine(hist, key, ts, ["load_mw"]), weather, ts)
+    scaled = feats.join(bounds, key).select(key, ts, *names, *[_scaled(c).alias(c) for c in FEATURES], present.alias("_present"))
+    hour = epoch_hours(ts)
+    own = F.floor(hour / F.lit(float(LAG_BLOCK_H)))
+    shared = F.when(F.pmod(hour, F.lit(LAG_BLOCK_H)) >= LAG_BLOCK_H - n_lags, F.array(own, own + 1)).otherwise(F.array(own))
+    blocks = scaled.withColumn("_own", own).withColumn("_block", F.explode(shared))
+    w = Window.partitionBy(key, "_block").orderBy(ts)
     lags = [F.when(F.lag("_present", k).over(w), F.lag("load_mw", k).over(w)) for k in range(n_lags, 0, -1)]
-    rows = scaled.select(
-        key, *bounds.keys(), F.col("_present"),
+    rows = blocks.select(
+        key, *names, (F.col("_present") & (F.col("_own") == F.col("_block"))).alias("_present"),
         F.array(F.lit(1.0), *lags, *[F.col(c) for c in COVARIATES]).alias("x"),
         F.col("load_mw").alias("y"),
     )

@@ -1,15 +1,15 @@
 """Cleaning and rescaling, keyed by ``series_id``.
 
-Per-series statistics are window aggregates over the series partition (one
-pass over the rows, no aggregate joined back), or small per-series tables
-joined by key where a fitted scaler must be kept and reused.
+Per-series statistics are grouped aggregates, one row per series, joined
+back by key: small enough to be broadcast at run time, and both sides read
+the same shuffled hours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -76,18 +76,17 @@ def rescale_minmax(df: DataFrame, value: str = "load", out: str = "load_mw", cfg
     (p1 = p99) maps to ``base`` instead of dividing by zero.
     """
     lo_p, hi_p = C.RESCALE_QUANTILES
-    # Window aggregate over the series: one pass, no aggregate joined back to the rows.
-    good = F.when(not_missing(value), F.col(value))
-    q = F.percentile(good, F.array(F.lit(lo_p), F.lit(hi_p))).over(Window.partitionBy(key))
+    # One row per series from a partial aggregate, joined back: the rows of a large series stay spread over tasks.
+    q = series_quantiles(df, value, (lo_p, hi_p), key).toDF(key, "_lo", "_hi")
     x = F.col(value)
     clipped = F.least(F.greatest(x, F.col("_lo")), F.col("_hi"))
     norm = F.coalesce(F.try_divide(clipped - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(0.0))
     scaled = F.lit(cfg.base_mw) + norm * F.lit(cfg.peak_mw - cfg.base_mw)
     bounded = F.least(F.greatest(scaled, F.lit(cfg.rescale_floor)), F.lit(cfg.rescale_cap))
     return (
-        df.withColumn("_q", q).withColumns({"_lo": F.col("_q")[0], "_hi": F.col("_q")[1]})
+        df.join(q, key, "left")
         .withColumn(out, F.when(not_missing(value), rnd(bounded, 3)))
-        .drop("_q", "_lo", "_hi")
+        .drop("_lo", "_hi")
     )
 
 
