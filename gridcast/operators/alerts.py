@@ -1,31 +1,18 @@
 """Threshold breaches, peaks, the load-shedding schedule and alert texts.
 
-The schedule is a fold over the (priority-ordered) zone list evaluated per
-peak row inside one projection: it mirrors the reference's sequential loop
-exactly (remaining excess is reduced zone by zone, the next zone starts when
-the previous one ends) and needs no shuffle and no pairing of rows.
+The schedule is a closed form over the index of the (priority-ordered) zone
+list, evaluated per peak row inside one projection: no shuffle and no pairing
+of rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import add_hours, add_minutes, fixed_text, hhmm, not_missing, rnd
 
-ZONE_TYPE = T.StructType([T.StructField("priority", T.IntegerType()), T.StructField("zone", T.StringType())])
-SHED_TYPE = T.StructType([
-    T.StructField("zone", T.StringType()),
-    T.StructField("priority", T.IntegerType()),
-    T.StructField("zone_load", T.DoubleType()),
-    T.StructField("duration_hrs", T.DoubleType()),
-    T.StructField("offset_min", T.IntegerType()),
-    T.StructField("duration_min", T.IntegerType()),
-])
-
-
 def js_number(x: float) -> str:
     """A number as a dashboard prints it (``20`` not ``20.0``)."""
     return str(int(x)) if float(x).is_integer() else repr(float(x))
@@ -91,34 +78,25 @@ def keyed_zone_lists(zones: DataFrame, key: str = "series_id") -> DataFrame:
     return zones.groupBy(key).agg(_sorted_zones().alias("_zones"))
 
 
-def _shed_fold(peak: Column, threshold: Column, zones: Column) -> Column:
-    per = F.try_divide(peak, F.size(zones).cast("double"))   # an empty zone list sheds nothing
+FULL_SHARE_MIN = 120   # minutes a zone is off when it takes its whole share
+
+
+def _shed_rows(peak: Column, threshold: Column, zones: Column) -> Column:
+    """The zones that are shed, as an array in priority order.
+
+    Zone ``i`` (from 0) is needed when ``i`` whole shares leave excess over;
+    every zone before it then took a whole share, for two hours each.
+    """
+    share = F.try_divide(peak, F.size(zones).cast("double"))   # an empty zone list sheds nothing
     excess = F.greatest(F.lit(0.0), peak - threshold)
-    init = F.struct(
-        excess.alias("remaining"),
-        F.lit(0).cast("int").alias("elapsed"),
-        F.array().cast(T.ArrayType(SHED_TYPE)).alias("out"),
-    )
 
-    def step(acc, z):
-        zl = F.least(per, acc["remaining"])
-        dur = F.greatest(F.lit(0.5), rnd(zl / per * F.lit(2.0), 1))
-        dur_min = F.round(dur * F.lit(60.0), 0).cast("int")
-        row = F.struct(
-            z["zone"].alias("zone"), z["priority"].alias("priority"), zl.alias("zone_load"),
-            dur.alias("duration_hrs"), acc["elapsed"].alias("offset_min"), dur_min.alias("duration_min"),
-        )
-        active = acc["remaining"] > F.lit(0.0)
-        return F.when(
-            active,
-            F.struct(
-                (acc["remaining"] - zl).alias("remaining"),
-                (acc["elapsed"] + dur_min).alias("elapsed"),
-                F.concat(acc["out"], F.array(row)).alias("out"),
-            ),
-        ).otherwise(acc)
+    def row(z, i):
+        load = F.least(share, excess - share * i)
+        hours = F.greatest(F.lit(0.5), rnd(load / share * F.lit(2.0), 1))
+        return F.struct(z["zone"].alias("zone"), z["priority"].alias("priority"), load.alias("zone_load"), hours.alias("duration_hrs"),
+                        (i * FULL_SHARE_MIN).cast("int").alias("offset_min"), F.round(hours * F.lit(60.0), 0).cast("int").alias("duration_min"))
 
-    return F.aggregate(zones, init, step, lambda acc: acc["out"])
+    return F.filter(F.transform(zones, row), lambda r: r["zone_load"] > 0)
 
 
 def shed_schedule(peaks: DataFrame, threshold: float, zones: DataFrame | None = None, keys=("series_id",),
@@ -143,7 +121,7 @@ def shed_schedule(peaks: DataFrame, threshold: float, zones: DataFrame | None =
     start0 = add_hours(F.col(ts), -1)
     out = base.select(
         *[c for c in peaks.columns],
-        F.inline(_shed_fold(F.col(value), F.lit(float(threshold)), F.col("_zones"))),
+        F.inline(_shed_rows(F.col(value), F.lit(float(threshold)), F.col("_zones"))),
     )
     start = add_minutes(start0, F.col("offset_min"))
     end = add_minutes(start0, F.col("offset_min") + F.col("duration_min"))

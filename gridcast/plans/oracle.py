@@ -502,3 +502,22 @@ SELECT series_id, step, ds, {R('y_scale * (' + ' + '.join(terms) + ')', 1)} AS p
 
 
 SQL["additive_fixed_daily"] = _fixed_daily_sql()
+
+
+# ----------------------------------------------------------------------------- landed files
+SQL["demand_pages"] = SQL["hourly_load"]
+SQL["page_report"] = _with(HOURLY) + """, pages AS (
+  SELECT series_id, CAST(ds AS DATE) AS day, count(*) + 3 AS n, CASE WHEN day(CAST(ds AS DATE)) % 2 = 0 THEN 2 ELSE 1 END AS copies
+  FROM hourly_load GROUP BY 1, 2)
+SELECT CAST(sum(copies) AS BIGINT) AS pages, CAST(sum(copies * n) AS BIGINT) AS collected, CAST(max(n) AS BIGINT) AS declared,
+       sum(copies * n) >= max(n) AS complete FROM pages"""
+SQL["load_csv"] = LM + f"""SELECT ds, max(load_mw) AS load_mw,
+  {R(f'({_TBASE}) + 5e0 * sin((hour(ds) - 6) * {repr(3.141592653589793 / 12)})', 2)} AS temp_c FROM load_mw GROUP BY ds"""
+SQL["load_store"] = LM + """SELECT series_id, ds, load_mw AS y FROM load_mw
+WHERE load_mw IS NOT NULL AND ds >= TIMESTAMP '2024-01-10' AND ds < TIMESTAMP '2024-01-20'"""
+SQL["weather_file"] = _with(COV) + f"SELECT ds, {R('temp_c', 6)} AS temp_c FROM cov"
+SQL["eval_results_file"] = EV_WITH + f"""SELECT model, {R('mae', 6)} AS mae, {R('rmse', 6)} AS rmse, {R('mape', 6)} AS mape FROM metrics"""
+SQL["alert_log_file"] = _with(HOURLY, LOAD_MW, _schedule(20.0).replace(
+    "SELECT r_name AS zone, r_regionkey + 1 AS priority FROM region",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{z}', {p})" for z, p in C.ZONES) + ") z(zone, priority)")) + """SELECT p.series_id, p.peak_ds AS timestamp, p.peak_mw, 'history' AS model, count(*) AS zones
+FROM peaks p JOIN schedule s USING (series_id, day) GROUP BY 1, 2, 3"""

@@ -155,7 +155,8 @@ def weather_rows(doc: DataFrame, source_zone: str | None = None) -> DataFrame:
         F.when(F.col("hourly.time").isNull(), F.raise_error(F.lit("Unexpected weather format: hourly.time missing")))
         .otherwise(F.col("hourly")),
     )
-    zipped = F.arrays_zip(*[F.col(f"hourly.{v}").alias(v) for v in ("time",) + WEATHER_VARS])
+    absent = F.array().cast("array<double>")                   # a variable that is not in the document is null in its rows
+    zipped = F.arrays_zip(F.col("hourly.time").alias("time"), *[F.coalesce(F.col(f"hourly.{v}"), absent).alias(v) for v in WEATHER_VARS])
     rows = checked.select(F.inline(zipped))
     ds = F.to_timestamp("time")
     if source_zone:
