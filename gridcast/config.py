@@ -61,6 +61,15 @@ ZONES = (
     ("Far West Zone (ERCOT-FW)", 5),
 )
 
+# Message texts of alerts, statuses and recommendations (results must carry them as they are).
+SMS_TEXT = ("[TEXAS ERCOT ENERGY ALERT]\nPredicted peak: ", " MW at ", "\nLoad shedding: ", "\nReduce usage where possible.")
+SUBJECT_TEXT = ("[ALERT] Texas ERCOT grid peak ", " MW forecast — ")
+MORE_ZONES_TEXT = " +%d more"
+STATUS_OK = "All forecast values within safe threshold"
+RECOMMENDATION_TEXT = ("%s is recommended because it has the lowest combined error score. Its MAPE is %s%%, which is %s for this "
+                       "use case. Lower MAE/RMSE means the model stays closer to real demand in MW, while lower MAPE "
+                       "means better percentage accuracy.")
+
 # Model quality tiers by MAPE (%). Two scales exist: the leaderboard and the report.
 LEADERBOARD_TIERS = ((5.0, "excellent"), (10.0, "very good"), (20.0, "acceptable"))
 LEADERBOARD_TIER_ELSE = "needs improvement"

@@ -143,13 +143,12 @@ def shed_array(schedule: DataFrame, keys) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- P21-P25
-STATUS_OK = "All forecast values within safe threshold"
 
 
 def status_line(counts: DataFrame, threshold: float) -> DataFrame:
     """Dashboard status from :func:`alert_hours` rows: safe, or ``ALERT — n hour(s) ... above t MW``."""
     t = js_number(threshold)
-    text = F.when(F.col("alert_hours") == 0, F.lit(STATUS_OK)).otherwise(
+    text = F.when(F.col("alert_hours") == 0, F.lit(C.STATUS_OK)).otherwise(
         F.format_string(f"ALERT — %d hour(s) forecast above {t} MW", F.col("alert_hours"))
     )
     return counts.withColumn("status", text)
@@ -169,15 +168,14 @@ def alert_messages(schedule: DataFrame, keys, ts: str = "peak_ds", value: str =
     extra = F.size("_z") - 3
     zones_text = F.concat(
         F.array_join(names, ", "),
-        F.when(extra > 0, F.format_string(" +%d more", extra)).otherwise(F.lit("")),
+        F.when(extra > 0, F.format_string(C.MORE_ZONES_TEXT, extra)).otherwise(F.lit("")),
     )
     iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     p1 = fixed_text(value, 1)
-    body = F.concat(
-        F.lit("[TEXAS ERCOT ENERGY ALERT]\nPredicted peak: "), p1, F.lit(" MW at "), F.substring(iso, 1, 16),
-        F.lit("\nLoad shedding: "), zones_text, F.lit("\nReduce usage where possible."),
-    )
-    subject = F.concat(F.lit("[ALERT] Texas ERCOT grid peak "), p1, F.lit(" MW forecast — "), F.substring(iso, 1, 10))
+    head, at, shed, tail = (F.lit(t) for t in C.SMS_TEXT)
+    body = F.concat(head, p1, at, F.substring(iso, 1, 16), shed, zones_text, tail)
+    title, day = (F.lit(t) for t in C.SUBJECT_TEXT)
+    subject = F.concat(title, p1, day, F.substring(iso, 1, 10))
     return grouped.select(*keys, ts, value, body.alias("sms_body"), subject.alias("subject"), zones_text.alias("zones_text"))
 
 

@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import fixed_text, quality_tier, report_tier, rnd
 
-# FIXED text: closing sentence of the recommendation.
-RECOMMENDATION_TAIL = ("Lower MAE/RMSE means the model stays closer to real demand in MW, while lower MAPE "
-                       "means better percentage accuracy.")
-
 
 def error_metrics(df: DataFrame, keys=("series_id", "model"), actual: str = "actual",
                   predicted: str = "predicted") -> DataFrame:
@@ -93,11 +90,7 @@ def recommendation_text(board: DataFrame, keys=("series_id",), model: str = "mod
     """The explanation sentence for the top-ranked model of each group."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     top = board.where(F.col("rank") == 1)
-    text = F.format_string(
-        "%s is recommended because it has the lowest combined error score. Its MAPE is %s%%, which is %s for this "
-        "use case. " + RECOMMENDATION_TAIL,
-        F.col(model), fixed_text("mape", 2), F.col("quality"),
-    )
+    text = F.format_string(C.RECOMMENDATION_TEXT, F.col(model), fixed_text("mape", 2), F.col("quality"))
     return top.select(*keys, F.col(model).alias("recommended_model"), text.alias("explanation"))
 
 
