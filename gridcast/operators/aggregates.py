@@ -17,14 +17,19 @@ from ..functions import epoch_days, exact_mean, not_missing, rnd, weekday0
 
 def load_summary(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds",
                  source: str = "hourly demand from readings") -> DataFrame:
-    """Rows, first/last time, min/max (2 decimals) and a source label per series."""
-    return df.where(not_missing(value)).groupBy(key).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min(ts).alias("first_ds"),
-        F.max(ts).alias("last_ds"),
-        rnd(F.min(value), 2).alias("load_min_mw"),
-        rnd(F.max(value), 2).alias("load_max_mw"),
-    ).withColumn("status", F.lit("ready")).withColumn("source", F.lit(source))
+    """Rows, first/last time, min/max (2 decimals), status and a source label per series.
+
+    A series without a usable value has no rows and the status ``no_data``.
+    """
+    good = not_missing(value)
+    v, t = F.when(good, F.col(value)), F.when(good, F.col(ts))
+    return df.groupBy(key).agg(
+        F.count(v).alias("rows"),
+        F.min(t).alias("first_ds"),
+        F.max(t).alias("last_ds"),
+        rnd(F.min(v), 2).alias("load_min_mw"),
+        rnd(F.max(v), 2).alias("load_max_mw"),
+    ).withColumn("status", F.when(F.col("rows") > 0, "ready").otherwise("no_data")).withColumn("source", F.lit(source))
 
 
 def describe_load(df: DataFrame, value: str = "load_mw", key: str = "series_id") -> DataFrame:

@@ -32,12 +32,16 @@ def align_models(a: DataFrame, b: DataFrame, keys=("series_id", "ds"), names=("a
 
 
 def attach_weather(df: DataFrame, weather: DataFrame, value: str = "temp_c", ts: str = "ds",
-                   fallback: float = C.FALLBACK_TEMP_C) -> DataFrame:
-    """Left join the hourly covariate; missing hours take the fallback temperature."""
-    w = weather.select(F.col(ts).alias("_wds"), F.col(value).alias("_wv"))
-    return df.join(w, df[ts] == w["_wds"], "left").withColumn(
+                   fallback: float = C.FALLBACK_TEMP_C, key: str = "series_id") -> DataFrame:
+    """Left join the hourly covariate; missing hours take the fallback temperature.
+
+    Weather with a ``key`` column is each series' own; without one it is the
+    same for all series.
+    """
+    on = [ts, key] if key in weather.columns else [ts]
+    return df.join(weather.select(*on, F.col(value).alias("_wv")), on, "left").withColumn(
         value, F.coalesce(F.col("_wv"), F.lit(float(fallback)))
-    ).drop("_wds", "_wv")
+    ).drop("_wv")
 
 
 def attach_weather_asof(df: DataFrame, weather: DataFrame, tolerance_h: int = 3, value: str = "temp_c",

@@ -128,7 +128,7 @@ SPINE = """spine AS (SELECT g.series_id, g.ds, h.load FROM grid g
   LEFT JOIN hourly_load h ON g.series_id = h.series_id AND g.ds = h.ds)"""
 COV = """cov AS (SELECT date_trunc('hour', ts) AS ds,
   CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS temp_c
-  FROM events WHERE event_type = 'view' GROUP BY 1)"""
+  FROM events WHERE ts IS NOT NULL GROUP BY 1)"""
 LM = _with(HOURLY, LOAD_MW)
 
 SQL["load_summary"] = LM + f"""SELECT series_id, count(*) AS rows, min(ds) AS first_ds, max(ds) AS last_ds,

@@ -25,6 +25,8 @@ from ..models import autoregressive as AR
 from ..models import store as ST
 from ..operators import alerts as AL
 from ..operators import metrics as ME
+from ..functions import temperature_proxy
+from ..operators.align import attach_weather
 from ..operators.prep import rescale_minmax
 from ..sources import readers as RD
 from . import evaluation as EV
@@ -51,6 +53,15 @@ def forecast_request(spark: SparkSession, model_path: str, history: DataFrame, m
     return ST.fallback_model(ar, add)
 
 
+def forecast_envelope(forecast: DataFrame, hours: int, threshold: float = C.THRESHOLD_MW, district: str = C.DISTRICT) -> DataFrame:
+    """One answer per series (D8): district, model, horizon, threshold, time and the forecast rows (168 at most) in order."""
+    row = F.struct(F.col("ds").alias("timestamp"), "predicted_mw", "lower_mw", "upper_mw", "alert")
+    return forecast.groupBy("series_id", "model").agg(
+        F.max("generated_at").alias("generated_at"), F.array_sort(F.collect_list(row)).alias("forecast")
+    ).select("series_id", F.lit(district).alias("district"), "model", F.lit(int(hours)).alias("hours"),
+             F.lit(float(threshold)).alias("threshold_mw"), "generated_at", "forecast")
+
+
 def alert_events(forecast: DataFrame, threshold: float = C.THRESHOLD_MW, zones: DataFrame | None = None,
                  triggered_at=None) -> dict[str, DataFrame]:
     """Peaks, schedules, payloads and alert-log rows for the series whose forecast breaches."""
@@ -65,14 +76,20 @@ def alert_events(forecast: DataFrame, threshold: float = C.THRESHOLD_MW, zones:
 
 def ingest_and_train(readings: DataFrame, load_path: str, model_path: str, weather: DataFrame | None = None,
                      key: str = "series_id", ts: str = "ts", value: str = "value", fitted_at=None) -> DataFrame:
-    """Hourly demand, rescale, write the load table, fit and append both models.
+    """Hourly demand, rescale, temperature, write the load table, fit and append both models.
+
+    Without weather the load table's temperature is the seasonal proxy.
 
     Returns the load table as read back (so later steps read the written
     table, not the lineage).
     """
     hourly = RD.demand_from_events(readings, key, ts, value)
     load = rescale_minmax(hourly, "load", "load_mw")
-    RD.write_load(load.select("series_id", "ds", "load", "load_mw"), load_path)
+    if weather is not None:
+        load = attach_weather(load, weather)
+    else:
+        load = load.withColumn("temp_c", temperature_proxy("ds"))
+    RD.write_load(load.select("series_id", "ds", "load", "load_mw", "temp_c"), load_path)
     history = readings.sparkSession.read.parquet(load_path)
     ST.write_model(ADD.fit_additive(history, fitted_at=fitted_at), model_path)
     ST.write_model(AR.fit_autoregressive(history, weather, fitted_at=fitted_at), model_path)

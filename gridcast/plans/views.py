@@ -11,13 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import hour_floor
+from ..functions import exact_mean, hour_floor
 from ..operators.grid import hourly_spine as _spine
 from ..operators.prep import rescale_minmax
 from ..sources.readers import demand_from_events, read_table
 
-COVARIATE_TYPE = "view"   # event type whose hourly mean value stands in for temperature
-
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events")
@@ -39,11 +37,8 @@ def load_mw(spark: SparkSession, sf_dir: str, cfg: C.GridConfig = C.GridConfig()
 
 
 def covariate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(ds, temp_c)``: mean ``value`` of ``view`` events per hour (hours without one are absent)."""
-    ev = events(spark, sf_dir).where(F.col("event_type") == COVARIATE_TYPE)
-    return ev.groupBy(hour_floor("ts").alias("ds")).agg(
-        (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("value")).alias("temp_c")
-    )
+    """``(ds, temp_c)``: mean ``value`` of all readings of the hour, which stands in for temperature."""
+    return events(spark, sf_dir).where(F.col("ts").isNotNull()).groupBy(hour_floor("ts").alias("ds")).agg(exact_mean("value").alias("temp_c"))
 
 
 def daily_load(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,17 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from gridcast import config as C
 from gridcast.functions import exact_mean
 from gridcast.models import additive as ADD
 from gridcast.models import autoregressive as AR
+from gridcast.operators import aggregates as AG
 from gridcast.operators import alerts as AL
+from gridcast.operators import align as J
 from gridcast.operators import grid as G
 from gridcast.operators.metrics import error_weights
 from gridcast.plans import evaluation as EV
+from gridcast.plans import requests as RQ
 from gridcast.plans import views as V
 from gridcast.sources import readers as RD
 from gridcast.streaming import jobs as STR
@@ -98,6 +102,26 @@ def test_new_series_still_alerts(spark):
     assert sorted((r["series_id"], r["load_mw"]) for r in got) == [("known", 22.0), ("new", 25.0)]
 
 
+def test_weather_of_each_series(spark):
+    load = spark.createDataFrame([("a", START, 1.0), ("b", START, 2.0)], "series_id string, ds timestamp_ntz, load_mw double")
+    own = spark.createDataFrame([("a", START, 5.0)], "series_id string, ds timestamp_ntz, temp_c double")
+    got = {r["series_id"]: r["temp_c"] for r in J.attach_weather(load, own).collect()}
+    assert got == {"a": 5.0, "b": C.FALLBACK_TEMP_C}
+    assert {r["temp_c"] for r in J.attach_weather(load, own.drop("series_id")).collect()} == {5.0}
+
+
+def test_summary_names_series_without_data(spark):
+    df = spark.createDataFrame([("a", START, 1.0), ("b", START, None)], "series_id string, ds timestamp_ntz, load_mw double")
+    assert {r["series_id"]: (r["status"], r["rows"]) for r in AG.load_summary(df).collect()} == {"a": ("ready", 1), "b": ("no_data", 0)}
+
+
+def test_envelope(spark):
+    model = spark.createDataFrame([("s", 0.0, 1.0, START, [10.0] + [0.0] * 76, 1.0, 1.0)],
+                                  "series_id string, t0 double, t1 double, last_ds timestamp_ntz, coef array<double>, sigma double, y_scale double")
+    got = RQ.forecast_envelope(ADD.forecast_additive(model, 5), 5).collect()
+    assert len(got) == 1 and got[0]["district"] == C.DISTRICT and [r["predicted_mw"] for r in got[0]["forecast"]] == [10.0] * 5
+
+
 def test_future_grid_has_no_limit(spark):
     assert G.future_grid(_series(spark, "s", 3, lambda i: i), 10_500).count() == 10_500
 
