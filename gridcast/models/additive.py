@@ -36,31 +36,45 @@ def _design(ts_col, t0, t1, n_cp: int, cp_range: float, seasonalities) -> F.Colu
     return F.array(F.lit(1.0), t, *cps, *seas)
 
 
-def fit_additive(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds",
-                 n_changepoints: int = C.N_CHANGEPOINTS, seasonalities=C.SEASONALITIES,
-                 rescale: bool = False, fitted_at=None) -> DataFrame:
-    """Fit per series; returns the model as a table (one row per series).
+GROUP = ("t0", "t1", "last_ds", "y_scale")   # what the design rows of a series carry
 
-    The penalties suit values of the district's size. With ``rescale`` the
-    target is first scaled so that its largest size is the district peak
-    (column ``y_scale`` of the model undoes it); use it for values in other
-    units. The series' bounds are a grouped aggregate joined by key, so the
-    rows of one large series stay spread over tasks for the design and the
-    partial normal equations.
+
+def design_rows(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds",
+                n_changepoints: int = C.N_CHANGEPOINTS, seasonalities=C.SEASONALITIES, rescale: bool = False) -> DataFrame:
+    """``(key, t0, t1, last_ds, y_scale, x, y)``, one row per observation.
+
+    The series' bounds are a grouped aggregate joined by key, so the rows of
+    one large series stay spread over tasks for the design and the partial
+    normal equations.
     """
     rows = df.where(not_missing(value)).select(key, ts, value)
     size = F.max(F.abs(F.col(value)))
     scale = F.when(size > 0, size / F.lit(C.PEAK_MW)).otherwise(F.lit(1.0)) if rescale else F.lit(1.0)
     bounds = rows.groupBy(key).agg(F.min(epoch_days(ts)).alias("t0"), F.max(epoch_days(ts)).alias("t1"), F.max(ts).alias("last_ds"),
                                    scale.alias("y_scale"))
-    group = [key, "t0", "t1", "last_ds", "y_scale"]
-    design = rows.join(bounds, key).select(
-        *group,
+    return rows.join(bounds, key).select(
+        key, *GROUP,
         _design(F.col(ts), F.col("t0"), F.col("t1"), n_changepoints, C.CHANGEPOINT_RANGE, seasonalities).alias("x"),
         (F.col(value) / F.col("y_scale")).alias("y"),
     )
-    n_season = sum(2 * o for _, _, o in seasonalities)
-    fit = fit_ridge(design, group, _penalties(n_changepoints, n_season))
+
+
+def penalties(n_changepoints: int = C.N_CHANGEPOINTS, seasonalities=C.SEASONALITIES) -> list[float]:
+    return _penalties(n_changepoints, sum(2 * o for _, _, o in seasonalities))
+
+
+def fit_additive(df: DataFrame, value: str = "load_mw", key: str = "series_id", ts: str = "ds",
+                 n_changepoints: int = C.N_CHANGEPOINTS, seasonalities=C.SEASONALITIES,
+                 rescale: bool = False, fitted_at=None) -> DataFrame:
+    """Fit per series; returns the model as a table (one row per series).
+
+    The penalties suit values of the district's size. With ``rescale`` the
+    target is first scaled so that its largest size is the district peak
+    (column ``y_scale`` of the model undoes it); use it for values in other
+    units.
+    """
+    design = design_rows(df, value, key, ts, n_changepoints, seasonalities, rescale)
+    fit = fit_ridge(design, [key, *GROUP], penalties(n_changepoints, seasonalities))
     stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else F.localtimestamp()
     return fit.select(
         key, F.lit("additive").alias("model"), stamp.alias("fitted_at"), "t0", "t1", "last_ds", "y_scale",

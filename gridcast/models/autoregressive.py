@@ -71,14 +71,17 @@ def training_rows(history: DataFrame, weather: DataFrame | None = None, value: s
     return rows.where(ok).drop("_present")
 
 
+def penalties(n_lags: int = C.SEQUENCE_LEN, penalty: float = 1e-4) -> list[float]:
+    return [1e-8] + [penalty] * (n_lags + len(COVARIATES))
+
+
 def fit_autoregressive(history: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
                        key: str = "series_id", ts: str = "ds", n_lags: int = C.SEQUENCE_LEN, train_until=None,
                        penalty: float = 1e-4, fitted_at=None) -> DataFrame:
     """Fit per series; the model table carries coefficients, sigma and the scaler bounds."""
     rows = training_rows(history, weather, value, key, ts, n_lags, train_until)
-    p = 1 + n_lags + len(COVARIATES)
     bound_cols = [f"{c}_{s}" for c in FEATURES for s in ("min", "max")]
-    fit = fit_ridge(rows, [key, *bound_cols, "last_ds"], [1e-8] + [penalty] * (p - 1))
+    fit = fit_ridge(rows, [key, *bound_cols, "last_ds"], penalties(n_lags, penalty))
     stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else F.localtimestamp()
     return fit.select(
         key, F.lit("autoregressive").alias("model"), stamp.alias("fitted_at"), "last_ds",

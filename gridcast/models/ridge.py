@@ -126,6 +126,21 @@ def fit_ridge(df: DataFrame, keys: Sequence[str], penalty: Sequence[float], x: s
     return stats.groupBy(*keys).applyInPandas(solve, out_schema)
 
 
+def normal_residual(design: DataFrame, model: DataFrame, penalty: Sequence[float], key: str = "series_id") -> DataFrame:
+    """``(key, residual, n)``: how far a fit is from its normal equations, relative to their right side.
+
+    The largest entry of ``X'(y - X b) - penalty * b`` over the largest of
+    ``X'y``, from the design rows themselves, without the solver's sums.
+    """
+    pen = F.array(*[F.lit(float(v)) for v in penalty])
+    rows = design.where(F.col("x").isNotNull() & F.col("y").isNotNull()).join(model.select(key, "coef"), key)
+    error = F.col("y") - dot(F.col("x"), F.col("coef"))
+    long = rows.select(key, error.alias("e"), "y", F.posexplode("x").alias("i", "v"))
+    sums = long.groupBy(key, "i").agg(F.sum(F.col("v") * F.col("e")).alias("g"), F.sum(F.col("v") * F.col("y")).alias("b"), F.count("*").alias("n"))
+    left = sums.join(model.select(key, "coef"), key).withColumn("r", F.abs(F.col("g") - F.get(pen, "i") * F.get("coef", "i")))
+    return left.groupBy(key).agg((F.max("r") / F.max(F.abs("b"))).alias("residual"), F.max("n").alias("n"))
+
+
 def dot(x, coef):
     """Catalyst dot product of two ``ARRAY<DOUBLE>`` columns (no UDF)."""
     return F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)

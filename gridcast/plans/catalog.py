@@ -40,6 +40,7 @@ from ..operators import windows as WI
 from ..models import additive as ADD
 from ..models import autoregressive as AR
 from ..models import store as ST
+from ..models.ridge import normal_residual
 from ..sources import readers as RD
 from ..session import materialize, shared_path
 from ..streaming import jobs as STR
@@ -295,6 +296,20 @@ def q_additive_fit(spark, sf):
     return m.select("series_id", "model", "n", F.size("coef").alias("n_coef"), rnd("sigma", 6).alias("sigma"))
 
 
+def q_additive_residual(spark, sf):
+    """M1 by its definition: the fit solves the normal equations of every load series (residual 0, over all its rows)."""
+    lm = _lm(spark, sf)
+    r = normal_residual(ADD.design_rows(lm), materialize(ADD.fit_additive(lm)), ADD.penalties())
+    return r.select("series_id", rnd("residual", 6).alias("residual"), "n")
+
+
+def q_ar_residual(spark, sf):
+    """M3 by its definition: the same for the autoregression, over all hours with 24 hours before them."""
+    lm, cov = _lm(spark, sf), V.covariate(spark, sf)
+    r = normal_residual(AR.training_rows(lm, cov), materialize(AR.fit_autoregressive(lm, cov)), AR.penalties())
+    return r.select("series_id", rnd("residual", 6).alias("residual"), "n")
+
+
 def q_additive_forecast(spark, sf):
     fc = ADD.forecast_additive(ADD.fit_additive(_lm(spark, sf)), 24)
     return fc.drop("generated_at")
@@ -535,6 +550,8 @@ QUERIES: dict[str, Query] = {
     "forecast_alert_rows": q_forecast_alert_rows,
     "recursive_ar3": q_recursive_ar3,
     "additive_fit": q_additive_fit,
+    "additive_residual": q_additive_residual,
+    "ar_residual": q_ar_residual,
     "additive_forecast": q_additive_forecast,
     "additive_daily_forecast": q_additive_daily_forecast,
     "additive_fixed_daily": q_additive_fixed_daily,

@@ -521,3 +521,9 @@ SQL["alert_log_file"] = _with(HOURLY, LOAD_MW, _schedule(20.0).replace(
     "SELECT r_name AS zone, r_regionkey + 1 AS priority FROM region",
     "SELECT * FROM (VALUES " + ", ".join(f"('{z}', {p})" for z, p in C.ZONES) + ") z(zone, priority)")) + """SELECT p.series_id, p.peak_ds AS timestamp, p.peak_mw, 'history' AS model, count(*) AS zones
 FROM peaks p JOIN schedule s USING (series_id, day) GROUP BY 1, 2, 3"""
+
+SQL["additive_residual"] = LM + f"SELECT series_id, 0e0 AS residual, count(*) AS n FROM load_mw WHERE {GOOD} GROUP BY 1"
+SQL["ar_residual"] = LM + """SELECT series_id, 0e0 AS residual, count(*) AS n FROM (
+  SELECT series_id, count(load_mw) OVER (PARTITION BY series_id ORDER BY ds
+                                         RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS c
+  FROM load_mw) WHERE c = 24 GROUP BY 1"""
