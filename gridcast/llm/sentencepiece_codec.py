@@ -96,6 +96,8 @@ class Codec:
     def _joined(self, body: np.ndarray, table: np.ndarray, chunk_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """BPE: (chunk, start, end) of the final segments of all chunks."""
         start = np.flatnonzero(((body & 0xC0) != 0x80) & (chunk_of >= 0))
+        if not len(start):                                     # all chunks are relaxed one by one
+            return start, start, start
         chunk = chunk_of[start]
         end = np.r_[start[1:], len(body)]
         last = np.r_[chunk[1:] != chunk[:-1], True]

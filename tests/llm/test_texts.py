@@ -30,6 +30,12 @@ def test_codec_after_its_table_is_cleared(codec, monkeypatch):
     assert [x.tolist() for x in codec.encode([t.encode() for t in TEXTS])] == before
 
 
+def test_only_long_chunks():
+    fresh = sc.Codec(read_pieces(DEFAULT_MODEL), read_rules(DEFAULT_MODEL))
+    text = "q7é" * 200
+    assert fresh.encode([text.encode()])[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=DEFAULT_MODEL).encode(text)
+
+
 def test_edges_are_all_occurrences(codec):
     body = np.frombuffer(b" the other theory\0 th", np.uint8)
     start, length, ids = codec.edges(body)
