@@ -35,4 +35,5 @@ from .temporal import (  # noqa: F401
     hour_floor,
     parse_period,
     weekday0,
+    utc_now,
 )

@@ -46,6 +46,11 @@ def weekday0(col) -> Column:
     return F.weekday(_c(col))
 
 
+def utc_now() -> Column:
+    """The current time as a UTC wall clock (``TIMESTAMP_NTZ``), whatever the session's time zone."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+
+
 def epoch_days(col) -> Column:
     """Days since 1970-01-01 as DOUBLE, from wall-clock fields (the Fourier time axis)."""
     c = _c(col)

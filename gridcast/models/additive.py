@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import alert_flag, clip, epoch_days, fourier_columns, not_missing, rnd
+from ..functions import alert_flag, clip, epoch_days, fourier_columns, not_missing, rnd, utc_now
 from .ridge import dot, fit_ridge
 
 Z80 = 1.2815515655446004   # standard normal 90% quantile: an 80% two-sided band
@@ -75,7 +75,7 @@ def fit_additive(df: DataFrame, value: str = "load_mw", key: str = "series_id",
     """
     design = design_rows(df, value, key, ts, n_changepoints, seasonalities, rescale)
     fit = fit_ridge(design, [key, *GROUP], penalties(n_changepoints, seasonalities))
-    stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else F.localtimestamp()
+    stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else utc_now()
     return fit.select(
         key, F.lit("additive").alias("model"), stamp.alias("fitted_at"), "t0", "t1", "last_ds", "y_scale",
         F.lit(n_changepoints).alias("n_changepoints"), "coef", "sigma", "n",
@@ -104,7 +104,7 @@ def forecast_additive(model: DataFrame, hours: int, threshold: float | None = C.
         F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(int(hours))), lambda k: F.col("last_ds") + each * k)).alias("step", "ds"),
     )
     yhat = additive_value("ds", seasonalities, n_changepoints)
-    stamp = F.lit(generated_at).cast("timestamp_ntz") if generated_at is not None else F.localtimestamp()
+    stamp = F.lit(generated_at).cast("timestamp_ntz") if generated_at is not None else utc_now()
     out = grid.select(key, (F.col("step") + 1).cast("int").alias("step"), "ds", (F.col("sigma") * F.col("y_scale")).alias("sigma"), yhat.alias("_y"))
 
     def clipped(c):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import add_hours, alert_flag, calendar_columns, clip_forecast, epoch_hours, proportional_band, rnd
+from ..functions import add_hours, alert_flag, calendar_columns, clip_forecast, epoch_hours, proportional_band, rnd, utc_now
 from ..operators.align import attach_weather
 from ..operators.grid import hourly_spine
 from .ridge import dot, fit_ridge
@@ -82,7 +82,7 @@ def fit_autoregressive(history: DataFrame, weather: DataFrame | None = None, val
     rows = training_rows(history, weather, value, key, ts, n_lags, train_until)
     bound_cols = [f"{c}_{s}" for c in FEATURES for s in ("min", "max")]
     fit = fit_ridge(rows, [key, *bound_cols, "last_ds"], penalties(n_lags, penalty))
-    stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else F.localtimestamp()
+    stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else utc_now()
     return fit.select(
         key, F.lit("autoregressive").alias("model"), stamp.alias("fitted_at"), "last_ds",
         F.lit(n_lags).alias("n_lags"), "coef", "sigma", "n",
@@ -184,7 +184,7 @@ def _fold_forecast(mo: DataFrame, seed_rows: DataFrame, hours, weather: DataFram
 
 
 def _d7(res: DataFrame, keys: list[str], ts: str, threshold: float, generated_at) -> DataFrame:
-    stamp = F.lit(generated_at).cast("timestamp_ntz") if generated_at is not None else F.localtimestamp()
+    stamp = F.lit(generated_at).cast("timestamp_ntz") if generated_at is not None else utc_now()
     lower, upper = proportional_band(F.col("_p"))
     return res.select(
         *keys, F.lit("autoregressive").alias("model"), stamp.alias("generated_at"), "step", ts,

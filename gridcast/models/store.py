@@ -19,10 +19,10 @@ def write_model(model: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def latest_fit(models: DataFrame, key: str = "series_id") -> DataFrame:
-    """Newest ``fitted_at`` row per (series, model); partial aggregate, no sort."""
+    """Newest ``fitted_at`` row per (series, model); of equal times the fit with more and later data. Partial aggregate, no sort."""
     rest = [c for c in models.columns if c not in (key, "model")]
-    return models.groupBy(key, "model").agg(
-        F.max_by(F.struct(*rest), F.col("fitted_at")).alias("_m")).select(key, "model", "_m.*")
+    order = F.struct(*[c for c in ("fitted_at", "last_ds", "n") if c in rest], F.xxhash64(*[c for c in ("coef", "sigma") if c in rest]))
+    return models.groupBy(key, "model").agg(F.max_by(F.struct(*rest), order).alias("_m")).select(key, "model", "_m.*")
 
 
 def read_model(spark: SparkSession, path: str, model: str, key: str = "series_id") -> DataFrame:

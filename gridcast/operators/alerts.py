@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import add_hours, add_minutes, fixed_text, hhmm, not_missing, rnd
+from ..functions import add_hours, add_minutes, fixed_text, hhmm, not_missing, rnd, utc_now
 
 def js_number(x: float) -> str:
     """A number as a dashboard prints it (``20`` not ``20.0``)."""
@@ -223,7 +223,7 @@ def alert_payload(forecast: DataFrame, schedule: DataFrame, threshold: float, ke
     )
     pk = forecast_peak(breaches(forecast, threshold), keys, carry=("model",))
     sched = shed_array(schedule, keys)
-    trig = F.lit(triggered_at).cast("timestamp_ntz") if triggered_at is not None else F.localtimestamp()
+    trig = F.lit(triggered_at).cast("timestamp_ntz") if triggered_at is not None else utc_now()
     return (
         pk.join(fc, keys, "inner").join(sched, keys, "left")
         .select(

@@ -25,7 +25,7 @@ from ..models import autoregressive as AR
 from ..models import store as ST
 from ..operators import alerts as AL
 from ..operators import metrics as ME
-from ..functions import temperature_proxy
+from ..functions import temperature_proxy, utc_now
 from ..operators.align import attach_weather
 from ..operators.prep import rescale_minmax
 from ..sources import readers as RD
@@ -68,7 +68,7 @@ def alert_events(forecast: DataFrame, threshold: float = C.THRESHOLD_MW, zones:
     peaks = AL.forecast_peak(AL.breaches(forecast, threshold), ["series_id"], carry=("model",))
     schedule = AL.shed_schedule(peaks, threshold, zones, keys=["series_id"])
     payload = AL.alert_payload(forecast, schedule, threshold, triggered_at=triggered_at)
-    stamp = F.lit(triggered_at).cast("timestamp_ntz") if triggered_at is not None else F.localtimestamp()
+    stamp = F.lit(triggered_at).cast("timestamp_ntz") if triggered_at is not None else utc_now()
     log = peaks.join(AL.shed_array(schedule, ["series_id"]), "series_id", "left").select(
         "series_id", stamp.alias("timestamp"), "peak_mw", "model", F.col("shed_schedule").alias("schedule"))
     return {"peaks": peaks, "schedule": schedule, "payload": payload, "log": log}

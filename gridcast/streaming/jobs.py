@@ -6,8 +6,11 @@
 * R2 :func:`stream_threshold_alerts` - rescale each hour with the series'
   p1/p99 bounds (a stream-static join against a per-series table) and keep
   breaches.
-* R3 :func:`stream_dedupe_alerts` - exact cooldown per series: an alert is
+* R3 :func:`stream_dedupe_alerts` - cooldown per series: an alert is
   admitted when ``cooldown`` seconds passed since the last admitted one.
+  Rows are ordered within a micro-batch; a row that arrives in a later batch
+  than a newer admitted one is refused (:func:`gridcast.operators.alerts.dedupe_alerts`
+  is exact over all rows).
   A custom stateful operator (``applyInPandasWithState``); the state is one
   timestamp per series, and it times out with the watermark.
   :func:`stream_dedupe_within_watermark` is the built-in approximation.
@@ -131,7 +134,7 @@ def _cooldown(cooldown_s: int):
 
 
 def stream_dedupe_alerts(alerts: DataFrame, cooldown_s: int = C.ALERT_COOLDOWN_S, delay: str = "1 hour") -> DataFrame:
-    """Admit an alert when ``cooldown_s`` passed since the last admitted one of the series (exact).
+    """Admit an alert when ``cooldown_s`` passed since the last admitted one of the series.
 
     Rows of one micro-batch are taken in event-time order; the state (last
     admitted time) is dropped once the watermark passes it by the cooldown.
