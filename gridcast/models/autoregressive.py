@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import add_hours, alert_flag, calendar_columns, clip_forecast, epoch_hours, proportional_band, rnd, utc_now
-from ..operators.align import attach_weather
+from ..operators.align import attach_weather, score_with_model
 from ..operators.grid import hourly_spine
 from .ridge import dot, fit_ridge
 
@@ -208,7 +208,7 @@ def forecast_to_horizon(model: DataFrame, history: DataFrame, hours: str, weathe
                         ts: str = "ds", generated_at=None) -> DataFrame:
     """The same recursion over each series' own horizon: the column ``hours`` of the model table, of any size."""
     mo = model.select(key, F.col("last_ds").alias("_origin"), "n_lags", "coef", "feature_min", "feature_max", F.col(hours).cast("int").alias("_hours"))
-    hist = history.select(key, ts, F.col(value).alias("_v")).join(mo.select(key, "_origin", "n_lags"), key, "inner")
+    hist = score_with_model(history.select(key, ts, F.col(value).alias("_v")), mo.select(key, "_origin", "n_lags"), key)
     seed_rows = hist.where((F.col(ts) <= F.col("_origin")) & (F.col(ts) > add_hours("_origin", -F.col("n_lags")))
                            & F.col("_v").isNotNull()).select(key, ts, "_v")
     return _d7(_fold_forecast(mo, seed_rows, "_hours", weather, [key], ts), [key], ts, threshold, generated_at)

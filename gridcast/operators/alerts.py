@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import add_hours, add_minutes, fixed_text, hhmm, not_missing, rnd, utc_now
+from ..functions import add_hours, add_minutes, display_time, fixed_text, hhmm, not_missing, rnd, utc_now
 
 def js_number(x: float) -> str:
     """A number as a dashboard prints it (``20`` not ``20.0``)."""
@@ -195,7 +195,7 @@ def forecast_table(df: DataFrame, threshold: float, only_alerts: bool = False, s
     """Dashboard table: optional alert filter, label, display time, case-insensitive search, sort."""
     t = F.lit(float(threshold))
     out = df.withColumns({
-        "time_label": F.date_format("ds", "dd MMM HH:mm"),
+        "time_label": display_time("ds"),
         "status": F.when(F.col(value) >= t, F.lit("Alert")).otherwise(F.lit("Normal")),
     })
     if only_alerts:

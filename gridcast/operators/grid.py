@@ -15,11 +15,6 @@ def _one_hour():
     return F.expr("INTERVAL 1 HOUR")
 
 
-def series_bounds(df: DataFrame, key: str = "series_id", ts: str = "ds") -> DataFrame:
-    """First and last hour of each series (one row per series)."""
-    return df.groupBy(key).agg(F.min(ts).alias("first_ds"), F.max(ts).alias("last_ds"))
-
-
 def _gap_expand(df: DataFrame, key: str, ts: str, cols: list[str]) -> DataFrame:
     """Each row plus the missing hours up to the series' next row (``_present`` marks real rows).
 

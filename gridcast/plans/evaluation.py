@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import SUM_SCALE, epoch_hours, weekday0
+from ..operators.align import align_actuals
 from ..operators.metrics import error_metrics, error_weights
 
 MODELS = ("seasonal_naive", "profile", "ensemble")
@@ -162,6 +163,6 @@ def evaluate_models(df: DataFrame, weather: DataFrame | None = None, value: str
     anchors = train.groupBy(key).agg(F.max(ts).alias("anchor"))
     roll = rolling_forecast_autoregressive(ar_model, parts.select(key, ts, value), anchors, 24, 24, weather,
                                            value=value, key=key, ts=ts)
-    rolled = test.join(roll.select(key, ts, F.col("predicted_mw").alias("autoregressive_rolling")), [key, ts], "inner")
+    rolled = align_actuals(roll.select(key, ts, F.col("predicted_mw").alias("autoregressive_rolling")), test, (key, ts), "actual")
     rolled = rolled.withColumn("part", F.lit("test"))
     return metrics.unionByName(error_metrics(_long(rolled, ("autoregressive_rolling",), key, ts), (key, "model")))
