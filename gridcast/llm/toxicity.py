@@ -17,7 +17,6 @@ a bucket (``2**BUCKET_BITS`` floats, 1 MB).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +34,12 @@ STEPS = 80
 RATE = 0.1
 ODDITY = (2.5, 8.0, 3000)           # least, and at so many sample texts, growing with their square root
 MIN_SEEN = 5
+WORDS_AT_ONCE = 20_000
 SHARPNESS = 50.0
 SLICE_BYTES = 2 << 20               # text scored at once
 SEED = 42
 
 
-@dataclass
-class Bags:
-    """The words of some texts: n-gram buckets, the first n-gram of each word, the words of each text."""
-
-    buckets: np.ndarray
-    starts: np.ndarray
-    words: list[int]
-
-
 def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """All words in one byte array with single spaces between and around; the spaces' places; words per text."""
     split = [t.lower().split() for t in texts]
@@ -88,17 +79,13 @@ def text_means(values: np.ndarray, words: list[int]) -> np.ndarray:
     return (sums[ends] - sums[ends - n]) / np.maximum(n, 1)
 
 
-def _bags(texts: list[bytes]) -> Bags:
-    """N-gram buckets of the distinct words of the sample, with each text as indices of words."""
-    vocabulary: dict[bytes, int] = {}
-    rows = [[vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()] for t in texts]
-    body, gaps, _ = _stream(list(vocabulary))
-    parts = [(at, b) for at, b in _ngrams(body, gaps)] if vocabulary else []
-    at = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, int)
-    bucket = np.concatenate([b for _, b in parts]) if parts else np.zeros(0, np.uint32)
-    word = np.searchsorted(gaps, at, side="right") - 1
-    order = np.argsort(word, kind="stable")
-    return Bags(bucket[order].astype(np.int64), word[order], rows)
+def _word_grams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, word) of every n-gram of some words, a few thousand words at a time, to bound memory."""
+    for first in range(0, len(words), WORDS_AT_ONCE):
+        body, gaps, _ = _stream(words[first:first + WORDS_AT_ONCE])
+        parts = list(_ngrams(body, gaps))
+        word = np.concatenate([np.searchsorted(gaps, at, side="right") - 1 for at, _ in parts])
+        yield np.concatenate([bucket for _, bucket in parts]).astype(np.int32), (first + word).astype(np.int32)
 
 
 class _Sparse:
@@ -138,31 +125,46 @@ def train(sample: list[tuple[bytes, int]], steps: int = STEPS, rate: float = RAT
     """
     y = np.array([c for _, c in sample], int)
     table = np.zeros(1 << BUCKET_BITS, np.float64)
-    bags = _bags([t for t, _ in sample])
-    if len(set(y.tolist())) < 2 or not len(bags.buckets):
+    vocabulary: dict[bytes, int] = {}
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()], np.int64) for t, _ in sample]
+    words = list(vocabulary)
+    vocabulary.clear()
+    if len(set(y.tolist())) < 2 or not words:
         return table, 20.0 if len(y) and y.mean() > 0.5 else -20.0
 
-    doc = np.repeat(np.arange(len(y)), [len(r) for r in bags.words])
-    word = np.concatenate([np.asarray(r, int) for r in bags.words])
-    pair, times = np.unique(doc * (1 + int(word.max())) + word, return_counts=True)
-    doc, word = pair // (1 + int(word.max())), pair % (1 + int(word.max()))
-    length = np.bincount(doc, times, minlength=len(y))
-    n_words = int(word.max()) + 1
+    length = np.array([len(x) for x in ids])
+    pair, times = np.unique(np.repeat(np.arange(len(y)), length) * len(words) + np.concatenate(ids), return_counts=True)
+    del ids
+    doc, word = pair // len(words), pair % len(words)
 
     # n-grams spread over the classes as chance would have it carry no evidence; their vectors stay at zero
-    grams, local = np.unique(bags.buckets, return_inverse=True)
-    per_class = [np.bincount(word[y[doc] == c], minlength=n_words)[bags.starts] for c in (0, 1)]
-    seen = np.stack([np.bincount(local, n, minlength=len(grams)) for n in per_class])
+    texts_with = [np.bincount(word[y[doc] == c], minlength=len(words)) for c in (0, 1)]
+    seen = np.zeros((2, 1 << BUCKET_BITS))
+    for bucket, owner in _word_grams(words):
+        for c in (0, 1):
+            seen[c] += np.bincount(bucket, texts_with[c][owner], minlength=1 << BUCKET_BITS)
     total = seen.sum(axis=0)
-    share = seen[1].sum() / seen.sum()
+    share = seen[1].sum() / total.sum()
     odd = np.abs(seen[1] - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     least = max(ODDITY[0], ODDITY[1] * (len(y) / ODDITY[2]) ** 0.5)
-    keep = ((odd >= least) & (total >= MIN_SEEN))[local]
-    if not keep.any():
+    telling = (odd >= least) & (total >= MIN_SEEN)
+    if not telling.any():
         return table, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    n_of_word = np.bincount(bags.starts, minlength=n_words)[bags.starts]
-    grams, local = np.unique(bags.buckets[keep], return_inverse=True)
-    to_word = _Sparse(bags.starts[keep], local, 1.0 / n_of_word[keep])
+
+    kept, owners, n_of_word = [], [], np.zeros(len(words))
+    for bucket, owner in _word_grams(words):
+        n_of_word += np.bincount(owner, minlength=len(words))
+        keep = telling[bucket]
+        kept.append(bucket[keep])
+        owners.append(owner[keep])
+    grams, local = np.unique(np.concatenate(kept), return_inverse=True)
+    telling_words, owner = np.unique(np.concatenate(owners), return_inverse=True)
+    n_words = len(telling_words)
+    to_word = _Sparse(owner, local, 1.0 / n_of_word[telling_words][owner])
+    place = np.full(len(words), -1, np.int64)
+    place[telling_words] = np.arange(n_words)
+    inside = place[word] >= 0
+    doc, word, times = doc[inside], place[word[inside]], times[inside]
     to_doc = _Sparse(doc, word, times / length[doc])
 
     rng = np.random.default_rng(seed)
