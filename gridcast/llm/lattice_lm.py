@@ -46,9 +46,9 @@ from pyspark.sql import functions as F
 from .common import batches_of, binary_texts, id_bucket, staged, text_or_empty
 from .vocabulary import DEFAULT_MODEL, SPACE, read_pieces
 
-HOT_WORDS = 1 << 19
+HOT_WORDS = 1 << 18
 FLUSH_WORDS = 200_000
-CHUNK_CELLS = 1 << 19
+CHUNK_CELLS = 1 << 17
 ROUNDS = 2
 COMPONENTS = 8
 SAMPLE_DOCS = 1500
@@ -305,22 +305,22 @@ class _HotTable:
 
     def __init__(self, rows: pa.Table, columns: list[str]):
         self.words = rows.column("word").to_pylist()
-        self.values = np.stack([rows.column(c).to_numpy() for c in columns], axis=1).astype(float)
-        self.places: dict[bytes, int] | None = None
-
-    def __getstate__(self):
-        return {"words": self.words, "values": self.values, "places": None}
+        self.values = np.zeros((len(self.words) + 1, len(columns)))      # the last row, of zeros, is for words that are not hot
+        for i, c in enumerate(columns):
+            self.values[:-1, i] = rows.column(c).to_numpy()
+        self.places: dict[bytes, int] = {}
 
     def index(self) -> dict[bytes, int]:
-        if self.places is None:
+        if self.words:
             self.places = {w: i for i, w in enumerate(self.words)}
+            self.words = []
         return self.places
 
 
 def _hot_sums(shared, columns: list[str]):
     """A row per document: its tokens, the sums over its hot words, and its other words for the join."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, values = shared.value.index(), np.r_[shared.value.values, np.zeros((1, len(columns)))]
+        place, values = shared.value.index(), shared.value.values
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in batches_of(batch, 2, 1 << 20):
