@@ -6,10 +6,12 @@ punctuation and white space. Its SHA-256 is looked up, by a hash join, among
 the digests of known licence texts, which pass through the same form. The
 whole document is looked up, and so is each of its paragraphs and lines, as
 notices stand in documents as lines of their own; each such unit is compared
-as an entire text, never in part.
+as an entire text, never in part. Lines without letters or digits part
+paragraphs.
 
-Only digests take part in the join, and only units whose canonical length a
-known text has; the known side has one row a licence text.
+Texts are read once; only digests are kept and joined, of units only those
+whose canonical length a known text has. The known side has one row a licence
+text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import staged, text_or_empty
 
 # FIXED values: public licence texts and notices, by SPDX identifier.
 KNOWN: tuple[tuple[str, str], ...] = (
@@ -95,12 +97,28 @@ def without_notices(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), NOTICE_LINE, "")
 
 
+def _spelled(text: Column, spellings=SPELLINGS) -> Column:
+    """One spelling for all; a text that contains none of them, which is quicker to find out, is left as it is."""
+    out, any_of = text, F.lit(False)
+    for a, b in spellings:
+        out = F.replace(out, F.lit(a), F.lit(b))
+        any_of = any_of | text.contains(a)
+    return F.when(any_of, out).otherwise(text)
+
+
 def canonical(cleaned: Column) -> Column:
     """Letters and digits with single spaces between words, in one spelling."""
-    out = F.trim(F.regexp_replace(cleaned, r"[^\p{L}\p{N}]+", " "))
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return _spelled(F.trim(F.regexp_replace(cleaned, r"[^\p{L}\p{N}]+", " ")))
+
+
+def canonical_lines(cleaned: Column) -> Column:
+    """The canonical form of each line, with the line breaks kept: one pass for all units of a document."""
+    return _spelled(F.regexp_replace(F.regexp_replace(cleaned, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n"))
+
+
+def joined_lines(lines: Column) -> Column:
+    """The canonical form of text made of canonical lines; only spellings of several words can lie across a break."""
+    return _spelled(F.trim(F.regexp_replace(lines, r"\n+", " ")), [s for s in SPELLINGS if " " in s[0]])
 
 
 def known_digests(known: DataFrame) -> DataFrame:
@@ -123,18 +141,20 @@ def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",
     table = known if known is not None else spark.createDataFrame(list(KNOWN), "license string, text string")
     digests = known_digests(table)
     whole = digests.groupBy("digest").agg(F.min("license").alias("license"))
-    lengths = F.broadcast(digests.select("n").distinct()) if known is None else digests.select("n").distinct()
-    # F.broadcast: at most one row a built-in licence text
-
-    docs = df.select(F.col(id_col).alias("id"), without_notices(text_or_empty(text_col)).alias("t"))
-    docs = docs.select("id", "t", F.sha2(canonical(F.col("t")), 256).alias("digest"))
-    units = F.array_distinct(F.concat(F.split("t", r"\n[ \t]*\n"), F.split("t", r"\n")))
-    forms = (docs.select("id", "digest", F.explode(units).alias("unit")).select("id", "digest", canonical(F.col("unit")).alias("form"))
-             .withColumn("n", F.length("form")).join(lengths, "n", "left_semi"))
-    hits = (forms.select("id", F.col("digest").alias("of"), F.sha2("form", 256).alias("digest"))
+    lengths = [r["n"] for r in digests.select("n").distinct().collect()]       # one number a known text at most
+
+    lines = canonical_lines(without_notices(text_or_empty(text_col)))
+    body = (df.select(F.col(id_col).alias("id"), lines.alias("t"))
+            .select("id", F.trim(F.col("t"), F.lit(" \n")).alias("t")).select("id", "t", joined_lines(F.col("t")).alias("whole")))
+    # a line is canonical as it stands; the text's only paragraph is the whole text
+    parted = F.transform(F.filter(F.split("t", r"\n\n+"), lambda u: u.contains("\n")), joined_lines)
+    paragraphs = F.when(F.col("t").contains("\n\n"), parted).otherwise(F.array("whole"))
+    units = F.filter(F.concat(F.split("t", r"\n"), paragraphs), lambda u: F.length(u).isin(lengths))
+    docs = staged(body.select("id", F.sha2("whole", 256).alias("digest"), F.array_distinct(F.transform(units, lambda u: F.sha2(u, 256))).alias("units")), "forms")
+    hits = (docs.select("id", F.col("digest").alias("of"), F.explode("units").alias("digest"))
             .join(digests.select("license", "digest"), "digest")
             .groupBy("id", "of").agg(F.array_sort(F.collect_set("license")).alias("found")))
-    d, w, h = docs.drop("t").alias("d"), whole.alias("w"), hits.alias("h")
+    d, w, h = docs.drop("units").alias("d"), whole.alias("w"), hits.alias("h")
     same = F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.digest") == F.col("h.of"))
     return (d.join(w, F.col("d.digest") == F.col("w.digest"), "left").join(h, same, "left")
             .select(F.col("d.id").alias(id_col), "d.digest", "w.license", F.coalesce(F.array_join("h.found", ","), F.lit("")).alias("notices"),
@@ -161,7 +181,7 @@ WITH known AS (SELECT DISTINCT license, sha256({form('t')}) AS digest
                FROM (SELECT license, {clean('text')} AS t FROM (VALUES {known}) k(license, text))),
 d AS (SELECT doc_id, t, sha256({form('t')}) AS digest
       FROM (SELECT doc_id, {clean("coalesce(text, '')")} AS t FROM documents)),
-u AS (SELECT DISTINCT doc_id, digest, unnest(list_concat(regexp_split_to_array(t, '\\n[ \\t]*\\n'), string_split(t, chr(10)))) AS unit FROM d),
+u AS (SELECT DISTINCT doc_id, digest, unnest(list_concat(regexp_split_to_array(t, '\\n[^\\p{{L}}\\p{{N}}\\n]*\\n'), string_split(t, chr(10)))) AS unit FROM d),
 h AS (SELECT u.doc_id, u.digest, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices, count(DISTINCT k.license) AS n
       FROM u JOIN known k ON sha256({form('u.unit')}) = k.digest GROUP BY 1, 2)
 SELECT d.doc_id, d.digest, (SELECT min(license) FROM known k WHERE k.digest = d.digest) AS license,
