@@ -4,11 +4,17 @@ Each pass hashes every vector to the signs of ``HASH_BITS`` random
 projections and orders the vectors lexicographically by the concatenated
 hashes, so vectors at a small angle are often close in the order. Each vector
 is compared with its next ``WINDOW`` neighbours; pairs whose cosine reaches
-the threshold are united over all passes. The number of passes follows from
-the number of vectors: two vectors just at the threshold agree in a bit with
-probability p = 1 - arccos(threshold) / pi, need about log2(rows / WINDOW)
-equal leading bits to meet in a pass, and shall meet in some pass with
-probability ``RECALL``.
+the threshold are united over all passes. Every other pass hashes the vectors
+less their mean, which spreads those that lie in one cone.
+
+Passes come in rounds, and how many there are is measured. A neighbour of x
+that shares more leading bits with x than the row ``WINDOW`` places from x
+does has been compared with x. So the bits that x shares with those two rows
+(before and after it) give the probability that a neighbour just at the
+threshold was met in the pass, and x leaves after the round in which these
+have added up to ``RECALL``. The others go through further rounds, with a new
+mean, without a limit; where comparing all of them with each other is less
+work than the passes they need, as in a crowded cone, that is done instead.
 
 Families larger than a window need no larger window: the passes only have to
 connect them. An exact check of each connected group then counts every
@@ -33,7 +39,10 @@ from .components import connected_components
 HASH_BITS = 63
 WINDOW = 32
 RECALL = 0.995
-MAX_PASSES = 64
+MAX_PASSES = 64                     # in one round
+EXACT_ROWS = 4096                   # so many rows are compared with each other
+EXACT_A_PASS = 500                  # and so many more for each pass they need
+EXACT_CELL = 2048
 ROWS_A_PART = 20_000
 CELL = 512
 SEED = 42
@@ -65,8 +74,42 @@ def _matrix(vectors: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
 
 
-def _projected(passes: int, schema: pa.Schema):
-    """(pass, key, rep, vec) of each vector for each pass; vectors of different lengths never share a pass."""
+def _mean_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(length, n, sum) of the vectors of a task, a row for each length."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        vectors = batch.column(0).to_pylist()
+        length = np.array([len(v) // 8 for v in vectors], np.int64)
+        for dims in np.unique(length).tolist():
+            some = _matrix([vectors[i] for i in np.flatnonzero(length == dims)])
+            part = sums.setdefault(dims, [0, np.zeros(dims)])
+            part[0] += len(some)
+            part[1] += some.sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()),
+                                      pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], names=["dims", "n", "total"])
+
+
+def _means(active: DataFrame) -> dict[int, np.ndarray]:
+    """Mean of the vectors of each length."""
+    parts: dict[int, list] = {}
+    for r in active.select("vec").mapInArrow(_mean_parts, "dims long, n long, total binary").toLocalIterator():
+        part = parts.setdefault(r["dims"], [0, 0.0])
+        part[0] += r["n"]
+        part[1] = part[1] + np.frombuffer(bytes(r["total"]))
+    return {dims: total / n for dims, (n, total) in parts.items()}
+
+
+def _agreement(cosine):
+    """Probability that a random projection gives two vectors the same sign."""
+    return 1 - np.arccos(np.clip(cosine, -1.0, 1.0)) / np.pi
+
+
+def _projected(passes: int, turn: int, threshold: float, means, schema: pa.Schema):
+    """(pass, key, rep, vec, agree) of each vector for each pass; vectors of different lengths never share a pass.
+
+    ``agree`` is the probability of an equal bit for a neighbour just at the
+    threshold; around the mean, for one as far from it as the vector itself.
+    """
     bit = np.int64(1) << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,20 +120,47 @@ def _projected(passes: int, schema: pa.Schema):
             for dims in np.unique(length).tolist():
                 rows = np.flatnonzero(length == dims)
                 if dims not in planes:
-                    planes[dims] = np.random.default_rng([SEED, dims]).normal(size=(dims, passes * HASH_BITS))
+                    planes[dims] = np.random.default_rng([SEED, dims, turn]).normal(size=(dims, passes * HASH_BITS))
+                mean = means.value[dims]
+                lift = (mean @ planes[dims]).reshape(passes, HASH_BITS)
+                lift[1::2] = 0                                           # every other pass is around the mean
                 for at in range(0, len(rows), 1024):
                     some = rows[at:at + 1024]
-                    signs = (_matrix([vectors[i] for i in some]) @ planes[dims] > 0).reshape(len(some), passes, HASH_BITS)
+                    u = _matrix([vectors[i] for i in some])
+                    signs = (u @ planes[dims]).reshape(len(some), passes, HASH_BITS) > lift
                     keys = signs @ bit
+                    around = np.maximum(((u - mean) ** 2).sum(axis=1), 1e-12)
+                    agree = [_agreement(1 - (1 - threshold) / around), np.full(len(some), _agreement(threshold))]
                     take = batch.take(pa.array(some))
                     for p in range(passes):
                         number = pa.array(np.full(len(some), dims * passes + p, np.int64))
-                        yield pa.RecordBatch.from_arrays([number, pa.array(np.ascontiguousarray(keys[:, p])), take.column(0), take.column(1)],
-                                                         schema=schema)
+                        yield pa.RecordBatch.from_arrays([number, pa.array(np.ascontiguousarray(keys[:, p])), take.column(0), take.column(1),
+                                                          pa.array(agree[p % 2])], schema=schema)
 
     return run
 
 
+def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return HASH_BITS - np.frexp((a ^ b).astype(np.float64))[1]
+
+
+def log_misses(number: np.ndarray, key: np.ndarray, agree: np.ndarray, window: int) -> np.ndarray:
+    """For each row of a sorted partition: log of the probability that a pass did not compare it with a neighbour at the threshold.
+
+    At the partition's ends, whose seams are compared elsewhere, only what the partition shows counts.
+    """
+    met = np.zeros(len(number))
+    starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    for a, b in zip(starts, np.r_[starts[1:], len(number)]):
+        k, i = key[a:b], np.arange(b - a)
+        for far, open_end in ((np.minimum(i + window, b - a - 1), b == len(number)), (np.maximum(i - window, 0), a == 0)):
+            bits = _shared_bits(k, k[far]) + 1.0
+            if not open_end:
+                bits[np.abs(far - i) < window] = 0                       # all on this side were compared
+            met[a:b] += 0.5 * np.where(bits > HASH_BITS, 0.0, agree[a:b] ** bits)
+    return np.log1p(-np.minimum(met, 1 - 1e-12))
+
+
 class _Forest:
     """Keeps only links that join two parts not yet joined."""
 
@@ -125,19 +195,21 @@ def _window_links(number: np.ndarray, ids: list, vectors: list[bytes], threshold
 
 
 def _pass_links(threshold: float, window: int, schema: pa.Schema):
-    """Over a sorted partition: links of neighbours, and its first and last ``window`` rows for the seams."""
-    def row(a, b, seam, take=None):
+    """Over a sorted partition: links of neighbours, its first and last ``window`` rows for the seams, and each row's log miss."""
+    def row(a, b, seam, take=None, miss=None):
         n = len(a)
         empty = pa.nulls(n)
-        columns = [pa.array(a), pa.array(b)] if take is None else [empty, empty]
+        columns = [pa.array(a), pa.array(b)] if take is None and miss is None else [empty if miss is None else a, empty]
         columns += [pa.array([seam] * n) if seam is not None else empty]
         columns += [take.column(i) for i in range(4)] if take is not None else [empty] * 4
+        columns += [empty if miss is None else pa.array(miss)]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held, forest, head = None, _Forest(), 0
+        held, forest, head, seen = None, _Forest(), 0, []
         for batch in batches:
+            seen.append((batch.column(2), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))))
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
                 if head < window:
@@ -152,6 +224,10 @@ def _pass_links(threshold: float, window: int, schema: pa.Schema):
                 held = both.slice(max(0, both.num_rows - window))
         if held is not None:
             yield row([None] * held.num_rows, None, part + 1, held)
+            miss, at = log_misses(*(np.concatenate([s[i] for s in seen]) for i in (1, 2, 3)), window), 0
+            for ids, *_ in seen:
+                yield row(ids, None, None, miss=miss[at:at + len(ids)])
+                at += len(ids)
 
     return run
 
@@ -174,29 +250,98 @@ def _seam_links(threshold: float, window: int, schema: pa.Schema):
     return run
 
 
-def projection_links(classes: DataFrame, threshold: float, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
-    """Verified links (a, b) between the vectors of (rep, vec) that connect the groups found by all passes."""
-    spark = classes.sparkSession
-    rows = classes.count()
-    passes = passes_for(rows, threshold, window, recall)
-    kind = classes.schema["rep"].dataType
+def _round_links(active: DataFrame, passes: int, turn: int, threshold: float, window: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that ``passes`` passes over (rep, vec) find, and (rep, miss): the log miss of each vector, summed over the passes."""
+    spark = active.sparkSession
+    kind = active.schema["rep"].dataType
     name = kind.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
     ident = to_arrow_type(kind)
-    spread = pa.schema([("pass", pa.int64()), ("key", pa.int64()), ("rep", ident), ("vec", pa.binary())])
-    met = pa.schema([("a", ident), ("b", ident), ("seam", pa.int64()), *spread])
-    spread_sql = f"pass long, key long, rep {name}, vec binary"
-    parts = max(1, min(rows * passes // ROWS_A_PART, 20_000), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    rows = [("pass", pa.int64()), ("key", pa.int64()), ("rep", ident), ("vec", pa.binary())]
+    spread = pa.schema([*rows, ("agree", pa.float64())])
+    met = pa.schema([("a", ident), ("b", ident), ("seam", pa.int64()), *rows, ("miss", pa.float64())])
+    rows_sql = f"pass long, key long, rep {name}, vec binary"
+    parts = max(1, min(active.count() * passes // ROWS_A_PART, 20_000), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     order = ["pass", "key", "rep"]
-    ordered = (classes.select("rep", "vec").mapInArrow(_projected(passes, spread), spread_sql)
+    means = spark.sparkContext.broadcast(_means(active))
+    ordered = (active.select("rep", "vec").mapInArrow(_projected(passes, turn, threshold, means, spread), f"{rows_sql}, agree double")
                .repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    found = staged(ordered.mapInArrow(_pass_links(threshold, window, met), f"a {name}, b {name}, seam long, {spread_sql}"), "passes")
+    found = staged(ordered.mapInArrow(_pass_links(threshold, window, met), f"a {name}, b {name}, seam long, {rows_sql}, miss double"), "passes")
     seams = (found.where("seam is not null").select("seam", "pass", "rep", "vec", "key")
              .repartition("seam").sortWithinPartitions("seam", *order))
     pairs = pa.schema([("a", ident), ("b", ident)])
     across = seams.mapInArrow(_seam_links(threshold, window, pairs), f"a {name}, b {name}")
-    return found.where("seam is null").select("a", "b").unionByName(across)
+    links = found.where("seam is null and miss is null").select("a", "b").unionByName(across)
+    return links, found.where("miss is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("miss").alias("miss"))
+
+
+def _cell_links(threshold: float, schema: pa.Schema):
+    """Over rows sorted by cell: the links of the cell's two blocks that connect what all of them connect."""
+    def links(cell: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        block, ids = cell.column(3).to_numpy(zero_copy_only=False), cell.column(4).to_pylist()
+        left = np.flatnonzero(block == cell.column(1)[0].as_py())
+        right = np.flatnonzero(block == cell.column(2)[0].as_py())
+        u, forest = _matrix(cell.column(5).to_pylist()), _Forest()
+        for at in range(0, len(left), 512):
+            x, y = np.nonzero(u[left[at:at + 512]] @ u[right].T >= threshold)
+            found = [(ids[a], ids[b]) for a, b in zip(left[at + x], right[y]) if a != b and forest.joins(ids[a], ids[b])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]).cast(schema.field(0).type),
+                                                  pa.array([b for _, b in found]).cast(schema.field(1).type)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for part in _runs(batch):
+                if held and _cell(held[-1]) != _cell(part):
+                    yield from links(_joined(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from links(_joined(held))
+
+    return run
+
+
+def _all_links(active: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """Links (a, b) from comparing all vectors of one length with each other, in cells of two blocks."""
+    kind = active.schema["rep"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    blocks = -(-rows // EXACT_CELL)
+    cells = (active.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select(F.octet_length("vec").alias("length"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                     "block", "rep", "vec"))
+    schema = pa.schema([("a", to_arrow_type(kind)), ("b", to_arrow_type(kind))])
+    return (cells.repartition("length", "low", "high").sortWithinPartitions("length", "low", "high")
+            .mapInArrow(_cell_links(threshold, schema), f"a {kind.simpleString()}, b {kind.simpleString()}"))
+
+
+def projection_links(classes: DataFrame, threshold: float, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
+    """Verified links (a, b) between the vectors of (rep, vec) that connect the groups found by all rounds."""
+    active = classes.select("rep", "vec", F.lit(0.0).alias("missed"))
+    rows, turn, found = active.count(), 0, []
+    passes = need = passes_for(rows, threshold, window, recall)
+    while rows > max(EXACT_ROWS, EXACT_A_PASS * need):
+        links, misses = _round_links(active, passes, turn, threshold, window)
+        found.append(links)
+        left = active.join(misses, "rep").withColumn("missed", F.col("missed") + F.col("miss"))
+        active = staged(left.where(F.col("missed") > math.log(1 - recall)), "active")
+        more = (F.col("missed") - math.log(1 - recall)) / F.greatest(-F.col("miss") / passes, F.lit(1e-6))
+        rows, need = active.agg(F.count("*"), F.percentile_approx(more, 0.75, 1000)).first()
+        need = math.ceil(need or 0)
+        passes, turn = max(1, min(MAX_PASSES, need)), turn + 1
+        active = active.drop("miss")
+    if rows > 1:
+        found.append(_all_links(active, rows, threshold))
+    if not found:
+        return classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    out = found[0]
+    for links in found[1:]:
+        out = out.unionByName(links)
+    return out
 
 
 def _cell_counts(threshold: float, schema: pa.Schema):

@@ -163,3 +163,24 @@ def test_passes_grow_slowly():
     n = 51_282
     meet = agree ** math.log2(n / embeddings.WINDOW)
     assert 1 - (1 - meet) ** embeddings.passes_for(n, 0.95) >= embeddings.RECALL
+
+
+@pytest.mark.parametrize("exact_a_pass", [embeddings.EXACT_A_PASS, 0])   # as it is, and by passes alone until few rows are left
+def test_embedding_pairs_in_a_crowded_cone(spark, monkeypatch, exact_a_pass):
+    rng = np.random.default_rng(8)
+    n, dims, pairs = 6000, 64, 200
+    v = math.sqrt(0.9) * np.eye(dims)[0] + math.sqrt(0.1 / (dims - 1)) * np.c_[np.zeros(n), rng.normal(size=(n, dims - 1))]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, dims))
+    side -= (side * u[:pairs]).sum(axis=1, keepdims=True) * u[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.96, size=(pairs, 1))
+    u = np.r_[u, cosine * u[:pairs] + np.sqrt(1 - cosine ** 2) * side]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    monkeypatch.setattr(embeddings, "EXACT_ROWS", 500)
+    monkeypatch.setattr(embeddings, "EXACT_A_PASS", exact_a_pass)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(u.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.embedding_groups(df).collect()}
+    a, b = np.nonzero(np.triu(near))
+    assert len(a) >= pairs and np.mean([got[x] == got[y] for x, y in zip(a, b)]) >= 0.97
