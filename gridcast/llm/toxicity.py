@@ -32,7 +32,8 @@ PER_CLASS = 1500
 MAX_BYTES = 12 << 20
 STEPS = 80
 RATE = 0.1
-ODDITY = (2.5, 8.0, 3000)           # least, and at so many sample texts, growing with their square root
+ODDITY = 2.5                        # least association with a class, in standard deviations, at any sample size
+DOUBT = 8.0                         # association that halves the weight
 MIN_SEEN = 5
 WORDS_AT_ONCE = 20_000
 SHARPNESS = 50.0
@@ -137,7 +138,8 @@ def train(sample: list[tuple[bytes, int]], steps: int = STEPS, rate: float = RAT
     del ids
     doc, word = pair // len(words), pair % len(words)
 
-    # n-grams spread over the classes as chance would have it carry no evidence; their vectors stay at zero
+    # n-grams spread over the classes as chance would have it carry no evidence; their vectors stay at zero.
+    # The others count by their evidence, so the many that chance made odd weigh little.
     texts_with = [np.bincount(word[y[doc] == c], minlength=len(words)) for c in (0, 1)]
     seen = np.zeros((2, 1 << BUCKET_BITS))
     for bucket, owner in _word_grams(words):
@@ -146,8 +148,7 @@ def train(sample: list[tuple[bytes, int]], steps: int = STEPS, rate: float = RAT
     total = seen.sum(axis=0)
     share = seen[1].sum() / total.sum()
     odd = np.abs(seen[1] - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-    least = max(ODDITY[0], ODDITY[1] * (len(y) / ODDITY[2]) ** 0.5)
-    telling = (odd >= least) & (total >= MIN_SEEN)
+    telling = (odd >= ODDITY) & (total >= MIN_SEEN)
     if not telling.any():
         return table, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
 
@@ -160,7 +161,8 @@ def train(sample: list[tuple[bytes, int]], steps: int = STEPS, rate: float = RAT
     grams, local = np.unique(np.concatenate(kept), return_inverse=True)
     telling_words, owner = np.unique(np.concatenate(owners), return_inverse=True)
     n_words = len(telling_words)
-    to_word = _Sparse(owner, local, 1.0 / n_of_word[telling_words][owner])
+    trust = odd[grams] ** 2 / (odd[grams] ** 2 + DOUBT ** 2)
+    to_word = _Sparse(owner, local, trust[local] / n_of_word[telling_words][owner])
     place = np.full(len(words), -1, np.int64)
     place[telling_words] = np.arange(n_words)
     inside = place[word] >= 0
@@ -168,7 +170,7 @@ def train(sample: list[tuple[bytes, int]], steps: int = STEPS, rate: float = RAT
     to_doc = _Sparse(doc, word, times / length[doc])
 
     rng = np.random.default_rng(seed)
-    e = (rng.normal(size=(len(grams), dims)) * 0.1).astype(np.float32)
+    e = np.zeros((len(grams), dims), np.float32)
     w = (rng.normal(size=(dims, 2)) * 0.5).astype(np.float32)
     b = np.zeros(2, np.float32)
     params = [e, w, b]
@@ -188,7 +190,7 @@ def train(sample: list[tuple[bytes, int]], steps: int = STEPS, rate: float = RAT
             m2[k] = 0.99 * m2[k] + 0.01 * d * d
             q -= rate * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.99 ** step)) + 1e-4)
     side = (params[1][:, 1] - params[1][:, 0]).astype(np.float64) * SHARPNESS
-    table[grams] = params[0].astype(np.float64) @ side
+    table[grams] = (params[0].astype(np.float64) @ side) * trust
     return table, float(params[2][1] - params[2][0])
 
 

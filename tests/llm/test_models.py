@@ -66,6 +66,24 @@ def test_word_means_by_hand():
     assert counts == [3, 0, 1] and np.allclose(values, want)
 
 
+def test_toxic_terms_of_one_text_in_a_hundred():
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    common, toxic = (["".join(rng.choice(letters, rng.integers(5, 10))) for _ in range(n)] for n in (1500, 100))
+
+    def texts(n, label):
+        for i in range(n):
+            words = [common[j] for j in (rng.random(40) ** 2 * len(common)).astype(int)]
+            if label:                                                  # each toxic term is in 1 % of the toxic texts
+                words[7] = words[31] = toxic[i % len(toxic)]
+            yield " ".join(words).encode(), label
+
+    table, bias = toxicity.train([*texts(1500, 0), *texts(1500, 1)])
+    for label in (0, 1):
+        score = toxicity.predict(table, bias, [t for t, _ in texts(300, label)])
+        assert ((score >= 0.5) == label).mean() >= 0.95
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(4)
     x = rng.uniform(-1, 1, size=(4000, 3))
