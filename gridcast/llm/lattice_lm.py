@@ -17,9 +17,9 @@ probability is also summed over the kinds:
     p_k(word) = max(c_k - D, 0) / N_k + D * V_k / N_k * q_k(word)
     q_k(word) = max(c - D, 0) / N + D * V / N * lattice_k(word)
 
-Kinds are clusters of byte-trigram profiles, found on a bounded sample of
-training documents (``SAMPLE_DOCS``); every training document is counted for
-the kind nearest to it. Pieces never cross a word border, so a document's
+Kinds are clusters of byte-trigram profiles, found by k-means over all
+training documents: each task sums the profiles nearest to each centre. Every
+training document is counted for the kind nearest to it. Pieces never cross a word border, so a document's
 recursion breaks at each word start and its log probability under a kind is
 the sum over its words, plus the end.
 
@@ -51,7 +51,7 @@ FLUSH_WORDS = 200_000
 CHUNK_CELLS = 1 << 17
 ROUNDS = 2
 COMPONENTS = 8
-SAMPLE_DOCS = 1500
+KIND_ROUNDS = 20
 PROFILE = 4096
 END = b""
 SEED = 42
@@ -186,40 +186,86 @@ def profile(text: bytes) -> np.ndarray:
     return np.sqrt(np.bincount((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) % PROFILE, minlength=PROFILE) / (len(b) - 2))
 
 
-def cluster(profiles: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """At most ``k`` centres by spherical k-means from farthest-first starts."""
-    rows = profiles[profiles.any(axis=1)]
-    if not len(rows):
-        return np.zeros((1, PROFILE))
-    mean = rows.mean(axis=0)
-    centres = rows[[int((rows @ mean).argmax())]]
-    while len(centres) < min(k, len(rows)):
-        centres = np.r_[centres, rows[[int((rows @ centres.T).max(axis=1).argmin())]]]
-    for _ in range(rounds):
-        near = (rows @ centres.T).argmax(axis=1)
-        sums = np.stack([rows[near == c].sum(axis=0) for c in range(len(centres))])
-        sums = sums[(near[:, None] == np.arange(len(centres))).any(axis=0)]
-        centres = sums / np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-    return centres
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Profiles of texts, a row each, without those that are 0; a few hundred at a time."""
+    for batch in batches:
+        for part in batches_of(batch, 0, 1 << 20):
+            for at in range(0, part.num_rows, 256):
+                rows = np.stack([profile(t) for t in binary_texts(part.column(0).slice(at, 256))])
+                rows = rows[rows.any(axis=1)]
+                if len(rows):
+                    yield rows
+
+
+def _extreme(shared, farthest: bool):
+    """(near, vec): of a task's profiles, the one farthest from all centres, or the one nearest to the first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for rows in _profiles(batches):
+            near = (rows @ shared.value.T).max(axis=1) * (1 if farthest else -1)
+            at = int(near.argmin())
+            found = float(near[at]), rows[at].tobytes()
+            best = found if best is None else min(best, found)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["near", "vec"])
+
+    return run
+
+
+def _centre_sums(shared):
+    """(centre, vec): sums of a task's profiles by the centre nearest to them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(shared.value.shape)
+        for rows in _profiles(batches):
+            near = (rows @ shared.value.T).argmax(axis=1)
+            for c in np.unique(near):
+                sums[c] += rows[near == c].sum(axis=0)
+        live = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([sums[c].tobytes() for c in live], pa.binary())],
+                                         names=["centre", "vec"])
+
+    return run
 
 
-def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the vectors of each centre of a partition."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part in batches_of(batch, 1, 1 << 20):
-            vectors = [profile(t).astype(np.float32).tobytes() for t in binary_texts(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.binary())], names=["h", "vec"])
+        for c, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            sums[c] = sums.get(c, 0.0) + np.frombuffer(v.as_buffer(), np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                                     names=["centre", "vec"])
+
+
+def document_kinds(rows: DataFrame, components: int, rounds: int = KIND_ROUNDS) -> np.ndarray:
+    """At most ``components`` centres by spherical k-means over all training documents, from farthest-first starts."""
+    spark = rows.sparkSession
+    learn = rows.where(~F.col("held_out")).select("text")
+
+    def moved(centres: np.ndarray) -> np.ndarray:
+        parts = learn.mapInArrow(_centre_sums(spark.sparkContext.broadcast(centres)), "centre int, vec binary")
+        added = parts.repartition("centre").mapInArrow(_added, "centre int, vec binary").collect()      # one row a centre
+        sums = np.frombuffer(b"".join(bytes(r["vec"]) for r in sorted(added, key=lambda r: r["centre"]))).reshape(-1, PROFILE)
+        return sums / np.sqrt((sums * sums).sum(axis=1, keepdims=True))
 
+    def extreme(centres: np.ndarray, farthest: bool):
+        found = learn.mapInArrow(_extreme(spark.sparkContext.broadcast(centres), farthest), "near double, vec binary")
+        return found.agg(F.min(F.struct("near", "vec")).alias("best")).first()["best"]
 
-def document_kinds(rows: DataFrame, components: int, sample_docs: int) -> np.ndarray:
-    """Centres of the kinds, from the training documents with the smallest hashes of their ids (one a repeated id)."""
-    h = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    learn = rows.where(~F.col("held_out")).select(h.alias("h"), "text")
-    picks = staged(learn.select("h").distinct().orderBy("h").limit(sample_docs), "picks")
-    # F.broadcast: at most ``sample_docs`` hashes
-    sample = learn.join(F.broadcast(picks), "h").groupBy("h").agg(F.min("text").alias("text"))
-    found = sorted((r["h"], bytes(r["vec"])) for r in sample.mapInArrow(_profile_batches, "h long, vec binary").collect())
-    vectors = np.frombuffer(b"".join(v for _, v in found), np.float32).reshape(-1, PROFILE).astype(np.float64)
-    return cluster(vectors, components)
+    mean = moved(np.zeros((1, PROFILE)))
+    if not len(mean):
+        return np.zeros((1, PROFILE))
+    centres = np.frombuffer(bytes(extreme(mean, False)["vec"]))[None, :]
+    while len(centres) < components:
+        far = extreme(centres, True)
+        if far["near"] > 1 - 1e-9:                             # every profile is a centre
+            break
+        centres = np.r_[centres, np.frombuffer(bytes(far["vec"]))[None, :]]
+    for _ in range(rounds):
+        last, centres = centres, moved(centres)
+        if last.shape == centres.shape and np.allclose(last, centres, rtol=0, atol=1e-9):
+            break
+    return centres
 
 
 def _counted(shared):
@@ -345,7 +391,7 @@ def _hot_sums(shared, columns: list[str]):
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None,
                     hot_words: int = HOT_WORDS, rounds: int = ROUNDS, components: int = COMPONENTS,
-                    sample_docs: int = SAMPLE_DOCS, folds: int = 10) -> DataFrame:
+                    folds: int = 10) -> DataFrame:
     """One row per document: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Documents of fold 0 are held out of all counts. Null counts as the empty
@@ -358,7 +404,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     held = id_bucket(id_col, folds) == 0
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text_or_empty(text_col).alias("text"))
-    centres = document_kinds(rows, components, sample_docs)
+    centres = document_kinds(rows, components)
     kinds = range(len(centres))
     by_kind = F.array(*[F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)) for k in kinds])
     counts = staged(rows.select("held_out", "text").mapInArrow(_counted(spark.sparkContext.broadcast(centres)), "word binary, kind int, c long")

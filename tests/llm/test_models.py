@@ -141,6 +141,17 @@ def test_language_model(awkward, empty, rows):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_kinds_come_from_all_training_documents(spark):
+    """One rare document among more than 1,500 is a kind of its own, wherever its id hashes to."""
+    rare = [(i, False, "ωψχ φυτ σρπ " * 9) for i in range(3000, 3002)]
+    rows = [(i, False, "the cat sat on the mat " * 3 + str(i % 7)) for i in range(3000)] + rare
+    centres = lm.document_kinds(spark.createDataFrame(rows, "id long, held_out boolean, text string").repartition(3), 2)
+    assert len(centres) == 2
+    assert (centres @ lm.profile(rare[0][2].encode())).max() > 0.99
+    held = spark.createDataFrame([(i, True, t) for i, _, t in rows[:5]], "id long, held_out boolean, text string")
+    assert not lm.document_kinds(held, 2).any()
+
+
 def test_word_probabilities_are_a_distribution():
     """With a tiny vocabulary, all words up to a length and the tail sum to one, kind by kind."""
     pieces = (b" ", b" a", b"a", b"b", b"ab")
