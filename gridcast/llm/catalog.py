@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, exact, lattice_lm, licenses, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from . import (conversations, embeddings, exact, lattice_lm, licenses, mixing, neighbours, quality, sentencepiece_codec, sharding, simhash,
+               toxicity, whitening)
 from .common import read_table
 
 
@@ -53,6 +54,18 @@ def op10_embedding_dedup(spark, sf):
     return embeddings.embedding_groups(read_table(spark, sf, "embeddings"))
 
 
+def op11_neighbours(spark, sf):
+    return neighbours.nearest_neighbours(read_table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op12_conversations(spark, sf):
+    return conversations.repair_report(read_table(spark, sf, "conversations"))
+
+
+def op13_whitening(spark, sf):
+    return whitening.whiten(read_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -64,6 +77,9 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_neighbours": op11_neighbours,
+    "op12_conversations": op12_conversations,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
