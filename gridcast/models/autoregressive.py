@@ -4,7 +4,8 @@ Features of hour ``t`` (all min-max scaled per series with bounds fitted on
 the training rows only): the previous 24 hourly loads (by time, on the
 complete grid; windows touching a gap are dropped), and the temperature,
 ``hour_sin``, ``hour_cos`` and weekday of hour ``t``. Target: the scaled
-load of hour ``t``. The fit is the two-phase ridge solve.
+load of hour ``t``. The normal equations are summed over unscaled features, block
+of hours by block, and mapped to the scaled ones in the ridge solve.
 
 The forecast is one Catalyst ``aggregate`` fold per series over the
 horizon's covariates: each step's prediction (clipped to 0..50 MW) is fed
@@ -14,23 +15,30 @@ the per-series state (24 lags, <= 168 covariate rows) is bounded.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions import add_hours, alert_flag, calendar_columns, clip_forecast, epoch_hours, proportional_band, rnd, utc_now
+from ..functions import add_hours, alert_flag, calendar_columns, clip_forecast, epoch_days, epoch_hours, not_missing, proportional_band, rnd, utc_now
 from ..operators.align import attach_weather, score_with_model
-from ..operators.grid import hourly_spine
-from .ridge import dot, fit_ridge
+from ..operators.grid import BLOCK_H, hourly_spine, overlapping_blocks
+from .ridge import Sums, dot, solve_sums
 
 FEATURES = ("load_mw", "temp_c", "hour_sin", "hour_cos", "weekday")
 COVARIATES = FEATURES[1:]
 LAG_BLOCK_H = 720   # hours of a series whose lags one task takes
 
 
+def with_temperature(rows: DataFrame, weather: DataFrame | None) -> DataFrame:
+    """``rows`` with ``temp_c``, the fallback temperature where there is no weather."""
+    return attach_weather(rows, weather) if weather is not None else rows.withColumn("temp_c", F.lit(C.FALLBACK_TEMP_C))
+
+
 def _features(grid: DataFrame, weather: DataFrame | None, ts: str = "ds") -> DataFrame:
-    with_t = attach_weather(grid, weather) if weather is not None else grid.withColumn("temp_c", F.lit(C.FALLBACK_TEMP_C))
-    return with_t.withColumns(calendar_columns(ts))
+    return with_temperature(grid, weather).withColumns(calendar_columns(ts))
 
 
 def _scaled(col: str) -> Column:
@@ -56,14 +64,11 @@ def training_rows(history: DataFrame, weather: DataFrame | None = None, value: s
     names = [c for c in bounds.columns if c != key]
     feats = _features(hourly_spine(hist, key, ts, ["load_mw"]), weather, ts)
     scaled = feats.join(bounds, key).select(key, ts, *names, *[_scaled(c).alias(c) for c in FEATURES], present.alias("_present"))
-    hour = epoch_hours(ts)
-    own = F.floor(hour / F.lit(float(LAG_BLOCK_H)))
-    shared = F.when(F.pmod(hour, F.lit(LAG_BLOCK_H)) >= LAG_BLOCK_H - n_lags, F.array(own, own + 1)).otherwise(F.array(own))
-    blocks = scaled.withColumn("_own", own).withColumn("_block", F.explode(shared))
+    blocks = overlapping_blocks(scaled, n_lags, LAG_BLOCK_H, ts)
     w = Window.partitionBy(key, "_block").orderBy(ts)
     lags = [F.when(F.lag("_present", k).over(w), F.lag("load_mw", k).over(w)) for k in range(n_lags, 0, -1)]
     rows = blocks.select(
-        key, *names, (F.col("_present") & (F.col("_own") == F.col("_block"))).alias("_present"),
+        key, *names, (F.col("_present") & F.col("_mine")).alias("_present"),
         F.array(F.lit(1.0), *lags, *[F.col(c) for c in COVARIATES]).alias("x"),
         F.col("load_mw").alias("y"),
     )
@@ -75,14 +80,117 @@ def penalties(n_lags: int = C.SEQUENCE_LEN, penalty: float = 1e-4) -> list[float
     return [1e-8] + [penalty] * (n_lags + len(COVARIATES))
 
 
+def _lagged(n_lags: int):
+    """Design (1, lags from the oldest to the newest, temperature, calendar) and target of one block of a series, unscaled."""
+    def build(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        hour = pdf["hour"].to_numpy(np.int64)
+        first = int(hour.min())
+        load, temp = np.full((2, int(hour.max()) - first + 1), np.nan)
+        mine = np.zeros(len(load), bool)
+        load[hour - first], temp[hour - first], mine[hour - first] = pdf["y"], pdf["temp"], pdf["mine"]
+        if len(load) <= n_lags:
+            return np.zeros((0, n_lags + 5)), np.zeros(0)
+        windows = np.lib.stride_tricks.sliding_window_view(load, n_lags + 1)
+        at = np.flatnonzero(np.isfinite(windows).all(axis=1) & np.isfinite(temp[n_lags:]) & mine[n_lags:])
+        h = first + n_lags + at
+        angle = 2 * np.pi * (h % 24) / 24
+        day = (h // 24 + 3) % 7                                          # the epoch began on a Thursday
+        x = np.column_stack([np.ones(len(at)), windows[at, :n_lags], temp[n_lags + at], np.sin(angle), np.cos(angle), day / 6.0])
+        return x, windows[at, n_lags].astype(np.float64)
+
+    return build
+
+
+def lagged_sums(hours: DataFrame, border: DataFrame | None = None, n_lags: int = C.SEQUENCE_LEN, part: str | None = None) -> DataFrame:
+    """``(series_id, part, i, v)``: the unscaled normal equations over the hours whose ``n_lags`` hours before are there.
+
+    ``hours`` and ``border`` are (series_id, ds, load_mw, temp_c), the border
+    only serves as earlier hours. A series is cut into blocks of ``BLOCK_H``
+    hours that share their last hours with the next one; each block is one
+    small group, so a series of any length is dealt over many tasks. With
+    ``part``, a column of ``hours``, the sums are kept apart by its value.
+    """
+    rows = hours.select("series_id", "ds", "load_mw", "temp_c", *([part] if part else []), F.lit(True).alias("_new"))
+    if border is not None:
+        rows = rows.unionByName(border.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    blocks = overlapping_blocks(rows.where(not_missing("load_mw")), n_lags, BLOCK_H, "ds")
+    cut = blocks.select("series_id", "_block", epoch_hours("ds").alias("hour"), F.col("load_mw").alias("y"), F.col("temp_c").alias("temp"),
+                        (F.col("_new") & F.col("_mine")).alias("mine"), *([part] if part else []))
+    p = n_lags + 1 + len(COVARIATES)
+    build, upper = _lagged(n_lags), np.triu_indices(p)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        values = [v for v in pdf[part].unique() if isinstance(v, str)] if part else [None]
+        for value in values:
+            x, y = build(pdf if value is None else pdf.assign(mine=pdf["mine"] & (pdf[part] == value)))
+            if len(x):
+                entries = np.r_[(x.T @ x)[upper], x.T @ y, y @ y, len(y)]
+                out.append({"series_id": pdf["series_id"].iloc[0], "part": value, "entries": entries.tolist()})
+        return pd.DataFrame(out, columns=["series_id", "part", "entries"])
+
+    schema = T.StructType([rows.schema["series_id"], T.StructField("part", T.StringType()), T.StructField("entries", T.ArrayType(T.DoubleType()))])
+    found = cut.groupBy("series_id", "_block").applyInPandas(sums, schema)
+    return found.select("series_id", "part", F.posexplode("entries").alias("i", "v"))
+
+
+def feature_bounds(hours: DataFrame) -> DataFrame:
+    """``(series_id, low, high, last_ds, t0, t1)``: ends of the features and of time over hours (series_id, ds, load_mw, temp_c)."""
+    values = {"load_mw": F.col("load_mw"), "temp_c": F.col("temp_c"), **calendar_columns("ds")}
+    return hours.groupBy("series_id").agg(
+        F.array(*[F.min(c) for c in values.values()]).alias("low"), F.array(*[F.max(c) for c in values.values()]).alias("high"),
+        F.max("ds").alias("last_ds"), F.min(epoch_days("ds")).alias("t0"), F.max(epoch_days("ds")).alias("t1"))
+
+
+def _scaled_solver(penalty):
+    """Ridge on features scaled to [0, 1], from the sums of the unscaled ones and the features' ends."""
+    pen = np.asarray(penalty)
+    n_lags = len(pen) - len(FEATURES)
+
+    def solve(sums: Sums, row) -> tuple[np.ndarray, float, float]:
+        low = np.array([row[f"{c}_min"] for c in FEATURES])
+        span = np.array([row[f"{c}_max"] for c in FEATURES]) - low
+        which = np.r_[np.zeros(n_lags, int), np.arange(1, len(FEATURES))]        # the feature of each column after the first
+        factor = np.where(span[which] > 0, 1 / np.where(span[which] > 0, span[which], 1.0), 0.0)
+        a = np.diag(np.r_[1.0, factor])
+        a[1:, 0] = -low[which] * factor
+        scale = 1 / span[0] if span[0] > 0 else 0.0                              # a constant load is 0 throughout
+        sums = sums.scaled(a, scale, -low[0] * scale)
+        b = sums.ridge(pen)
+        return b, sums.sigma(b), 0.0
+
+    return solve
+
+
+def solve_autoregressive(entries: DataFrame, bounds: DataFrame, n_lags: int = C.SEQUENCE_LEN, penalty: float = 1e-4, fitted_at=None) -> DataFrame:
+    """The model table from unscaled ``(series_id, i, v)`` and ``(series_id, last_ds, low, high)`` of the features."""
+    pen = penalties(n_lags, penalty)
+    ends = [(f"{name}_{end}", F.get(c, F.lit(k))) for c, end in (("low", "min"), ("high", "max")) for k, name in enumerate(FEATURES)]
+    scalers = bounds.select("series_id", "last_ds", *[c.alias(n) for n, c in ends])
+    known = entries.select("series_id", "i", "v").join(scalers, "series_id")
+    fit = solve_sums(known, ["series_id", "last_ds", *[n for n, _ in ends]], len(pen), _scaled_solver(pen))
+    stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else utc_now()
+    return model_table(fit.where(F.col("n") > 0), "series_id", n_lags, stamp)    # a series needs one hour with lags at least
+
+
 def fit_autoregressive(history: DataFrame, weather: DataFrame | None = None, value: str = "load_mw",
                        key: str = "series_id", ts: str = "ds", n_lags: int = C.SEQUENCE_LEN, train_until=None,
                        penalty: float = 1e-4, fitted_at=None) -> DataFrame:
-    """Fit per series; the model table carries coefficients, sigma and the scaler bounds."""
-    rows = training_rows(history, weather, value, key, ts, n_lags, train_until)
-    bound_cols = [f"{c}_{s}" for c in FEATURES for s in ("min", "max")]
-    fit = fit_ridge(rows, [key, *bound_cols, "last_ds"], penalties(n_lags, penalty))
-    stamp = F.lit(fitted_at).cast("timestamp_ntz") if fitted_at is not None else utc_now()
+    """Fit per series; the model table carries coefficients, sigma and the scaler bounds.
+
+    ``train_until``: only rows before it are used (for the bounds too).
+    """
+    hist = history.select(F.col(key).alias("series_id"), F.col(ts).alias("ds"), F.col(value).alias("load_mw")).where(not_missing("load_mw"))
+    if train_until is not None:
+        hist = hist.where(F.col("ds") < F.lit(train_until).cast("timestamp_ntz"))
+    named = weather.withColumnsRenamed({key: "series_id", ts: "ds"}) if weather is not None else None
+    hours = with_temperature(hist, named)
+    model = solve_autoregressive(lagged_sums(hours, None, n_lags), feature_bounds(hours), n_lags, penalty, fitted_at)
+    return model.withColumnRenamed("series_id", key)
+
+
+def model_table(fit: DataFrame, key: str, n_lags: int, stamp: Column) -> DataFrame:
+    """The model's columns from a fit that carries the features' bounds."""
     return fit.select(
         key, F.lit("autoregressive").alias("model"), stamp.alias("fitted_at"), "last_ds",
         F.lit(n_lags).alias("n_lags"), "coef", "sigma", "n",
@@ -134,7 +242,7 @@ def recursive_fold(seed: Column, coef: Column, steps: Column, cov_fields=(), int
     return F.aggregate(blocks, init, block, lambda acc: F.flatten(acc["out"]))
 
 
-def _fold_forecast(mo: DataFrame, seed_rows: DataFrame, hours, weather: DataFrame | None, keys: list[str],
+def fold_forecast(mo: DataFrame, seed_rows: DataFrame, hours, weather: DataFrame | None, keys: list[str],
                    ts: str) -> DataFrame:
     """Recursive forecasts for each origin row of ``mo``.
 
@@ -211,7 +319,7 @@ def forecast_to_horizon(model: DataFrame, history: DataFrame, hours: str, weathe
     hist = score_with_model(history.select(key, ts, F.col(value).alias("_v")), mo.select(key, "_origin", "n_lags"), key)
     seed_rows = hist.where((F.col(ts) <= F.col("_origin")) & (F.col(ts) > add_hours("_origin", -F.col("n_lags")))
                            & F.col("_v").isNotNull()).select(key, ts, "_v")
-    return _d7(_fold_forecast(mo, seed_rows, "_hours", weather, [key], ts), [key], ts, threshold, generated_at)
+    return _d7(fold_forecast(mo, seed_rows, "_hours", weather, [key], ts), [key], ts, threshold, generated_at)
 
 
 def rolling_forecast_autoregressive(model: DataFrame, history: DataFrame, anchors: DataFrame, hours: int = 24,
@@ -245,7 +353,7 @@ def rolling_forecast_autoregressive(model: DataFrame, history: DataFrame, anchor
     hist = history.where(F.col(value).isNotNull()).select(key, ts, F.col(value).alias("_v")).join(
         anc.select(key, "_anchor", "n_lags"), key, "inner")
     seed_rows = hist.where(k_hi >= k_lo).select(key, ts, "_v", F.explode(F.sequence(k_lo, k_hi)).alias("_oi"))
-    res = _fold_forecast(mo, seed_rows, hours, weather, [key, "_oi"], ts)
+    res = fold_forecast(mo, seed_rows, hours, weather, [key, "_oi"], ts)
     res = res.join(mo.select(key, "_oi", F.col("_origin").alias("origin")), [key, "_oi"], "inner").drop("_oi")
     return _d7(res, [key, "origin"], ts, threshold, generated_at)
 

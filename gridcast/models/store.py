@@ -7,7 +7,7 @@ are also a table, so "cached" forecasts are a freshness filter on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -59,6 +59,12 @@ def fresh_forecast(forecasts: DataFrame, now, ttl_s: int = 300, keys=("series_id
     return recent.join(newest, keys, "inner").where(F.col("generated_at") == F.col("_g")).drop("_g")
 
 
+def valid_request_column(hours: Column, model: Column, limit: Column) -> Column:
+    """The same checks over a table of requests: true where a request is valid (false for nulls)."""
+    names = [*C.MODEL_NAMES, "additive", "autoregressive"]
+    return F.coalesce(hours.between(1, C.MAX_HORIZON_H) & model.isin(*names) & limit.between(1, C.MAX_ALERT_LIMIT), F.lit(False))
+
+
 def valid_request(hours: int, model: str, limit: int = 20) -> None:
     """Argument checks of the forecast and alert requests."""
     if not 1 <= int(hours) <= C.MAX_HORIZON_H:
