@@ -7,8 +7,12 @@ of rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import config as C
 from ..functions import add_hours, add_minutes, display_time, fixed_text, hhmm, not_missing, rnd, utc_now
@@ -268,90 +272,122 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
 
 
 # --------------------------------------------------------------------------- R3 (batch)
+BLOCK_ALERTS = 100_000   # alerts of a block where they are densest
+
+
+def _exits(cool: int, length: int, keys: list[str], schema: pa.Schema):
+    """For one block of a key: each alert that can be its first admitted one, with the last admitted one that follows from it."""
+    def run(table: pa.Table) -> pa.Table:
+        t = np.sort(table.column("_t").to_numpy())
+        start = table.column("_b")[0].as_py() * length
+        first = int(np.searchsorted(t, start + cool)) + 1                # those within a cooldown of the border, and the next one
+        follower = np.searchsorted(t, t + cool)
+        at = np.arange(min(first, len(t)))
+        while True:
+            moved = np.where(follower[at] < len(t), follower[at], len(t))
+            if (moved == len(t)).all():
+                break
+            at = np.where(moved < len(t), moved, at)
+        n = min(first, len(t))
+        same = [pa.array([table.column(k)[0].as_py()] * n, schema.field(k).type) for k in keys]
+        return pa.Table.from_arrays([*same, pa.array([table.column("_b")[0].as_py()] * n, pa.int64()), pa.array(t[:n]), pa.array(t[at]),
+                                     pa.array([int(t[0])] * n, pa.int64()), pa.array([int(t[-1])] * n, pa.int64())], schema=schema)
+
+    return run
+
+
+def _walk(cool: int, schema: pa.Schema):
+    """For one block of a key and its first admitted alert: all that are admitted."""
+    def run(table: pa.Table) -> pa.Table:
+        t = np.sort(table.column("_t").to_numpy())
+        taken, at = [], int(np.searchsorted(t, table.column("_c")[0].as_py()))
+        while at < len(t):
+            taken.append(at)
+            at = int(np.searchsorted(t, t[at] + cool))
+        same = [pa.array([table.column(f.name)[0].as_py()] * len(taken), f.type) for f in schema if f.name != "_t"]
+        return pa.Table.from_arrays([*same, pa.array(t[taken])], schema=schema)
+
+    return run
+
+
 def dedupe_alerts(alerts: DataFrame, cooldown_s: int = C.ALERT_COOLDOWN_S, keys=("series_id",),
-                  ts: str = "timestamp") -> DataFrame:
+                  ts: str = "timestamp", block_alerts: int = BLOCK_ALERTS) -> DataFrame:
     """Flag ``admitted``: at least ``cooldown_s`` seconds since the last *admitted* alert of the key.
 
     Exact, and no step needs all rows of one key in one task:
 
-    1. Successor of every alert time t: the first alert at or after
-       ``t + cooldown``. Time is cut into buckets of ``cooldown`` length, so
-       the successor lies in bucket ``b(t) + 1`` or, if that bucket has
-       nothing at or after the target, it is the first alert of the next
-       non-empty bucket. The first case is a window per (key, bucket); the
-       second is a ``lead`` over the per-key table of non-empty buckets
-       (bounded by time span / cooldown, not by the number of alerts).
-    2. Heads: an alert with no alert in the ``cooldown`` before it is always
-       admitted (its predecessor comes from the same bucket machinery).
-    3. The admitted alerts are the successor chains from the heads,
-       enumerated by pointer doubling: round k joins the admitted set with
-       the ``2^k``-step jump table and squares the table, all equi-joins on
-       (key, time). A chain enters a burst only at its head, so the walk is
-       complete when a round adds nothing: ``log2`` of the longest chain in a
-       burst rounds. Each round's tables are cut from the lineage with
-       ``checkpoint()``.
-
-    Alerts at the same instant as an admitted one are not admitted (0 s).
+    1. Time is cut into blocks of whole cooldowns, as long as ``block_alerts``
+       alerts allow where they are densest. What came before a block only
+       decides which alert is its first admitted one, and that one lies
+       within a cooldown of the block's start or is the next after it. Each
+       block is folded to a map from these entries to the last admitted alert.
+    2. From there the first alert after the cooldown is an entry of the next
+       block, or the first alert of a later one: a jump table over entries.
+    3. Blocks that begin a cooldown after the alert before them have a sure
+       entry. The others' follow by pointer doubling over the jump table, in
+       log2 of the longest run of blocks rounds. Only entries are written and
+       doubled, never the alerts.
+    4. Each block with an entry is walked once, and the alerts are flagged.
+
+    Alerts at the same instant as an admitted one are not admitted (0 s);
+    alerts without a key or a time never are.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import materialize
 
     keys = [keys] if isinstance(keys, str) else list(keys)
-    ensure_checkpoint_dir(alerts.sparkSession)
     cool = int(cooldown_s) * 1_000_000
     base = alerts.withColumn("_t", epoch_micros(alerts, ts))
-    ev = base.where(F.col("_t").isNotNull()).select(*keys, "_t").distinct().withColumn("_b", F.floor(F.col("_t") / cool))
-
-    # (1a) successor inside bucket b + 1: probes (t + cool) and candidates share a (key, bucket) window.
-    cand = ev.select(*keys, "_b", F.col("_t").alias("_time"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_src"))
-    probe = ev.select(*keys, (F.col("_b") + 1).alias("_b"), (F.col("_t") + F.lit(cool)).alias("_time"),
-                      F.lit(1).alias("_kind"), F.col("_t").alias("_src"))
-    # Descending time with a running frame (linear); at equal time candidates come first.
+    times = base.where(F.col("_t").isNotNull()).select(*keys, "_t").distinct()
+    dense = times.groupBy(*keys, F.floor(F.col("_t") / F.lit(cool))).count().agg(F.max("count").alias("n")).first()["n"] or 1
+    length = cool * max(1, min(int(block_alerts) // dense, 1 << 20))
+    ev = times.withColumn("_b", F.floor(F.col("_t") / F.lit(length)))
+
+    key_fields = [ev.schema[k] for k in keys]
+    key_types = [(f.name, to_arrow_type(f.dataType)) for f in key_fields]
+    longs = ["_b", "_c", "_e", "_tmin", "_tmax"]
+    entry_schema = T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in longs])
+    entry_arrow = pa.schema([*key_types, *[(c, pa.int64()) for c in longs]])
+    entries = materialize(ev.groupBy(*keys, "_b").applyInArrow(_exits(cool, length, keys, entry_arrow), entry_schema))
+
+    # the entry of the next block that follows from an exit: the first at or after exit + cooldown
+    cand = entries.select(*keys, "_b", F.col("_c").alias("_time"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_src"))
+    probe = entries.select(*keys, (F.col("_b") + 1).alias("_b"), (F.col("_e") + F.lit(cool)).alias("_time"), F.lit(1).alias("_kind"),
+                           F.col("_c").alias("_src"))
     w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_time").desc(), F.col("_kind").asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = (cand.unionByName(probe)
-              .withColumn("_nx", F.min(F.when(F.col("_kind") == 0, F.col("_time"))).over(w))
-              .where(F.col("_kind") == 1)
-              .select(*keys, F.col("_src").alias("_t"), F.col("_b").alias("_b1"), "_nx"))
-    # (1b) otherwise: first alert of the next non-empty bucket after b + 1 (or after b when b + 1 is empty).
-    buckets = ev.groupBy(*keys, "_b").agg(F.min("_t").alias("_tmin"))
-    wb = Window.partitionBy(*keys).orderBy("_b")
-    after = buckets.select(*keys, "_b", F.lead("_tmin").over(wb).alias("_after"))
-    a1 = after.select(*keys, F.col("_b").alias("_b1"), F.col("_after").alias("_after_b1"))
-    a0 = after.select(*keys, (F.col("_b") + 1).alias("_b1"), F.col("_after").alias("_after_b0"))
-    nb = buckets.select(*keys, F.col("_b").alias("_b1"), F.lit(True).alias("_b1_full"))
-    nodes = (inside.join(nb, [*keys, "_b1"], "left").join(a1, [*keys, "_b1"], "left").join(a0, [*keys, "_b1"], "left")
-             .select(*keys, "_t", F.coalesce("_nx", F.when(F.col("_b1_full"), F.col("_after_b1"))
-                                          .otherwise(F.col("_after_b0"))).alias("_to")))
-
-    # (2) chain heads: an alert with no alert in the cooldown before it is always admitted. Its
-    # predecessor is the previous alert in its bucket, else the last alert of the previous non-empty bucket.
-    wp = Window.partitionBy(*keys, "_b").orderBy("_t")
-    last_before = buckets.join(ev.groupBy(*keys, "_b").agg(F.max("_t").alias("_tmax")), [*keys, "_b"], "inner") \
-        .select(*keys, "_b", F.lag("_tmax").over(wb).alias("_prev_bucket_max"))
-    prev = ev.withColumn("_p", F.lag("_t").over(wp)).join(last_before, [*keys, "_b"], "inner") \
-        .select(*keys, "_t", F.coalesce("_p", "_prev_bucket_max").alias("_prev"))
-    heads = prev.where(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= F.lit(cool))).select(*keys, "_t")
-
-    # (3) pointer doubling from all heads at once; chains enter a burst only at its head, so the walk
-    # is complete as soon as a round admits nothing new.
-    jump = nodes.where(F.col("_to").isNotNull()).select(*keys, "_t", "_to").checkpoint(eager=True)
-    admitted = heads.checkpoint(eager=True)
+    inside = (cand.unionByName(probe).withColumn("_nx", F.min(F.when(F.col("_kind") == 0, F.col("_time"))).over(w))
+              .where(F.col("_kind") == 1).select(*keys, "_b", F.col("_src").alias("_c"), "_nx"))
+    blocks = entries.groupBy(*keys, "_b").agg(F.min("_tmin").alias("_tmin"), F.max("_tmax").alias("_tmax"))   # one row a block
+    in_order = Window.partitionBy(*keys).orderBy("_b")
+    near = blocks.select(*keys, "_b", "_tmin", F.lead("_b").over(in_order).alias("_b1"), F.lead("_tmin").over(in_order).alias("_after1"),
+                         F.lead("_tmin", 2).over(in_order).alias("_after2"), F.lag("_tmax").over(in_order).alias("_before"))
+    beyond = F.when(F.col("_b1") == F.col("_b"), F.col("_after2")).otherwise(F.col("_after1"))
+    jump = (inside.join(near.select(*keys, (F.col("_b") + 1).alias("_b"), "_b1", "_after1", "_after2"), [*keys, "_b"])
+            .select(*keys, "_c", F.coalesce("_nx", beyond).alias("_to")))
+    jump = materialize(jump.where(F.col("_to").isNotNull()))
+    sure = F.col("_before").isNull() | (F.col("_tmin") - F.col("_before") >= F.lit(cool))
+    admitted = materialize(near.where(sure).select(*keys, F.col("_tmin").alias("_c")))
+
     size = admitted.count()
     while True:
-        moved = admitted.join(jump, [*keys, "_t"], "inner").select(*keys, F.col("_to").alias("_t"))
-        grown = admitted.unionByName(moved).distinct().checkpoint(eager=True)
-        grown_size = grown.count()   # counted on the checkpoint: cheap
+        moved = admitted.join(jump, [*keys, "_c"]).select(*keys, F.col("_to").alias("_c"))
+        grown = materialize(admitted.unionByName(moved).distinct())
+        grown_size = grown.count()
         if grown_size == size:
             break
         admitted, size = grown, grown_size
-        nxt = jump.alias("a").join(
-            jump.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._to") == F.col("b._t")],
-            "inner").select(*[F.col(f"a.{k}") for k in keys], F.col("a._t"), F.col("b._to"))
-        jump = nxt.checkpoint(eager=True)
+        jump = materialize(jump.alias("a").join(
+            jump.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._to") == F.col("b._c")]
+        ).select(*[F.col(f"a.{k}") for k in keys], F.col("a._c"), F.col("b._to")))
+
+    starts = admitted.withColumn("_b", F.floor(F.col("_c") / F.lit(length)))
+    walked_schema = T.StructType(key_fields + [T.StructField("_t", T.LongType())])
+    walked = (ev.join(starts, [*keys, "_b"]).groupBy(*keys, "_b")
+              .applyInArrow(_walk(cool, pa.schema([*key_types, ("_t", pa.int64())])), walked_schema))
 
     # Several alerts at one instant: only the first (ordered by all their columns) can be admitted.
     others = [c for c in alerts.columns if c not in keys]
     first = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(*others)) == 1
-    flagged = base.withColumn("_first", first).join(admitted.withColumn("_adm", F.lit(True)), [*keys, "_t"], "left")
+    flagged = base.withColumn("_first", first).join(walked.withColumn("_adm", F.lit(True)), [*keys, "_t"], "left")
     return flagged.withColumn("admitted", F.coalesce(F.col("_adm") & F.col("_first"), F.lit(False))).drop(
         "_t", "_first", "_adm")

@@ -51,16 +51,6 @@ def inverse_error_weights(metrics: DataFrame, keys=("series_id",), model: str =
     ).drop("_inv")
 
 
-def weighted_prediction(preds: DataFrame, weights: DataFrame, keys=("series_id",), ts: str = "ds",
-                        model: str = "model", predicted: str = "predicted") -> DataFrame:
-    """``sum(w p) / sum(w)`` per (series, hour) over the models present; equi-joined on time."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    j = preds.join(weights, [*keys, model], "inner")
-    return j.groupBy(*keys, ts).agg(
-        F.try_divide(F.sum(F.col("weight") * F.col(predicted)), F.sum("weight")).alias(predicted)
-    )
-
-
 def best_per_metric(metrics: DataFrame, keys=("series_id",), cols=("mae", "rmse", "mape")) -> DataFrame:
     """Flag the best (minimum) model of each metric; ties are all flagged."""
     keys = [keys] if isinstance(keys, str) else list(keys)

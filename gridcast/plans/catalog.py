@@ -299,7 +299,7 @@ def q_additive_fit(spark, sf):
 def q_additive_residual(spark, sf):
     """M1 by its definition: the fit solves the normal equations of every load series (residual 0, over all its rows)."""
     lm = _lm(spark, sf)
-    r = normal_residual(ADD.design_rows(lm), materialize(ADD.fit_additive(lm)), ADD.penalties())
+    r = normal_residual(ADD.design_rows(lm), materialize(ADD.fit_additive(lm, prior="gaussian")), ADD.penalties())
     return r.select("series_id", rnd("residual", 6).alias("residual"), "n")
 
 

@@ -152,7 +152,7 @@ def weather_rows(doc: DataFrame, source_zone: str | None = None) -> DataFrame:
     """
     checked = doc.withColumn(
         "hourly",
-        F.when(F.col("hourly.time").isNull(), F.raise_error(F.lit("Unexpected weather format: hourly.time missing")))
+        F.when(F.col("hourly.time").isNull(), F.raise_error(F.lit("weather file without an hourly.time list")))
         .otherwise(F.col("hourly")),
     )
     absent = F.array().cast("array<double>")                   # a variable that is not in the document is null in its rows
