@@ -123,24 +123,47 @@ def _rounded_up(units: DataFrame) -> DataFrame:
 
 
 def mix_decisions(sizes: DataFrame, weights: tuple = SOURCE_WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """(k, id, size, source_size, target, copies), one row per distinct (k, id, size) of ``sizes``.
-
-    Rows that repeat an id with the same source and size are one unit: they
-    share one number of copies, and the unit weighs as much as all its rows.
-    Documents without words take part in no draw and get no copy.
+    """(k, id, size, part, source_size, target, first, rows, copies) for each distinct (k, id, size, part) of ``sizes``.
+
+    Rows that agree in source, id and size are one unit: it wants ``rows``
+    times as many copies as one row, and only the fraction of the sum is
+    rounded, so a unit of any number of rows misses what it wants by less than
+    one row. ``copies`` are those of the whole unit; ``first`` counts its rows
+    in earlier parts, from which the rows are numbered. Documents without
+    words take part in no draw and get no copy.
     """
-    targets = source_targets(sizes, weights=weights, max_copies=max_copies)
+    key = ["k", "id", "size"]
+    parts = staged(sizes.groupBy(*key, "part").agg(F.count("*").alias("n")), "parts")
+    targets = source_targets(parts.select("k", (F.col("size") * F.col("n")).alias("size")), weights=weights, max_copies=max_copies)
     want = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
-    units = sizes.groupBy("k", "id", "size").agg(F.count("*").alias("m"))
-    units = staged(units.join(targets, "k").withColumn("want", want)
-                   .withColumn("base", F.floor("want")).withColumn("u", (F.col("size") * F.col("m")).cast("double"))
-                   .withColumn("mass", (F.col("want") - F.col("base")) * F.col("u")), "units")
-    up = _rounded_up(units.where("mass > 0").select("k", "id", "size", "u", "mass"))
+    units = (parts.groupBy(*key).agg(F.sum("n").alias("rows")).join(targets, "k").withColumn("want", want * F.col("rows"))
+             .withColumn("base", F.floor("want")).withColumn("u", F.col("size").cast("double")))
+    units = staged(units.withColumn("mass", (F.col("want") - F.col("base")) * F.col("u")), "units")
+    up = _rounded_up(units.where("mass > 0").select(*key, "u", "mass"))
     a, b = units.alias("a"), up.alias("b")
-    same = (F.col("a.k") == F.col("b.k")) & F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.size") == F.col("b.size"))
     extra = F.coalesce(F.col("b.up"), F.lit(False)).cast("long")
     copies = F.when(F.col("a.size") > 0, F.col("a.base") + extra).otherwise(F.lit(0).cast("long"))
-    return a.join(b, same, "left").select("a.k", "a.id", "a.size", "a.source_size", "a.target", copies.alias("copies"))
+    decided = a.join(b, _same("a", "b"), "left").select("a.k", "a.id", "a.size", "a.rows", "a.source_size", "a.target", copies.alias("copies"))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # a row for each input partition at most
+    p, d = parts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("p"), decided.alias("d")
+    return p.join(d, _same("p", "d")).select("p.k", "p.id", "p.size", "p.part", "p.first", "d.rows", "d.source_size", "d.target", "d.copies")
+
+
+def _same(a: str, b: str) -> Column:
+    return (F.col(f"{a}.k") == F.col(f"{b}.k")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
+
+
+def _copied(rows: DataFrame, weights: tuple, max_copies: int) -> DataFrame:
+    """``rows`` (k, id, size, part, ...) with ``source_size``, ``target`` and each row's own number of ``copies``.
+
+    A unit's copies are spread evenly over its rows; the first ones get one more.
+    """
+    d = mix_decisions(rows.select("k", "id", "size", "part"), weights, max_copies).alias("d")
+    s = rows.withColumn("n", F.row_number().over(Window.partitionBy("k", "id", "size", "part").orderBy(F.lit(0)))).alias("s")
+    whole = F.floor(F.col("d.copies") / F.col("d.rows"))
+    more = (F.col("d.first") + F.col("s.n") <= F.col("d.copies") - whole * F.col("d.rows")).cast("long")
+    return (s.join(d, _same("s", "d") & (F.col("s.part") == F.col("d.part")))
+            .select("s.*", "d.source_size", "d.target", (whole + more).alias("copies")))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -148,26 +171,20 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row per input row: (id_col, size, source_size, target, taken); ``taken`` counts the words the mix takes.
 
     Size is the number of words, 0 for null. Sources in code point order,
-    null last, weigh ``weights`` in turn. An empty table gives no rows; other
-    columns are not read.
+    null last, weigh ``weights`` in turn. Null ids and repeated rows are rows
+    like others. Texts may have any length; only their word counts are kept.
+    An empty table gives no rows; other columns are not read.
     """
-    sizes = staged(df.select(F.col(id_col).alias("id"), _source_key(source_col).alias("k"),
-                             word_count(text_col).alias("size")), "sizes")
-    d = mix_decisions(sizes, weights, max_copies).alias("d")
-    s = sizes.alias("s")
-    same = (F.col("s.k") == F.col("d.k")) & F.col("s.id").eqNullSafe(F.col("d.id")) & (F.col("s.size") == F.col("d.size"))
-    return s.join(d, same).select(F.col("s.id").alias(id_col), "s.size", "d.source_size", "d.target",
-                                  (F.col("s.size") * F.col("d.copies")).alias("taken"))
+    sizes = staged(df.select(F.col(id_col).alias("id"), _source_key(source_col).alias("k"), word_count(text_col).alias("size"),
+                             F.spark_partition_id().alias("part")), "sizes")
+    return _copied(sizes, weights, max_copies).select(F.col("id").alias(id_col), "size", "source_size", "target",
+                                                      (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                weights: tuple = SOURCE_WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """The mix itself: every row as many times as it is taken, with the columns of ``df``."""
-    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _source_key(source_col).alias("k"),
-                      word_count(text_col).alias("size"))
-    sizes = staged(keyed.select("id", "k", "size"), "sizes")
-    d = mix_decisions(sizes, weights, max_copies).where("copies > 0").alias("d")
-    s = keyed.alias("s")
-    same = (F.col("s.k") == F.col("d.k")) & F.col("s.id").eqNullSafe(F.col("d.id")) & (F.col("s.size") == F.col("d.size"))
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("d.copies").cast("int")))
-    return s.join(d, same).select("s.row", copies.alias("copy")).select("row.*")
+    keyed = staged(df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _source_key(source_col).alias("k"),
+                             word_count(text_col).alias("size"), F.spark_partition_id().alias("part")), "keyed")
+    taken = _copied(keyed, weights, max_copies).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -117,3 +117,32 @@ def test_sharding_query(spark):
 def test_written_shards(awkward, tmp, spark):
     sharding.write_shards(sharding.shard_rows(awkward.select("doc_id", "text"), 2), tmp + "/shards")
     assert spark.read.parquet(tmp + "/shards").count() == awkward.count()
+
+
+@pytest.mark.parametrize("rows_of_one", [300, 3001])
+def test_mix_of_null_and_repeated_ids_in_bulk(spark, rows_of_one):
+    rows = [(None, "a", "w " * 10)] * rows_of_one + [(7, "a", "v " * 10)] * 50 + [(i, "b", "x " * (i % 9 + 1)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.mix_sources(df).collect()
+    per, most = {}, {}
+    for r in got:
+        per.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+        assert r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"]
+    assert len(got) == len(rows) and len(per) == 2
+    for (_, target), taken in per.items():
+        assert abs(sum(taken) - target) <= 10                          # less than one document
+    copies = [r["taken"] // 10 for r in got if r["doc_id"] is None]
+    assert max(copies) - min(copies) <= 1                              # spread over the rows, not one block
+    words = {s: sum(len(words_of(r["text"])) for r in mixing.mixed_rows(df).where(F.col("source") == s).collect()) for s in "ab"}
+    assert sorted(words.values()) == sorted(sum(t) for t in per.values())
+
+
+def test_shards_of_equal_rows_in_bulk(spark):
+    rows = [(None, "equal row " * 9)] * 5000 + [(None, f"text {i} " * (i % 30)) for i in range(2500)] + [(i, f"other {i} " * (i % 20 + 1)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.shard_rows(df, 8).select("shard", "size", "slot").cache()
+    sums = {r["shard"]: r for r in out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("top"),
+                                                            F.countDistinct("slot").alias("slots")).collect()}
+    ideal = sum(r["b"] for r in sums.values()) / 8
+    assert len(sums) == 8 and all(abs(r["b"] - ideal) <= 0.01 * ideal + 400 for r in sums.values())
+    assert all(r["top"] == r["n"] - 1 and r["slots"] == r["n"] for r in sums.values()) and sum(r["n"] for r in sums.values()) == len(rows)
