@@ -1,7 +1,8 @@
 """Sharding by histogram sort. DataFrame functions only.
 
-Rows are ordered by (hash of the text, hash of the id); a shard is a range of
-that order. The boundaries between shards are found without sorting: each
+Rows are ordered by (hash of the text, hash of text and id); a shard is a range of
+that order. Where rows repeat in both, a number dealt to each row joins the second key,
+and is written with it, so that any number of such rows can be divided. The boundaries between shards are found without sorting: each
 round counts the exact bytes below candidate boundaries, ``DIGIT_BITS`` more
 bits of the key at a time and only inside the candidates' intervals that
 still straddle a boundary, until every boundary meets the tolerance. Then the
@@ -27,10 +28,11 @@ GROUP_TOLERANCE = 0.05
 ROWS_A_CELL = 8192
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(df: DataFrame, id_col: str, text_col: str, *dealt: Column) -> DataFrame:
     text = text_or_empty(text_col)
-    return df.select(F.struct("*").alias("row"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("k1"),
-                     F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).alias("k2"),
+    k1 = F.xxhash64(text)
+    return df.select(F.struct("*").alias("row"), F.shiftrightunsigned(k1, 1).alias("k1"),
+                     F.shiftrightunsigned(F.xxhash64(k1, F.col(id_col), *dealt), 1).alias("k2"),
                      (F.octet_length(text) + 1).cast("long").alias("size"))
 
 
@@ -121,10 +123,14 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     empty). Slots are gapless from 0 in each shard, in order of the id's
     hash, so a cell of a shard is numbered by one task and only the counts of
     cells are summed up. An empty table gives no rows; a null id is an id of
-    its own; rows repeating an id and text get one slot each.
+    its own; rows repeating an id and text, in any number, get one slot each
+    and may lie in several shards. A text of any length is one row.
     """
     keyed = _keyed(df, id_col, text_col)
     keys = staged(keyed.select("k1", "k2", "size"), "keys")
+    if not keys.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        keyed = staged(_keyed(df, id_col, text_col, F.monotonically_increasing_id()), "rows")
+        keys = keyed.select("k1", "k2", "size")
     cuts = splitters(keys, shards, tolerance, group_tolerance)
     bits = max(0, (max(1, keys.count() // ROWS_A_CELL)).bit_length() - 1)
     cell = F.shiftright("k2", KEY_BITS - bits) if bits else F.lit(0).cast("long")
