@@ -242,6 +242,18 @@ def fingerprint_links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame
     return met.where("left is null").select("a", "b").unionByName(more.select("a", "b")).distinct()
 
 
+def _components(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, component_id): for each fingerprint its component, named by a fingerprint, and that component's smallest id.
+
+    Fingerprints are the nodes, so neither null nor repeated ids change what is linked.
+    """
+    reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+    nodes = connected_components(fingerprint_links(reps, distance), "a", "b")
+    placed = staged(reps.join(nodes, reps["fp"] == nodes["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "placed")
+    low = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return placed.select("fp", "root").join(low, "root")
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                    distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per input row: (id_col, fingerprint as 16 hex digits, component_id).
@@ -249,25 +261,30 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``component_id`` is the smallest id reachable over links of ``distance``
     differing bits or fewer. Null and wordless texts have fingerprint zero,
     which links like any other. Rows that repeat an id stay rows of their
-    own; a group of null ids only has a null component. An empty table gives
-    no rows; other columns are not read.
+    own, each with the component of its text; a group of null ids only has a
+    null component, but links its neighbours like any other. Texts of any
+    length count with all their shingles. An empty table gives no rows; other
+    columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     fps = staged(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
                  .mapInArrow(_fingerprint_batches(shingle), f"id {kind}, fp long"), "fingerprints")
-    reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    links = fingerprint_links(reps, distance)
-    one, two = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    nodes = connected_components(links.join(one, "a").join(two, "b"), "ra", "rb")
-    placed = reps.join(nodes, reps["rep"] == nodes["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(placed, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                                         "component_id")
+    return fps.join(_components(fps, distance), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                                                             "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                          distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group, with the columns of ``df``; null ids stay."""
-    groups = simhash_groups(df, id_col, text_col, shingle, distance)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
-    return df.join(gone, df[id_col] == gone["gone"], "left_anti")
+    """One row of each group, with the columns of ``df``: the one with the smallest id, a null id only where there is no other.
+
+    Rows are told apart by a number that is written with them, so a repeated
+    id loses no text of another group, and of repeated rows one stays.
+    """
+    rows = staged(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    fps = staged(rows.select(F.struct("number", F.col(f"row.{id_col}").alias("id")).alias("own"), F.col(f"row.{text_col}").cast("string").alias("text"))
+                 .mapInArrow(_fingerprint_batches(shingle), f"id struct<number: long, id: {df.schema[id_col].dataType.simpleString()}>, fp long")
+                 .select("id.number", "id.id", "fp"), "fingerprints")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number"))
+    kept = fps.join(_components(fps, distance), "fp").groupBy("root").agg(best.alias("best")).select(F.col("best.number").alias("number"))
+    gone = fps.select("number").join(kept, "number", "left_anti")
+    return rows.join(gone, "number", "left_anti").select("row.*")

@@ -67,6 +67,22 @@ def test_simhash_groups(awkward, empty, rows):
     assert simhash.simhash_groups(empty).count() == simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_by_row_not_by_id(spark, rows):
+    a, b = "one two three four five six", "a wholly different text about nothing at all"
+    df = spark.createDataFrame([(1, a), (7, a), (7, b), (7, b), (None, "alone here " * 3), (None, "alone here " * 3), (None, a)], "doc_id long, text string")
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in rows(simhash.drop_near_duplicates(df))))
+    assert kept == [(0, "alone here " * 3), (1, a), (7, b)]
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in rows(simhash.simhash_groups(df))}
+    assert got[(7, f"{_fingerprint(a):016x}")] == 1 and got[(7, f"{_fingerprint(b):016x}")] == 7
+
+
+def test_null_ids_link_their_neighbours(spark):
+    """Fingerprints two apart on either side of one that only a null id has are one group."""
+    fps = spark.createDataFrame([(5, 0b0111), (None, 0), (9, 0b111000)], "id long, fp long")
+    got = {r["fp"]: r["component_id"] for r in simhash._components(fps, 3).collect()}
+    assert got == {0b0111: 5, 0: 5, 0b111000: 5}
+
+
 def test_golay_keys_meet_at_three_bits():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, dtype=np.uint64)
