@@ -86,3 +86,30 @@ def test_license_scan(spark, rows, awkward, empty):
     assert simple == [(a, b) for a, b, _, _ in sorted(want, key=str)]
     assert [g for g in got if g[0] not in (1, 2)] == [w for w in sorted(want, key=str) if w[0] not in (1, 2)]
     assert licenses.scan(awkward).count() == awkward.count() and licenses.scan(empty).count() == 0
+
+
+def test_license_before_code_and_in_comments(spark):
+    """Runs of consecutive paragraphs: a full text before code, without its title, in comments, in the middle; not in part."""
+    texts = dict(licenses.KNOWN)
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and "hereby granted" in t)
+    commented = "\n".join("# " + line for line in texts["BSD-3-Clause"].replace("<year>, <owner>", "2021, Somebody").splitlines())
+    rows = [(1, mit.replace("<year> <copyright holders>", "2020 Me") + "\n\nimport os\n\nprint(os.name)\n"), (2, commented + "\n\ndef f():\n    return 1\n"),
+            (3, "Intro.\n\n" + texts["Zlib"].split("\n\n", 1)[1] + "\n\nThe end."), (4, "\n\n".join(mit.split("\n\n")[:-1]) + "\n\nOther words."),
+            (5, "// SPDX-License-Identifier: Apache-2.0\nint main;"), (6, licenses.GNU_NOTICE.format(name="General Public License", version="3", colon=":") + "\nint x;"),
+            (7, None), (8, "")]
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (None, "MIT") and got[2] == (None, "BSD-3-Clause") and got[3] == (None, "Zlib") and got[4] == (None, "")
+    assert got[5] == (None, "Apache-2.0") and got[6] == (None, "GPL-3.0-or-later") and got[7] == got[8] == (None, "")
+    whole = licenses.scan(spark.createDataFrame([(1, mit)], "doc_id long, text string")).first()
+    assert whole["license"] == "MIT" and whole["notices"] == "MIT"
+
+
+def test_known_texts_from_a_folder(spark, tmp):
+    import os
+
+    os.makedirs(tmp + "/spdx")
+    open(tmp + "/spdx/My-1.0.txt", "w").write("First part of it.\n\nSecond part of it.\n")
+    known = licenses.read_known(spark, tmp + "/spdx")
+    rows = [(1, "head\n\nfirst PART of it\n\nsecond part, of it!\n\ntail"), (2, "first part of it\n\ntail")]
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert got == {1: "My-1.0", 2: ""}
