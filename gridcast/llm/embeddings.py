@@ -13,8 +13,9 @@ does has been compared with x. So the bits that x shares with those two rows
 (before and after it) give the probability that a neighbour just at the
 threshold was met in the pass, and x leaves after the round in which these
 have added up to ``RECALL``. The others go through further rounds, with a new
-mean, without a limit; where comparing all of them with each other is less
+mean, without a limit; where comparing all of these with each other is less
 work than the passes they need, as in a crowded cone, that is done instead.
+The first round is taken at every size.
 
 Families larger than a window need no larger window: the passes only have to
 connect them. An exact check of each connected group then counts every
@@ -40,8 +41,8 @@ HASH_BITS = 63
 WINDOW = 32
 RECALL = 0.995
 MAX_PASSES = 64                     # in one round
-EXACT_ROWS = 4096                   # so many rows are compared with each other
-EXACT_A_PASS = 500                  # and so many more for each pass they need
+EXACT_ROWS = 4096                   # so many rows that a round has left are compared with each other
+EXACT_A_PASS = 500                  # or so many for each pass they still need
 EXACT_CELL = 2048
 ROWS_A_PART = 20_000
 CELL = 512
@@ -324,7 +325,7 @@ def projection_links(classes: DataFrame, threshold: float, window: int = WINDOW,
     active = classes.select("rep", "vec", F.lit(0.0).alias("missed"))
     rows, turn, found = active.count(), 0, []
     passes = need = passes_for(rows, threshold, window, recall)
-    while rows > max(EXACT_ROWS, EXACT_A_PASS * need):
+    while rows > 1 and (turn == 0 or rows > max(EXACT_ROWS, EXACT_A_PASS * need)):        # a round of passes at every size
         links, misses = _round_links(active, passes, turn, threshold, window)
         found.append(links)
         left = active.join(misses, "rep").withColumn("missed", F.col("missed") + F.col("miss"))
