@@ -67,10 +67,10 @@ def q_load_csv(spark, sf) -> DataFrame:
 
 
 def q_load_store(spark, sf) -> DataFrame:
-    """S4 load table by series, read back through P1 names, P4 missing values and a P5 time range."""
+    """S4 load table by month, read back through P1 names, P4 missing values and a P5 time range."""
     path = _folder(spark, "load")
     RD.write_load(V.load_mw(spark, sf), path)
-    back = PR.select_model_columns(spark.read.parquet(path), {"ds": "ds", "load_mw": "y"}, keep=["series_id"])
+    back = PR.select_model_columns(RD.read_load(spark, path, "2024-01-10", "2024-01-20"), {"ds": "ds", "load_mw": "y"}, keep=["series_id"])
     return PR.time_range(PR.drop_null(back, ["y"]), "2024-01-10", "2024-01-20")
 
 

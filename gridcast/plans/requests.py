@@ -6,7 +6,7 @@
 * :func:`alert_events` - breaches -> peak per series -> shedding schedule ->
   payload and alert-log rows (D10-D12).
 * E2 :func:`ingest_and_train` - readings -> hourly demand -> rescale -> load
-  table (partitioned by series) -> both models -> model table.
+  table (by month) -> both models -> model table.
 * E3 :func:`run_evaluation` - hold-out evaluation of both models,
   leaderboard, results CSV (metrics only).
 
@@ -90,7 +90,7 @@ def ingest_and_train(readings: DataFrame, load_path: str, model_path: str, weath
     else:
         load = load.withColumn("temp_c", temperature_proxy("ds"))
     RD.write_load(load.select("series_id", "ds", "load", "load_mw", "temp_c"), load_path)
-    history = readings.sparkSession.read.parquet(load_path)
+    history = RD.read_load(readings.sparkSession, load_path)
     ST.write_model(ADD.fit_additive(history, fitted_at=fitted_at), model_path)
     ST.write_model(AR.fit_autoregressive(history, weather, fitted_at=fitted_at), model_path)
     return history

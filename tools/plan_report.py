@@ -1,4 +1,4 @@
-"""Write PLANS.md: the physical plan shape of every registered query.
+"""Write PLANS.md: the physical plan shape of every registered query of the load pipeline.
 
 Usage: python tools/plan_report.py [sf_dir]
 
@@ -19,8 +19,11 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-STREAMING = {"stream_hourly_load", "stream_alert_cooldown", "stream_threshold_alerts", "stream_forecast_job"}
-EAGER = {"alert_dedupe", "ar_forecast", "model_fallback", "model_evaluation", "model_leaderboard"}
+STREAMING = {"stream_hourly_load", "stream_alert_cooldown", "stream_threshold_alerts", "stream_forecast_job", "stream_alert_dedupe",
+             "stream_quantile_bounds", "job_additive_residual", "job_ar_residual", "job_alert_log"}
+EAGER = {"alert_dedupe", "ar_forecast", "model_fallback", "model_evaluation", "model_leaderboard", "additive_residual", "ar_residual",
+         "additive_laplace_residual", "ar_fixed_forecast", "fixed_model_evaluation", "fallback_predictions", "band_coverage", "page_rows",
+         "deep_page"}
 
 
 def shape(plan: str) -> dict:
@@ -36,7 +39,7 @@ def shape(plan: str) -> dict:
 
 def main(argv) -> None:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    from __spark_entry__ import queries
+    from gridcast.plans import catalog, incremental, landing
     from gridcast.session import get_session
 
     spark = get_session()
@@ -51,7 +54,7 @@ def main(argv) -> None:
         "| Query | Parquet scans | Shuffles | Broadcasts | Windows | Python ops | Pushed filters |",
         "| --- | --- | --- | --- | --- | --- | --- |",
     ]
-    for name, fn in queries().items():
+    for name, fn in {**catalog.QUERIES, **landing.QUERIES, **incremental.QUERIES}.items():
         if name in STREAMING:
             lines.append(f"| {name} | stream | | | | | runs as Structured Streaming (availableNow) |")
             continue
