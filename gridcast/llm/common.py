@@ -61,9 +61,9 @@ def batches_of(batch: pa.RecordBatch, text_index: int, max_bytes: int = 8 << 20)
         yield batch.slice(int(a), int(b - a))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int,
-                    id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> list[tuple[bytes, int]]:
-    """A bounded training sample on the driver: whole (text, label) pairs of rows outside fold 0.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int,
+                  id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame | None:
+    """A bounded training sample (id, y, text): whole texts of labelled rows outside fold 0; None if there is none.
 
     At most ``per_class`` documents of each label, those with the smallest
     hash of the id, and at most ``max_bytes`` of text in all; a document that
@@ -84,7 +84,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         if used + r["b"] <= max_bytes:
             chosen.append(r["id"])
             used += r["b"]
-    if not chosen:
+    return sample.where(F.col("id").isin(chosen)) if chosen else None
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int,
+                    id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> list[tuple[bytes, int]]:
+    """The rows of ``labelled_rows`` on the driver, as (text, label) pairs."""
+    rows = labelled_rows(docs, labels, label, per_class, max_bytes, id_col, text_col, folds)
+    if rows is None:
         return []
-    rows = sample.where(F.col("id").isin(chosen)).orderBy(h, "id").select("text", "y").collect()
-    return [(r["text"].encode(), r["y"]) for r in rows]
+    return [(r["text"].encode(), r["y"]) for r in rows.orderBy(F.xxhash64("id"), "id").select("text", "y").collect()]

@@ -7,8 +7,8 @@ its words'; a softmax layer over two classes follows. Embeddings and softmax
 weights are trained together. An unseen misspelling or inflection still
 shares most n-grams, and so vectors, with the words seen.
 
-Training runs on the driver over a bounded sample (``per_class`` documents of
-each label and ``max_bytes`` of text). Scoring runs over every whole text in
+Training runs in one task over a bounded sample (``per_class`` documents of
+each label and ``max_bytes`` of text); the driver only receives the result. Scoring runs over every whole text in
 Arrow batches. As mean and softmax input are linear, each bucket's vector
 meets the class weights once, before the scan; what is broadcast is one float
 a bucket (``2**BUCKET_BITS`` floats, 1 MB).
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, binary_texts, id_bucket, labelled_sample, text_or_empty
+from .common import batches_of, binary_texts, id_bucket, labelled_rows, text_or_empty
 
 MIN_N, MAX_N = 3, 6
 BUCKET_BITS = 18
@@ -200,6 +200,26 @@ def predict(table: np.ndarray, bias: float, texts: list[bytes]) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(values, bias): the model of all (text, y) of the partition."""
+    sample: list[tuple[bytes, int]] = []
+    for batch in batches:
+        sample += zip(binary_texts(batch.column(0)), batch.column(1).to_pylist())
+    values, bias = train(sample)
+    yield pa.RecordBatch.from_arrays([pa.array([values.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["table", "bias"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, id_col: str, text_col: str) -> tuple[np.ndarray, float]:
+    """(value per bucket as 4-byte floats, bias), trained by one task on the bounded sample."""
+    sample = labelled_rows(docs, labels, label, per_class, max_bytes, id_col, text_col)
+    if sample is None:
+        values, bias = train([])
+        return values.astype(np.float32), bias
+    one = (sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y")      # max_bytes at most
+           .mapInArrow(_fitted, "table binary, bias double").first())
+    return np.frombuffer(bytes(one["table"]), np.float32), one["bias"]
+
+
 def _scored(shared, bias: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,8 +241,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     get equal scores; an empty table gives no rows; other columns are not
     read, and id, source, language and labels are no inputs of a score.
     """
-    table, bias = train(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
+    table, bias = fitted(docs, labels, label, per_class, max_bytes, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (id_bucket(id_col, 5) == 0).alias("held_out"), text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(_scored(shared, bias, threshold), f"id {kind}, held_out boolean, score double, predicted int")
@@ -232,8 +252,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
                threshold: float = 0.5, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns; texts are scored where they are read."""
-    table, bias = train(labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
+    table, bias = fitted(docs, labels, label, per_class, max_bytes, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
