@@ -123,7 +123,8 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are equal when identical without ASCII white space; null is the
     empty text. The longest original text stays, then the smallest id. Rows
     that repeat an id with equal text count in ``group_size`` and share one
-    decision. An empty table gives no rows. Other columns are not read.
+    decision. A text of any length is compared by its whole digest. An empty
+    table gives no rows. Other columns are not read.
     """
     d = staged(_digests(df, id_col, text_col), "digests")
     probe = repeat_filter(d.select(F.xxhash64("sha").alias("h")), "h", max_filter_bits)

@@ -241,7 +241,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     Labels of fold 0 (``held_out``) are never read. Null and wordless texts
     have all features 0 and are scored like any other. A null id is scored
     but has no label; repeated rows get equal scores; an empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read. A text of any length is counted whole.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, id_col, text_col, per_class))
     kind = docs.schema[id_col].dataType.simpleString()

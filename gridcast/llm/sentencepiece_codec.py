@@ -273,6 +273,9 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     it (its space mark counts as a space), which ``decoded`` must equal. Null
     and empty texts have no ids and decode to the empty text. Columns of the
     input named like a result give way to it; an empty table gives no rows.
+    Repeated rows each get the same result. A text of any length is encoded
+    whole; its chunks are indexed some at a time, but one unbroken chunk is
+    indexed as a whole, with about 100 bytes of memory a byte.
     """
     path = model_path or DEFAULT_MODEL
     shared = df.sparkSession.sparkContext.broadcast((read_pieces(path), read_rules(path)))

@@ -239,7 +239,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     Labels of fold 0 (``held_out``) are never read. Null and wordless texts
     score the bias alone. A null id is scored but has no label; repeated rows
     get equal scores; an empty table gives no rows; other columns are not
-    read, and id, source, language and labels are no inputs of a score.
+    read, and id, source, language and labels are no inputs of a score. A
+    text of any length is scored whole.
     """
     table, bias = fitted(docs, labels, label, per_class, max_bytes, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(table)

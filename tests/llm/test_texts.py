@@ -113,3 +113,11 @@ def test_known_texts_from_a_folder(spark, tmp):
     rows = [(1, "head\n\nfirst PART of it\n\nsecond part, of it!\n\ntail"), (2, "first part of it\n\ntail")]
     got = {r["doc_id"]: r["notices"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
     assert got == {1: "My-1.0", 2: ""}
+
+
+def test_license_in_a_very_long_text(spark):
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and "hereby granted" in t)
+    long = "word " * 200_000
+    rows = [(1, long + "\n\n" + mit), (2, mit + "\n\n" + long + "\n\nReleased under the MIT License. " + long), (3, long)]
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (None, "MIT"), 2: (None, "MIT"), 3: (None, "")}

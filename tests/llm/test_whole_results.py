@@ -150,3 +150,15 @@ def test_mix_decisions_do_not_depend_on_partitions(spark):
     df = spark.read.parquet(SMALL + "/documents.parquet")
     one, two = (sorted(map(tuple, mixing.mix_sources(df.repartition(n)).collect())) for n in (2, 7))
     assert one == two
+
+
+def test_very_long_vectors(spark):
+    """Vectors of 20,000 components link by the same threshold."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 20_000))
+    close, far = 0.96 * a + math.sqrt(1 - 0.96 ** 2) * b, 0.94 * a + math.sqrt(1 - 0.94 ** 2) * b
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate((a, close, far, -a))], "vec_id long, embedding array<double>")
+    u = np.array([v / np.linalg.norm(v) for v in (a, close, far, -a)])
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_groups(df).collect()}
+    assert [got[i] for i in range(4)] == links.tolist() and links[0] == 1
