@@ -68,7 +68,7 @@ def q_stream_alert_dedupe(spark, sf):
 
 
 # ----------------------------------------------------------------------------- R2 and R4 by batches
-def _readings_stream(spark, sf, base, files=5):
+def _readings_stream(spark, sf, base, files=3):
     rows = V.events(spark, sf).where(F.col("event_type").isNotNull() & F.col("ts").isNotNull())
     _landed(spark, rows.select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value"), "ts", files, base + "/in")
     return STR.read_readings(spark, base + "/in", 1)
@@ -93,7 +93,7 @@ def q_stream_quantile_bounds(spark, sf):
 
 
 def _job(spark, sf):
-    """The hourly job over five batches, with sums, moving bounds and the models refitted from the sums."""
+    """The hourly job over three landed files, with sums, moving bounds and the models refitted from the sums."""
     base = _base(spark, "forecast")
     STR.run_forecast_job(_readings_stream(spark, sf, base), base + "/checkpoint", base + "/load", base + "/models", base + "/alerts",
                          hours=24, threshold=13.0, delay="1 hour", state_path=base + "/state", refit=True).awaitTermination()
@@ -103,7 +103,7 @@ def _job(spark, sf):
 def q_job_additive_residual(spark, sf):
     """R4 feeds M1: the fit from the batches' sums meets the optimality conditions over all hours the job has written."""
     base = _job(spark, sf)
-    SU.compact(spark, base + "/state", 2)
+    SU.compact(spark, base + "/state", 1)
     model = materialize(SU.fit_from_sums(spark, base + "/state", "additive"))
     load = SU.read_table(spark, base + "/load", STR.LOAD)
     design = load.join(model.select("series_id", "t0", "t1"), "series_id").select(
