@@ -36,6 +36,7 @@ ODDITY = 2.5                        # least association with a class, in standar
 DOUBT = 8.0                         # association that halves the weight
 MIN_SEEN = 5
 WORDS_AT_ONCE = 20_000
+ENTRIES_AT_ONCE = 200_000
 SHARPNESS = 50.0
 SLICE_BYTES = 2 << 20               # text scored at once
 SEED = 42
@@ -101,13 +102,19 @@ class _Sparse:
         order = np.argsort(key, kind="stable")
         key = key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[starts], starts, other[order], weights[order, None].astype(np.float32)
+        return key[starts], starts, other[order].astype(np.int32), weights[order, None].astype(np.float32)
 
     @staticmethod
     def _times(side, x, n):
+        """Segment sums, some segments at a time, so that no product of all entries is held."""
         out = np.zeros((n, x.shape[1]), np.float32)
         keys, starts, other, weights = side
-        out[keys] = np.add.reduceat(x[other] * weights, starts, axis=0)
+        ends, at = np.r_[starts[1:], len(other)], 0
+        while at < len(keys):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + ENTRIES_AT_ONCE, side="right")))
+            part = slice(starts[at], ends[to - 1])
+            out[keys[at:to]] = np.add.reduceat(x[other[part]] * weights[part], starts[at:to] - starts[at], axis=0)
+            at = to
         return out
 
     def dot(self, x, n):
@@ -162,7 +169,9 @@ def train(sample: list[tuple[bytes, int]], steps: int = STEPS, rate: float = RAT
     telling_words, owner = np.unique(np.concatenate(owners), return_inverse=True)
     n_words = len(telling_words)
     trust = odd[grams] ** 2 / (odd[grams] ** 2 + DOUBT ** 2)
+    del kept, owners, seen, texts_with
     to_word = _Sparse(owner, local, trust[local] / n_of_word[telling_words][owner])
+    del owner, local
     place = np.full(len(words), -1, np.int64)
     place[telling_words] = np.arange(n_words)
     inside = place[word] >= 0
