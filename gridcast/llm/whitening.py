@@ -3,8 +3,8 @@
 Vectors become fixed-point integers x = floor(scale * c) + offset. Mean and
 covariance V come from the fit list, each distinct x vector once. A block of
 vectors Q is multiplied by V in distributed passes: every task adds up
-X'(XQ) over its centred rows, a second stage adds the tasks, and the driver
-sees only dims x block numbers. Between two Rayleigh-Ritz steps a Chebyshev
+X'(XQ) over its centred rows, an aggregate adds the tasks' entries, and the
+driver sees only dims x block numbers. Between two Rayleigh-Ritz steps a Chebyshev
 recurrence in V, small on the unwanted part of the spectrum [0, a] and large
 above it, filters the block; a is the block's smallest Ritz value. Then the
 block is orthonormalised by QR and rotated by the eigenvectors of Q'VQ. The
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ SCALE = 64
 OFFSET = 1_000_000
 LARGEST = 2.0 ** 56                 # |c| beyond this counts as this, so that x stays a long
 PACK = 4096
-FAN_IN = 16
 TOLERANCE = 1e-13                   # residual, as a share of the largest eigenvalue
 SETTLED = 1e-11                     # a residual that stops falling below this is rounding
 MAX_ROUNDS = 60
@@ -134,33 +132,25 @@ class _Fit:
         """The mean as whole part (taken off exactly) and fraction."""
         return np.array(self.base, np.int64), np.array([r / self.n for r in self.rest])
 
-    def _reduced(self, make, shape: tuple[int, ...], value) -> np.ndarray:
-        """Sum over all tasks of ``make(centred rows, value)``, in two stages and in the order of the tasks."""
+    def _reduced(self, make, shape: tuple[int, int], value) -> np.ndarray:
+        """Sum over all tasks of ``make(centred rows, value)``: each task gives its entries, which an aggregate adds by their place."""
         shared = self.spark.sparkContext.broadcast((self.centre(), value))
-        names = ["part", "total"]
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (whole, fraction), given = shared.value
-            total = np.zeros(shape)
+            total = None
             for batch in batches:
                 for y in _blocks(batch):
-                    total += make((y - whole) - fraction, given)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
-
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, least = None, 0
-            for batch in batches:
-                for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    x = np.frombuffer(data)
-                    total, least = (x.copy(), part) if total is None else (total + x, least)
+                    part = make((y - whole) - fraction, given)
+                    total = part if total is None else total + part
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([least], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["at", "v"])
 
-        parts = self.blocks.mapInArrow(partial, "part int, total binary")
-        few = (parts.repartition(FAN_IN, F.col("part") % FAN_IN).sortWithinPartitions("part")
-               .mapInArrow(added, "part int, total binary").collect())           # FAN_IN rows of the asked shape
+        added = self.blocks.mapInArrow(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()      # one row an entry
         shared.unpersist()
-        return sum((np.frombuffer(bytes(r["total"])) for r in sorted(few, key=lambda r: r["part"])), np.zeros(math.prod(shape))).reshape(shape)
+        out = np.zeros(math.prod(shape))
+        out[added.column("at").to_numpy()] = added.column("v").to_numpy()
+        return out.reshape(shape)
 
     def times(self, q: np.ndarray) -> tuple[np.ndarray, float]:
         """(V q, trace of V), by one pass."""
