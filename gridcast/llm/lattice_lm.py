@@ -18,7 +18,8 @@ probability is also summed over the kinds:
     q_k(word) = max(c - D, 0) / N + D * V / N * lattice_k(word)
 
 Kinds are clusters of byte-trigram profiles, found by k-means over all
-training documents: each task sums the profiles nearest to each centre. Every
+training documents: the profiles (``PROFILE`` bytes a document) are written
+once, and in each round a task sums those nearest to each centre. Every
 training document is counted for the kind nearest to it. Pieces never cross a word border, so a document's
 recursion breaks at each word start and its log probability under a kind is
 the sum over its words, plus the end.
@@ -51,7 +52,7 @@ FLUSH_WORDS = 200_000
 CHUNK_CELLS = 1 << 17
 ROUNDS = 2
 COMPONENTS = 8
-KIND_ROUNDS = 20
+KIND_ROUNDS = 12
 PROFILE = 4096
 END = b""
 SEED = 42
@@ -178,33 +179,46 @@ def expected_counts(words: list[bytes], pieces: tuple[bytes, ...], log_p: np.nda
     return counts
 
 
-def profile(text: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams of the lower-cased text; of unit length, or 0."""
+def packed_profile(text: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams of the lower-cased text, in steps of 1/255."""
     b = np.frombuffer(text.lower(), np.uint8).astype(np.int64)
     if len(b) < 3:
-        return np.zeros(PROFILE)
-    return np.sqrt(np.bincount((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) % PROFILE, minlength=PROFILE) / (len(b) - 2))
+        return np.zeros(PROFILE, np.uint8)
+    counts = np.bincount((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) % PROFILE, minlength=PROFILE)
+    return np.rint(255 * np.sqrt(counts / (len(b) - 2))).astype(np.uint8)
+
+
+def profile(text: bytes) -> np.ndarray:
+    """The packed profile as a vector of unit length, or 0."""
+    packed = packed_profile(text).astype(np.float64)
+    return packed / max(1.0, math.sqrt(float(packed @ packed)))
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Profiles of texts, a row each, without those that are 0; a few hundred at a time."""
+def _written_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts' packed profiles, without those that are 0."""
     for batch in batches:
         for part in batches_of(batch, 0, 1 << 20):
-            for at in range(0, part.num_rows, 256):
-                rows = np.stack([profile(t) for t in binary_texts(part.column(0).slice(at, 256))])
-                rows = rows[rows.any(axis=1)]
-                if len(rows):
-                    yield rows
+            found = [p.tobytes() for p in map(packed_profile, binary_texts(part.column(0))) if p.any()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["profile"])
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, lengths): written profiles as 4-byte floats and the lengths to divide them by, a few hundred at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            data = batch.column(0).slice(at, 512).to_pylist()
+            rows = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), PROFILE).astype(np.float32)
+            yield rows, np.sqrt(np.einsum("ij,ij->i", rows, rows))
 
 
 def _extreme(shared, farthest: bool):
     """(near, vec): of a task's profiles, the one farthest from all centres, or the one nearest to the first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for rows in _profiles(batches):
-            near = (rows @ shared.value.T).max(axis=1) * (1 if farthest else -1)
+        best, centres = None, shared.value.astype(np.float32).T
+        for rows, length in _profiles(batches):
+            near = (rows @ centres).max(axis=1) / length * (1 if farthest else -1)
             at = int(near.argmin())
-            found = float(near[at]), rows[at].tobytes()
+            found = float(near[at]), (rows[at].astype(np.float64) / length[at]).tobytes()
             best = found if best is None else min(best, found)
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["near", "vec"])
@@ -215,11 +229,12 @@ def _extreme(shared, farthest: bool):
 def _centre_sums(shared):
     """(centre, vec): sums of a task's profiles by the centre nearest to them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value.astype(np.float32).T
         sums = np.zeros(shared.value.shape)
-        for rows in _profiles(batches):
-            near = (rows @ shared.value.T).argmax(axis=1)
-            for c in np.unique(near):
-                sums[c] += rows[near == c].sum(axis=0)
+        for rows, length in _profiles(batches):
+            own = np.zeros((len(centres.T), len(rows)), np.float32)
+            own[(rows @ centres).argmax(axis=1), np.arange(len(rows))] = 1 / length
+            sums += own @ rows
         live = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([sums[c].tobytes() for c in live], pa.binary())],
                                          names=["centre", "vec"])
@@ -240,7 +255,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_kinds(rows: DataFrame, components: int, rounds: int = KIND_ROUNDS) -> np.ndarray:
     """At most ``components`` centres by spherical k-means over all training documents, from farthest-first starts."""
     spark = rows.sparkSession
-    learn = rows.where(~F.col("held_out")).select("text")
+    learn = staged(rows.where(~F.col("held_out")).select("text").mapInArrow(_written_profiles, "profile binary"), "profiles")
 
     def moved(centres: np.ndarray) -> np.ndarray:
         parts = learn.mapInArrow(_centre_sums(spark.sparkContext.broadcast(centres)), "centre int, vec binary")
@@ -258,12 +273,12 @@ def document_kinds(rows: DataFrame, components: int, rounds: int = KIND_ROUNDS)
     centres = np.frombuffer(bytes(extreme(mean, False)["vec"]))[None, :]
     while len(centres) < components:
         far = extreme(centres, True)
-        if far["near"] > 1 - 1e-9:                             # every profile is a centre
+        if far["near"] > 1 - 1e-6:                             # every profile is a centre
             break
         centres = np.r_[centres, np.frombuffer(bytes(far["vec"]))[None, :]]
     for _ in range(rounds):
         last, centres = centres, moved(centres)
-        if last.shape == centres.shape and np.allclose(last, centres, rtol=0, atol=1e-9):
+        if last.shape == centres.shape and np.allclose(last, centres, rtol=0, atol=1e-6):
             break
     return centres
 
@@ -398,7 +413,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, which is its end token alone. Repeated rows are rows of their own;
     a null id falls into the fold of the empty id; an empty table gives no
     rows; other columns are not read. Without training documents the words
-    keep the vocabulary's own weights.
+    keep the vocabulary's own weights. Texts and words of any length are
+    scored whole.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
