@@ -4,8 +4,10 @@ import itertools
 import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from gridcast.llm import lattice_lm as lm
 from gridcast.llm import quality, toxicity
@@ -166,3 +168,60 @@ def test_word_probabilities_are_a_distribution():
     tokens, types = c.sum(axis=0), (c > 0).sum(axis=0).astype(float)
     q = lm.word_log10(words, c, pieces, np.log(np.c_[p, p]), tokens, types, int((c.sum(axis=1) > 0).sum()), 0.5)
     assert np.all(np.abs((10.0 ** q).sum(axis=0) - 1) < 0.03)
+
+
+def test_written_profiles_hold_only_what_is_not_zero():
+    """A k-means pass reads a bit an entry and the entries of the text, not the whole width, and gets the same rows."""
+    texts = ["the cat sat on the mat", "", "ab", "Über naïve " * 5, "x" * 70000, "a b c d e f g " * 3]
+    written = list(lm._written_profiles(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert [b.num_rows for b in written] == [4]                          # texts without a trigram have no profile
+    assert max(len(v) for v in written[0].column(0).to_pylist()) < lm.PROFILE // 4
+    (rows, lengths), = lm._profiles(iter(written))
+    for row, length, text in zip(rows, lengths, [t for t in texts if len(t) > 2]):
+        b = text.lower().encode() if text.isascii() else text.encode().lower()
+        want = np.zeros(lm.PROFILE)
+        for i in range(len(b) - 2):
+            want[(b[i] * 961 + b[i + 1] * 31 + b[i + 2]) % lm.PROFILE] += 1
+        want = np.rint(255 * np.sqrt(want / (len(b) - 2)))
+        assert (row == want).all() and math.isclose(length, math.sqrt((want * want).sum()), rel_tol=1e-6)
+
+
+def test_tokens_are_those_of_plain_splitting():
+    texts = ["", " ", "a", " A\tb\x0b\x0cB\r\n", "x\x1cy \x1d\x85", "É ÀB\u2003c\u3000d  a", None, "a " * 9]
+    column = pa.array(["skipped", *texts]).slice(1)
+    n, words, codes = lm._tokens(column)
+    words = words.to_pylist()
+    assert len(set(words)) == len(words)
+    ends = np.cumsum(n)
+    got = [[words[c] for c in codes[e - k:e]] for k, e in zip(n, ends)]
+    assert got == [(t or "").encode().lower().split() for t in texts]
+    shared = SimpleNamespace(value=np.eye(2, lm.PROFILE))
+    held = pa.array([i % 3 == 0 for i in range(len(texts))])
+    counted = {}
+    for b in lm._counted(shared)(iter([pa.RecordBatch.from_arrays([held, column], names=["held_out", "text"])])):
+        for r in b.to_pylist():
+            counted[r["word"], r["kind"]] = counted.get((r["word"], r["kind"]), 0) + r["c"]
+    want = {}
+    for t, h in zip(texts, held.to_pylist()):
+        t = (t or "").encode()
+        for w in [*t.lower().split(), lm.END]:
+            key = w, -1 if h else int((shared.value @ lm.profile(t)).argmax())
+            want[key] = want.get(key, 0) + 1
+    assert counted == want
+    assert lm._byte_list(pa.array([b"no", b"a", b"", b"bc"]).slice(1)) == [b"a", b"", b"bc"]
+    assert lm._byte_list(pa.array([], pa.binary())) == []
+
+
+def test_lattice_sums_of_probabilities_equal_sums_of_logs(monkeypatch):
+    """Words on both sides of the length up to which plain sums cannot underflow."""
+    pieces, log_p = lm.lattice_pieces(lm.DEFAULT_MODEL)
+    random.seed(3)
+    weights = np.c_[log_p, log_p + [random.uniform(-4, 0) for _ in pieces]]
+    words = [bytes(random.choice(b"abcetio\xff\xc3") for _ in range(k)) for k in (0, 1, 5, 12, 20, 30, 60, 500, 3000)] + [b"ab" * 4000]
+    assert lm._plain(np.zeros((1, 6)), weights.min()) and not lm._plain(np.zeros((1, 500)), weights.min())
+    got = lm.lattice_log_likelihood(words, pieces, weights), lm.expected_counts(words, pieces, weights[:, [1]])
+    each = np.array([lm.lattice_log_likelihood([w], pieces, weights)[0] for w in words])       # chunks of one word: short ones sum plainly
+    monkeypatch.setattr(lm, "LEAST_LOG", -1.0)
+    want = lm.lattice_log_likelihood(words, pieces, weights), lm.expected_counts(words, pieces, weights[:, [1]])
+    assert np.isfinite(got[0]).all() and np.allclose(got[0], want[0], rtol=1e-12, atol=0) and np.allclose(each, want[0], rtol=1e-12, atol=0)
+    assert np.allclose(got[1], want[1], rtol=1e-9, atol=1e-12)
