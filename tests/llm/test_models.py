@@ -212,6 +212,19 @@ def test_tokens_are_those_of_plain_splitting():
     assert lm._byte_list(pa.array([], pa.binary())) == []
 
 
+def test_token_parts_join_small_batches_and_cut_large_ones(monkeypatch):
+    monkeypatch.setattr(lm, "TOKEN_BYTES", 1000)
+    texts = ["short", "", None, "x" * 5000, *["w " * 90] * 12, *["tiny"] * 100]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], names=["i", "text"]) for i, t in enumerate(texts)]
+    whole = pa.Table.from_batches(batches).combine_chunks().to_batches()
+    for given in (batches, whole):
+        parts = list(lm._token_parts(iter(given), 1))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+        assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+        assert 3 < len(parts) < len(texts) // 4
+    assert list(lm._token_parts(iter([whole[0].slice(0, 0)]), 1)) == []
+
+
 def test_lattice_sums_of_probabilities_equal_sums_of_logs(monkeypatch):
     """Words on both sides of the length up to which plain sums cannot underflow."""
     pieces, log_p = lm.lattice_pieces(lm.DEFAULT_MODEL)
